@@ -88,8 +88,10 @@ def truncate_within(col: Column, limit: int) -> Column:
 
 
 def size_text(col: Column) -> Column:
+    """Bytes as ``B``, ``KB`` or ``MB`` with one decimal, ties to even."""
+
     def scaled(unit: int, name: str) -> Column:
-        return F.concat(F.format_string("%.1f", col / F.lit(float(unit))), F.lit(name))
+        return F.concat(F.format_string("%.1f", F.bround(col / F.lit(float(unit)), 1)), F.lit(name))
 
     return (
         F.when(col >= _MB, scaled(_MB, " MB"))

@@ -76,20 +76,26 @@ def connection_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def long_tail_analysis(events: DataFrame, max_rare_count: int = 2, limit: int = 50) -> DataFrame:
+def rare_pairs(events: DataFrame, max_rare_count: int = 2) -> DataFrame:
     """Rare process/destination pairs next to the total over all pairs, unnamed ones included.
 
     The total is a scalar subquery over the same pair counts, so Spark reuses their
     exchange and no join is planned.
     """
-    pairs = connection_counts(events)
     total = connection_counts(events).agg(F.sum("connection_count").alias("total_connections"))
     return (
-        pairs.filter(F.col("connection_count") <= max(max_rare_count, 1))
+        connection_counts(events)
+        .filter(F.col("connection_count") <= max(max_rare_count, 1))
         .filter(F.col("process_name").isNotNull() & F.col("destination_ip").isNotNull())
+        .withColumn("total_connections", total.scalar())
+    )
+
+
+def long_tail_analysis(events: DataFrame, max_rare_count: int = 2, limit: int = 50) -> DataFrame:
+    return (
+        rare_pairs(events, max_rare_count)
         .orderBy(F.asc("connection_count"), F.asc("process_name"), F.asc("destination_ip"))
         .limit(limit)
-        .withColumn("total_connections", total.scalar())
     )
 
 
