@@ -39,9 +39,10 @@ def event_time(col: Column, dtype: T.DataType) -> Column:
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
 
-    trimmed = F.trim(F.regexp_replace(col, r"^\s+|\s+$", ""))
-    text = F.regexp_replace(trimmed, r"[ \t]+", " ")
-    iso = F.regexp_replace(trimmed, _SLASHED_DATE, r"$1-$2-$3")
+    trimmed = F.trim(col, F.lit(" \t\r\n"))
+    blanks = trimmed.contains("  ") | trimmed.contains("\t")
+    text = F.when(blanks, F.regexp_replace(trimmed, r"[ \t]+", " ")).otherwise(trimmed)
+    iso = F.when(trimmed.contains("/"), F.regexp_replace(trimmed, _SLASHED_DATE, r"$1-$2-$3")).otherwise(trimmed)
 
     def parse(value: Column, pattern: str) -> Column:
         return F.try_to_timestamp(value, F.lit(pattern))

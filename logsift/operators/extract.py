@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsift import constants as C
-from logsift.plans.shapes import head_per_group, join_keyed
+from logsift.plans.shapes import join_keyed
 from logsift.session import materialize
-from logsift.sources.lines import head_lines, line_order
+from logsift.sources.lines import head_lines, numbered_head
 
 FIELDS = ("event_timestamp", "source_ip", "status_code", "event_type")
 TEXT_FORMATS = ("web", "syslog", "jsonline")
@@ -68,9 +68,9 @@ def detect_formats(lines: DataFrame, max_lines: int = 0) -> DataFrame:
     ``head_hit`` tells whether those lines (up to ``max_lines``) already hold a value
     for the detected format.
     """
-    head = head_per_group(lines, ["file"], line_order(), C.DETECT_LINES)
+    head = numbered_head(lines, C.DETECT_LINES)
     line = F.col("line")
-    counted = F.col("rn") <= max_lines if max_lines > 0 else F.lit(True)
+    counted = F.col("line_no") <= max_lines if max_lines > 0 else F.lit(True)
     flags = head.groupBy("file").agg(
         F.bool_or(line.rlike(C.DETECT_WEB_ADDRESS)).alias("web_address"),
         F.bool_or(line.rlike(C.DETECT_WEB_REQUEST)).alias("web_request"),
@@ -108,6 +108,7 @@ def structured_lines(lines: DataFrame, max_lines: int = 0, structured: bool = Tr
     A file of unknown format, or one in which no line yields a field, stays raw:
     ``structured`` is false and its fields are NULL. Whether a file yields anything
     is almost always settled by its head; only files where it is not are scanned.
+    Lines read from text files should be stored first (``store_lines``).
     """
     capped = head_lines(lines, max_lines)
     if not structured:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logsift.functions.address import mask_hi, mask_lo, parse_address, parse_network
 from logsift.plans.shapes import join_keyed
+from logsift.session import materialize
 
 _NETWORK = ["version", "prefix_len", "hi", "lo"]
 
@@ -26,10 +27,10 @@ def match_ips(ips: DataFrame, netset: DataFrame, column: str = "ip") -> DataFram
     that occurs in the lists (at most 33 + 129 of them, so that table is broadcast)
     and looked up among the networks, which are first merged to one row per network.
     """
-    networks = (
-        parse_networks(netset).groupBy(*_NETWORK).agg(F.collect_set("list_name").alias("lists"))
+    networks = materialize(
+        parse_networks(netset).groupBy(*_NETWORK).agg(F.collect_set("list_name").alias("lists")), "networks"
     )
-    lengths = parse_networks(netset).select("version", "prefix_len").distinct()
+    lengths = networks.select("version", "prefix_len").distinct()
     addresses = (
         ips.select(column).distinct()
         .select(column, parse_address(F.col(column)).alias("address"))
@@ -44,7 +45,7 @@ def match_ips(ips: DataFrame, netset: DataFrame, column: str = "ip") -> DataFram
         mask_lo(F.col("lo"), F.col("prefix_len")).alias("lo"),
     )
     return (
-        join_keyed(masked, networks, _NETWORK, "inner")
+        join_keyed(masked, networks, _NETWORK, "inner", stored=True)
         .select(column, F.explode("lists").alias("list_name"))
         .groupBy(column)
         .agg(F.sort_array(F.collect_set("list_name")).alias("threat_lists"))

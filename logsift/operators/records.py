@@ -14,27 +14,31 @@ from logsift import constants as C
 from logsift.plans.shapes import spread_nulls
 
 MAX_DEPTH = 6
-_ENTRY = "array<struct<key:string,value:variant>>"
+_MAP = "map<string,variant>"
+_LIST = "array<variant>"
+_ENTRY = "array<struct<key:string,value:variant,open:boolean>>"
 
 
 def _is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
+    return value.try_cast(_MAP).isNotNull()
 
 
 def _is_list(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("ARRAY")
+    return value.try_cast(_LIST).isNotNull()
 
 
-def _members(value: Column) -> Column:
-    return F.map_entries(value.cast("map<string,variant>"))
+def _member(value: Column, key: str) -> Column:
+    return F.try_element_at(value.try_cast(_MAP), F.lit(key))
 
 
-def _member(value: Column, key: str) -> Column:
-    return F.try_element_at(value.cast("map<string,variant>"), F.lit(key))
+def _leaf(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"), F.lit(False).alias("open"))
 
 
-def _entry(key: Column, value: Column) -> Column:
-    return F.struct(key.alias("key"), value.alias("value"))
+def _node(key: Column, value: Column) -> Column:
+    """An entry still to be opened if its value is an object or a list."""
+    nested = F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
+    return F.struct(key.alias("key"), value.alias("value"), F.coalesce(nested, F.lit(False)).alias("open"))
 
 
 def _child(parent: Column, name: Column) -> Column:
@@ -43,72 +47,62 @@ def _child(parent: Column, name: Column) -> Column:
 
 def _is_named(item: Column) -> Column:
     """Whether a list item is ``{"#attributes": {"Name": …}, "#text": …}``."""
-    attributes = F.when(_is_object(item), _member(item, "#attributes"))
-    named = F.when(_is_object(attributes), F.map_contains_key(attributes.cast("map<string,variant>"), F.lit("Name")))
-    return F.coalesce(named, F.lit(False))
+    name = F.map_contains_key(_member(item, "#attributes").try_cast(_MAP), F.lit("Name"))
+    return F.coalesce(name, F.lit(False))
 
 
 def named_data(parent: Column, items: Column) -> Column:
     """Entries ``parent_Name -> text`` of a list of named items, else the list itself as one entry."""
-    elements = items.cast("array<variant>")
+    elements = items.try_cast(_LIST)
     named = (F.size(elements) > 0) & F.forall(elements, _is_named)
     pairs = F.transform(
         elements,
-        lambda item: _entry(
+        lambda item: _leaf(
             _child(parent, _member(_member(item, "#attributes"), "Name").cast("string")), _member(item, "#text")
         ),
     )
-    verbatim = F.when(parent == "", F.array().cast(_ENTRY)).otherwise(F.array(_entry(parent, items)))
+    verbatim = F.when(parent == "", F.array().cast(_ENTRY)).otherwise(F.array(_leaf(parent, items)))
     return F.when(named, pairs).otherwise(verbatim)
 
 
-def _expand_object(parent: Column, value: Column) -> Column:
-    """One level of an object: its text, its attributes, then its other members."""
-    members = _members(value)
-    text = F.transform(
-        F.filter(members, lambda m: m["key"] == "#text"),
-        lambda m: _entry(F.when(parent == "", F.lit("#text")).otherwise(parent), m["value"]),
-    )
+def _member_entries(parent: Column, member: Column) -> Column:
+    """Entries of one object member: its text, its attributes, or a node to open next."""
     attributes = F.transform(
-        F.filter(members, lambda m: (m["key"] == "#attributes") & _is_object(m["value"])),
-        lambda m: F.transform(
-            _members(m["value"]),
-            lambda a: _entry(_child(parent, F.regexp_replace(a["key"], "^@", "")), a["value"]),
-        ),
+        F.map_entries(member["value"].try_cast(_MAP)),
+        lambda a: _leaf(_child(parent, F.regexp_replace(a["key"], "^@", "")), a["value"]),
     )
-    others = F.transform(
-        F.filter(members, lambda m: ~m["key"].isin("#text", "#attributes")),
-        lambda m: _entry(_child(parent, m["key"]), m["value"]),
+    text = F.array(_leaf(F.when(parent == "", F.lit("#text")).otherwise(parent), member["value"]))
+    return (
+        F.when(member["key"] == "#text", text)
+        .when(member["key"] == "#attributes", F.coalesce(attributes, F.array().cast(_ENTRY)))
+        .otherwise(F.array(_node(_child(parent, member["key"]), member["value"])))
     )
-    return F.concat(text, F.flatten(attributes), others)
 
 
 def _expand(entry: Column) -> Column:
-    return (
-        F.when(_is_object(entry["value"]), _expand_object(entry["key"], entry["value"]))
-        .when(_is_list(entry["value"]), named_data(entry["key"], entry["value"]))
-        .otherwise(F.array(_entry(entry["key"], entry["value"])))
+    members = F.transform(
+        F.map_entries(entry["value"].try_cast(_MAP)), lambda m: _member_entries(entry["key"], m)
     )
+    opened = F.coalesce(F.flatten(members), named_data(entry["key"], entry["value"]))
+    return F.when(entry["open"], opened).otherwise(F.array(entry))
 
 
 def flatten_payload(df: DataFrame, payload: str, result: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Add ``result``: a map from underscore-joined keys to the leaf values of a variant column.
 
-    Objects are opened one level per step; scalars and plain lists are leaves. A
-    payload nested deeper than ``max_depth`` levels fails the job.
+    Objects are opened one level per step; scalars, attributes, texts and plain lists
+    are leaves. A payload nested deeper than ``max_depth`` levels fails the job. The
+    column is one expression without repeated parts, so it is evaluated once per use.
     """
-    root = F.array(_entry(F.lit(""), F.col(payload)))
-    out = df.withColumn(result, F.when(_is_object(F.col(payload)), root).otherwise(F.array().cast(_ENTRY)))
+    entries = F.filter(F.array(_node(F.lit(""), F.col(payload))), lambda e: e["open"])
     for _ in range(max_depth):
-        out = out.withColumn(result, F.flatten(F.transform(result, _expand)))
-    too_deep = F.exists(result, lambda e: F.coalesce(_is_object(e["value"]), F.lit(False)))
-    latest = F.reverse(F.col(result))
-    unique = F.array_sort(F.array_distinct(F.transform(result, lambda e: e["key"])))
-    flat = F.transform(
-        unique, lambda k: _entry(k, F.get(F.filter(latest, lambda e: e["key"] == k), F.lit(0))["value"])
+        entries = F.flatten(F.transform(entries, _expand))
+    failure = F.raise_error(F.lit(f"record payload is nested deeper than {max_depth} levels")).cast("variant")
+    checked = F.transform(
+        entries,
+        lambda e: F.struct(e["key"].alias("key"), F.when(e["open"], failure).otherwise(e["value"]).alias("value")),
     )
-    failure = F.raise_error(F.lit(f"record payload is nested deeper than {max_depth} levels")).cast(_ENTRY)
-    return out.withColumn(result, F.map_from_entries(F.when(too_deep, failure).otherwise(flat)))
+    return df.withColumn(result, F.map_from_entries(checked))
 
 
 def first_of(flattened: Column, keys: Sequence[str]) -> Column:
@@ -118,26 +112,18 @@ def first_of(flattened: Column, keys: Sequence[str]) -> Column:
 
 def text_of(flattened: Column, key: str) -> Column:
     value = F.try_element_at(flattened, F.lit(key))
-    return F.when(_is_list(value) | _is_object(value), F.to_json(value)).otherwise(value.cast("string"))
+    return value.cast("string")
 
 
 def payload_json(flattened: Column) -> Column:
     """The flat map as JSON with sorted keys and ``", "`` / ``": "`` separators."""
 
     def text(value: Column) -> Column:
-        plain = F.coalesce(F.to_json(value), F.lit("null"))
-        spaced = F.concat(
-            F.lit("["),
-            F.array_join(
-                F.transform(value.cast("array<variant>"), lambda v: F.coalesce(F.to_json(v), F.lit("null"))), ", "
-            ),
-            F.lit("]"),
-        )
-        return F.when(_is_list(value), spaced).otherwise(plain)
-
-    entries = F.array_sort(F.map_keys(flattened))
+        spaced = F.array_join(F.transform(value.try_cast(_LIST), lambda v: F.coalesce(F.to_json(v), F.lit("null"))), ", ")
+        return F.coalesce(F.concat(F.lit("["), spaced, F.lit("]")), F.to_json(value), F.lit("null"))
+
     quoted = F.transform(
-        entries,
+        F.array_sort(F.map_keys(flattened)),
         lambda k: F.concat(F.to_json(k.cast("variant")), F.lit(": "), text(F.element_at(flattened, k))),
     )
     return F.concat(F.lit("{"), F.array_join(quoted, ", "), F.lit("}"))
@@ -189,9 +175,9 @@ def record_preview(records: DataFrame, max_records: int = 50) -> DataFrame:
     """Display line and key fields of the first records; a broken one has empty fields."""
     first = records.orderBy("event_record_id").limit(max_records).filter(F.col("data").isNotNull())
     first = first.withColumn("_id", _record_id(records)).withColumn("_parsed", F.try_parse_json("data"))
-    only_event = F.array_size(F.map_keys(F.col("_parsed").cast("map<string,variant>"))) == 1
+    only_event = F.array_size(F.map_keys(F.col("_parsed").try_cast(_MAP))) == 1
     event = F.try_variant_get(F.col("_parsed"), "$.Event", "variant")
-    payload = F.when(_is_object(F.col("_parsed")) & only_event & event.isNotNull(), event).otherwise(F.col("_parsed"))
+    payload = F.when(only_event & _is_object(event), event).otherwise(F.col("_parsed"))
     df = flatten_payload(first.withColumn("_event", payload), "_event", "_flat")
     flat = F.col("_flat")
     out = df.select(

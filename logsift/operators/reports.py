@@ -106,14 +106,13 @@ def parse_responses(responses: DataFrame, column: str = "text") -> DataFrame:
     fenced = r"(?s)```(?:json)?\s*(.*?)\s*```"
     text = F.col(column)
     candidate = F.trim(F.when(text.rlike(fenced), F.regexp_extract(text, fenced, 1)).otherwise(text))
-    members = F.try_parse_json("_candidate").cast("map<string,variant>")
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("_candidate")).startswith("OBJECT"), F.lit(False))
+    members = F.try_parse_json("_candidate").try_cast("map<string,variant>")
     absent = F.array_join(
         F.array_except(F.array(*[F.lit(f) for f in sorted(C.REPORT_FIELDS)]), F.map_keys("_members")), ", "
     )
     return (
         responses.withColumn("_candidate", candidate)
-        .withColumn("_members", F.when(is_object, members))
+        .withColumn("_members", members)
         .withColumn("_absent", absent)
         .withColumn(
             "status",
@@ -126,12 +125,15 @@ def parse_responses(responses: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
+def _is_object(value: Column) -> Column:
+    return value.try_cast("map<string,variant>").isNotNull()
+
+
 def _object_items(value: Column, item_type: str) -> Column:
     """The items of a JSON list that are objects, as structs; an empty array otherwise."""
-    is_list = F.schema_of_variant(value).startswith("ARRAY")
-    objects = F.filter(value.cast("array<variant>"), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    objects = F.filter(value.try_cast("array<variant>"), _is_object)
     items = F.transform(objects, lambda v: F.from_json(F.to_json(v), item_type))
-    return F.when(is_list, items).otherwise(F.array().cast(f"array<{item_type}>"))
+    return F.coalesce(items, F.array().cast(f"array<{item_type}>"))
 
 
 def _or(col: Column, default: str) -> Column:
@@ -139,11 +141,12 @@ def _or(col: Column, default: str) -> Column:
 
 
 def normalize_reports(reports: DataFrame, column: str = "report_json") -> DataFrame:
-    """Add ``report``: the tolerant normal form of the JSON in ``column``, NULL if corrupt.
+    """Add ``report``, the tolerant normal form of the JSON in ``column``, and ``readable``.
 
     Known alternative key names are mapped, defaults filled in, unknown keys and
     non-object items dropped. A report without title, summary or a valid severity is
-    corrupt, and so is one with an indicator of unknown severity.
+    not readable, and neither is one with an indicator of unknown severity; its
+    ``report`` is NULL.
     """
     root = F.col("_root")
 
@@ -191,17 +194,19 @@ def normalize_reports(reports: DataFrame, column: str = "report_json") -> DataFr
         indicators.alias("indicators"),
         F.coalesce(F.to_json(member("metadata")), F.lit("{}")).alias("metadata"),
     ).cast(REPORT_TYPE)
-    made = F.col("report")
-    valid = (
-        made["title"].isNotNull()
-        & made["summary"].isNotNull()
-        & made["severity"].isin(*C.SEVERITIES)
-        & F.forall(made["indicators"], lambda i: i["severity"].isin(*C.SEVERITIES))
+    # Judged on the raw members: cheap to evaluate again where a filter is pushed down.
+    listed = F.filter(member("indicators").try_cast("array<variant>"), _is_object)
+    rated = F.forall(listed, lambda i: _or(F.try_variant_get(i, "$.severity", "string"), "Medium").isin(*C.SEVERITIES))
+    readable = (
+        member("title", "string").isNotNull()
+        & member("summary", "string").isNotNull()
+        & member("severity", "string").isin(*C.SEVERITIES)
+        & F.coalesce(rated, F.lit(True))
     )
     return (
         reports.withColumn("_root", F.try_parse_json(column))
-        .withColumn("report", report)
-        .withColumn("report", F.when(F.coalesce(valid, F.lit(False)), F.col("report")))
+        .withColumn("readable", F.coalesce(readable, F.lit(False)))
+        .withColumn("report", F.when(F.col("readable"), report))
         .drop("_root")
     )
 
@@ -213,7 +218,7 @@ def report_json(column: str = "report") -> Column:
 
 def mitre_table(reports: DataFrame) -> DataFrame:
     """One row per technique of each normalized report."""
-    kept = [c for c in reports.columns if c not in ("report", "report_json")]
+    kept = [c for c in reports.columns if c not in ("report", "report_json", "readable")]
     return reports.select(*kept, F.explode("report.mitre_mappings").alias("m")).select(
         *kept, "m.technique_id", "m.technique_name", "m.tactic"
     )
@@ -245,7 +250,7 @@ def get_report(store: DataFrame, report_id: str) -> DataFrame:
 
 
 def stored_reports(store: DataFrame, source_table: str | None = None) -> DataFrame:
-    """Reports of one table plus those without a scope, or all; ``report`` is NULL for corrupt ones."""
+    """Reports of one table plus those without a scope, or all; corrupt ones are not ``readable``."""
     scoped = store
     if source_table is not None:
         scoped = store.filter((F.col("source_table") == source_table) | F.col("source_table").isNull())
@@ -256,14 +261,14 @@ def list_reports(store: DataFrame, source_table: str | None = None) -> DataFrame
     """Readable reports, newest first."""
     return (
         stored_reports(store, source_table)
-        .filter(F.col("report").isNotNull())
+        .filter("readable")
         .select("report_id", "created_at", date_label(F.col("created_at")).alias("date_label"), "report")
         .orderBy(F.desc("created_at"), F.asc("report_id"))
     )
 
 
 def corrupt_count(store: DataFrame, source_table: str | None = None) -> DataFrame:
-    return stored_reports(store, source_table).agg(F.count_if(F.col("report").isNull()).alias("corrupt"))
+    return stored_reports(store, source_table).agg(F.count_if(~F.col("readable")).alias("corrupt"))
 
 
 def migrate_store(legacy: DataFrame, current: DataFrame | None = None) -> DataFrame:

@@ -49,20 +49,29 @@ def event_distribution(events: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
-def time_bucket(col: str, width: str = BUCKET_WIDTH) -> Column:
-    """Start of the tumbling bucket of ``width`` ("5 minutes") that holds the timestamp."""
+def bucket_start(seconds: Column, width_seconds: int) -> Column:
+    """Epoch second at which the tumbling bucket holding ``seconds`` starts."""
+    return F.floor((seconds - _BUCKET_ORIGIN) / width_seconds) * width_seconds + _BUCKET_ORIGIN
+
+
+def width_in_seconds(width: str) -> int:
     amount, unit = width.split()
-    seconds = int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit.rstrip("s")]
-    return F.window(col, f"{seconds} seconds", startTime=f"{_BUCKET_ORIGIN % seconds} seconds")
+    return int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit.rstrip("s")]
 
 
 def temporal_anomaly(events: DataFrame, min_events: int = 0, limit: int = 10, width: str = BUCKET_WIDTH) -> DataFrame:
+    """Busiest time buckets; rows are grouped by a plain long, turned into a time at the end.
+
+    Counting the key gives rows without a time a count of 0, which drops them without
+    a filter that would parse the time a second time.
+    """
+    seconds = F.unix_seconds(F.col("event_timestamp").cast("timestamp"))
     return (
-        events.filter(F.col("event_timestamp").isNotNull())
-        .groupBy(time_bucket("event_timestamp", width).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("event_count"))
-        .filter(F.col("event_count") >= min_events)
-        .select(F.col("bucket.start").alias("time_bucket"), "event_count")
+        events.select(bucket_start(seconds, width_in_seconds(width)).alias("bucket"))
+        .groupBy("bucket")
+        .agg(F.count("bucket").alias("event_count"))
+        .filter(F.col("event_count") >= max(min_events, 1))
+        .select(F.timestamp_seconds("bucket").cast("timestamp_ntz").alias("time_bucket"), "event_count")
         .orderBy(F.desc("event_count"), F.asc("time_bucket"))
         .limit(limit)
     )
@@ -79,10 +88,10 @@ def connection_counts(events: DataFrame) -> DataFrame:
 def rare_pairs(events: DataFrame, max_rare_count: int = 2) -> DataFrame:
     """Rare process/destination pairs next to the total over all pairs, unnamed ones included.
 
-    The total is a scalar subquery over the same pair counts, so Spark reuses their
-    exchange and no join is planned.
+    The total of all pair counts is the number of connections: a scalar subquery that
+    reads one column and needs neither the pairs nor a join.
     """
-    total = connection_counts(events).agg(F.sum("connection_count").alias("total_connections"))
+    total = events.filter(F.col("event_type") == NETWORK_EVENT).agg(F.count(F.lit(1)))
     return (
         connection_counts(events)
         .filter(F.col("connection_count") <= max(max_rare_count, 1))

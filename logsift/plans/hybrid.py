@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 
 from logsift.functions.text import sanitize_identifier
 from logsift.operators.records import correlate_alerts
+from logsift.session import materialize
 
 
 @dataclass(frozen=True)
@@ -25,12 +26,13 @@ def correlation_view_name(base: str) -> str:
 def load_hybrid(base: str, raw: DataFrame | None, alerts: DataFrame | None = None) -> HybridTables:
     """Register ``{base}_raw``, ``{base}_alerts`` and their correlation as views.
 
-    Raw events are required. Alerts are optional: without them, or if they lack the
-    columns to correlate, the load still succeeds.
+    Raw events are required; they are flattened once and stored. Alerts are optional:
+    without them, or if they lack the columns to correlate, the load still succeeds.
     """
     if raw is None:
         raise ValueError("raw event records are required")
     name = sanitize_identifier(base)
+    raw = materialize(raw, f"{name}_raw")
     raw.createOrReplaceTempView(f"{name}_raw")
     correlated = None
     if alerts is not None:

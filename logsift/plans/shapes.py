@@ -42,15 +42,17 @@ def join_keyed(
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    stored: bool = False,
 ) -> DataFrame:
     """Join a large, possibly skewed ``left`` to a ``right`` with one row per key.
 
-    ``right`` is written once and counted. Up to ``broadcast_rows`` rows it is
+    ``right`` is written once (unless ``stored`` says it was) and counted. Up to ``broadcast_rows`` rows it is
     broadcast, so ``left`` is not shuffled at all. Beyond that, ``right`` is
     repeated once per salt and ``left`` spreads every key over all salts, so a key
     holding a third of the rows still runs on ``salts`` tasks.
     """
-    right = materialize(right, "side")
+    if not stored:
+        right = materialize(right, "side")
     if right.count() <= broadcast_rows:
         return left.join(F.broadcast(right), list(keys), how)
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

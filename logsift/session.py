@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # A key that occurs twice in a record keeps its last value.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 

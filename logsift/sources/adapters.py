@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logsift.operators.extract import FIELDS, structured_lines
 from logsift.operators.records import record_rows
-from logsift.sources.lines import read_lines
+from logsift.sources.lines import read_lines, store_lines
 from logsift.sources.tabular import read_csv, read_json
 
 RECORD_SCHEMA = "event_record_id bigint, timestamp string, data string"
@@ -16,7 +16,7 @@ RECORD_SCHEMA = "event_record_id bigint, timestamp string, data string"
 
 def read_text_log(spark: SparkSession, path: str, max_lines: int = 0, structured: bool = True) -> DataFrame:
     """A text log: five text columns if any file yields fields, else a single ``line`` column."""
-    parsed = structured_lines(read_lines(spark, path), max_lines, structured)
+    parsed = structured_lines(store_lines(read_lines(spark, path)), max_lines, structured)
     if not structured or parsed.filter("structured").isEmpty():
         return parsed.select(F.col("raw_message").alias("line"))
     return parsed.select(*FIELDS, "raw_message")

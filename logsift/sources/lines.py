@@ -10,15 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from logsift.constants import PREVIEW_BYTES, PREVIEW_LINES, SNIFF_BYTES
-from logsift.plans.shapes import head_per_group, join_keyed
-
-
-def line_order() -> list:
-    return [F.col("block").asc(), F.col("pos").asc()]
+from logsift.plans.shapes import join_keyed
+from logsift.session import materialize
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -31,70 +28,83 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def head_lines(lines: DataFrame, n: int) -> DataFrame:
-    """First ``n`` lines of every file (all of them for ``n <= 0``).
+def store_lines(lines: DataFrame) -> DataFrame:
+    """Lines written once to the shared folder.
+
+    Fixes file, block and pos, which a second scan of the text could split
+    differently, and turns the passes over them into reads of two small columns.
+    """
+    return materialize(lines, "lines")
+
 
-    ``n`` may be large and one file may hold most of the data, so files are never
-    ranked as a whole: lines are counted per split, a running total over the splits
-    of a file says which of them the head reaches, and only the lines of those
-    splits are ranked, each split on its own.
+def numbered_head(lines: DataFrame, n: int) -> DataFrame:
+    """First ``n`` lines of every file with their number in ``line_no``.
+
+    ``n`` may be large and one file may hold most of the data, so no file is ranked
+    as a whole. Lines are counted per split, a running total over the splits of a
+    file says which of them the head reaches, and only the lines of those splits are
+    read and ranked, each split on its own.
     """
-    if n <= 0:
-        return lines
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    reached = (
+    reached = materialize(
         lines.groupBy("file", "block")
         .agg(F.count(F.lit(1)).alias("n_lines"))
         .withColumn("before", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
         .filter(F.col("before") < n)
-        .select("file", "block", "before")
+        .select("file", "block", "before"),
+        "reached",
     )
+    last = reached.agg(F.max("block")).head()[0]
     in_block = Window.partitionBy("file", "block").orderBy("pos")
     return (
-        join_keyed(lines, reached, ["file", "block"], "inner")
+        join_keyed(lines.filter(F.col("block") <= F.lit(last)), reached, ["file", "block"], "inner", stored=True)
         .withColumn("rn", F.row_number().over(in_block))
         .filter(F.col("rn") <= n)
-        .filter(F.col("before") + F.col("rn") <= n)
-        .select(*lines.columns)
+        .withColumn("line_no", F.col("before") + F.col("rn"))
+        .filter(F.col("line_no") <= n)
+        .select(*lines.columns, "line_no")
     )
 
 
+def head_lines(lines: DataFrame, n: int) -> DataFrame:
+    """First ``n`` lines of every file (all of them for ``n <= 0``)."""
+    return lines if n <= 0 else numbered_head(lines, n).drop("line_no")
+
+
+def _bytes_before(size: Column) -> Column:
+    earlier = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(size + 1).over(earlier), F.lit(0))
+
+
 def preview(lines: DataFrame, max_lines: int = PREVIEW_LINES, max_bytes: int = PREVIEW_BYTES) -> DataFrame:
     """Head of each file for display: at most ``max_lines`` lines and ``max_bytes`` bytes.
 
     Line breaks count as a byte; the line that crosses the limit is cut there.
     """
-    so_far = Window.partitionBy("file").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    raw = F.encode(F.coalesce("line", F.lit("")), "UTF-8")
+    kept = F.substring("raw", F.lit(1), (F.lit(max_bytes) - F.col("before")).cast("int"))
     return (
-        head_per_group(lines, ["file"], line_order(), max_lines)
-        .withColumn("raw", raw)
-        .withColumn("before", F.coalesce(F.sum(F.length("raw") + 1).over(so_far), F.lit(0)))
+        numbered_head(lines, max_lines)
+        .withColumn("raw", F.encode(F.coalesce("line", F.lit("")), "UTF-8"))
+        .withColumn("before", _bytes_before(F.length("raw")))
         .filter(F.col("before") < max_bytes)
-        .select(
-            "file",
-            F.col("rn").alias("line_no"),
-            F.decode(
-                F.make_valid_utf8(F.substring("raw", F.lit(1), (F.lit(max_bytes) - F.col("before")).cast("int")).cast("string")).cast("binary"),
-                "UTF-8",
-            ).alias("line"),
-        )
+        .select("file", F.col("line_no").cast("int").alias("line_no"), F.make_valid_utf8(kept.cast("string")).alias("line"))
     )
 
 
 def file_heads(lines: DataFrame, max_bytes: int = SNIFF_BYTES) -> DataFrame:
-    """``(file, head)``: the first bytes of each file, from its first split.
+    """``(file, head)``: the first bytes of each file.
 
-    A split is never smaller than ``max_bytes``, so lines outside the first one are
-    dropped before anything is ranked.
+    Every line takes at least a byte, so ``max_bytes`` lines always suffice; the
+    lines of a head are joined in order, at most ``max_bytes`` of them per file.
     """
-    per_file = Window.partitionBy("file").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    first = head_per_group(lines.filter(F.col("block") == 0), ["file"], line_order(), max_bytes)
     text = F.coalesce("line", F.lit(""))
+    rows = F.array_sort(F.collect_list(F.struct("line_no", text.alias("text"))))
+    joined = F.concat_ws("\n", F.transform("rows", lambda r: r["text"]))
     return (
-        first.withColumn("before", F.coalesce(F.sum(F.octet_length(text) + 1).over(per_file), F.lit(0)))
+        numbered_head(lines, max_bytes)
+        .withColumn("before", _bytes_before(F.octet_length(text)))
         .filter(F.col("before") < max_bytes)
         .groupBy("file")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", text.alias("text")))).alias("rows"))
-        .select("file", F.concat_ws("\n", F.transform("rows", lambda r: r["text"])).alias("head"))
+        .agg(rows.alias("rows"))
+        .select("file", F.substring(joined, 1, max_bytes).alias("head"))
     )

@@ -12,7 +12,7 @@ from logsift.functions.text import is_large, sanitized, size_text
 from logsift.operators import extract, normalize, records
 from logsift.plans.hybrid import correlation_view_name, has_correlation, load_hybrid
 from logsift.plans.store import EventStore, describe_tables, replace_events, write_raw
-from logsift.session import scratch_path
+from logsift.session import materialize, scratch_path
 from logsift.sources import adapters, files, lines, netsets, tabular
 from logsift.streaming.ingest import stream_table_files
 from workload import relations as R
@@ -374,7 +374,8 @@ def ev8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j1_correlated_alerts", _CORRELATED_SQL, ("alerts", "record_rows"))
 def j1(spark: SparkSession, sf: str) -> DataFrame:
-    return records.correlate_alerts(R.alerts(spark, sf), records.record_rows(R.event_records(spark, sf)))
+    raw = materialize(records.record_rows(R.event_records(spark, sf)), "raw")
+    return records.correlate_alerts(R.alerts(spark, sf), raw)
 
 
 @query("j2_correlation_available", (
