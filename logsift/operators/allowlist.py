@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsift.functions.address import canonical_address
+from logsift.plans.shapes import join_keyed
 
 ALLOWLIST_SCHEMA = (
     "id string, indicator string, indicator_type string, description string, metadata string, created_at timestamp_ntz"
@@ -33,13 +34,22 @@ def canonical_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def insert(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)`` rows of an insert under the unique (indicator, type) key.
 
-    Of several new rows with one key the smallest id is accepted. The winner is found
-    by aggregation and joined on the id, so a key with many copies stays spread out.
+    Of several new rows with one key the smallest id is accepted, and one row of an id
+    that occurs twice; everything else is rejected. Winners are found by aggregation
+    and joined on the id, so a key with many copies stays spread out.
     """
     winners = new.groupBy(*KEY).agg(F.min("id").alias("id"))
     free = winners.join(existing.select(*KEY), KEY, "left_anti").select("id", *KEY)
     keys = ["id", *KEY]
-    return new.join(free, keys, "left_semi").dropDuplicates(keys), new.join(free, keys, "left_anti")
+    others = [c for c in new.columns if c not in keys]
+    accepted = (
+        new.join(free, keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.min(F.struct(*others)).alias("row"))
+        .select(*keys, "row.*")
+        .select(*new.columns)
+    )
+    return accepted, new.exceptAll(accepted)
 
 
 def delete(existing: DataFrame, ids: DataFrame) -> DataFrame:
@@ -60,7 +70,7 @@ def membership(
     scoped = entries if indicator_type is None else entries.filter(F.col("indicator_type") == indicator_type)
     listed = scoped.select(F.col("indicator").alias(column)).distinct().withColumn("allowlisted", F.lit(True))
     known = candidates.select(column).distinct().join(listed, column, "inner")
-    return candidates.join(known, column, "left").withColumn(
+    return join_keyed(candidates, known, [column]).withColumn(
         "allowlisted", F.coalesce("allowlisted", F.lit(False))
     )
 

@@ -144,7 +144,7 @@ def normalize_reports(reports: DataFrame, column: str = "report_json") -> DataFr
     """Add ``report``, the tolerant normal form of the JSON in ``column``, and ``readable``.
 
     Known alternative key names are mapped, defaults filled in, unknown keys and
-    non-object items dropped. A report without title, summary or a valid severity is
+    non-object items dropped. A report without title, summary or valid severity is
     not readable, and neither is one with an indicator of unknown severity; its
     ``report`` is NULL.
     """
@@ -197,9 +197,10 @@ def normalize_reports(reports: DataFrame, column: str = "report_json") -> DataFr
     # Judged on the raw members: cheap to evaluate again where a filter is pushed down.
     listed = F.filter(member("indicators").try_cast("array<variant>"), _is_object)
     rated = F.forall(listed, lambda i: _or(F.try_variant_get(i, "$.severity", "string"), "Medium").isin(*C.SEVERITIES))
+    named = root.try_cast("map<string,variant>")
     readable = (
-        member("title", "string").isNotNull()
-        & member("summary", "string").isNotNull()
+        F.map_contains_key(named, F.lit("title"))
+        & F.map_contains_key(named, F.lit("summary"))
         & member("severity", "string").isin(*C.SEVERITIES)
         & F.coalesce(rated, F.lit(True))
     )

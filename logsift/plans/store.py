@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logsift.constants import EVENT_TYPES
 from logsift.operators.normalize import is_analyzable, is_unstructured, normalize, normalize_all
+from logsift.plans.shapes import join_keyed
 
 EVENTS_SCHEMA = ", ".join(f"{c} {t}" for c, t in EVENT_TYPES.items()) + ", source string"
 # Name prefixes and tables that are never raw sources.
@@ -43,7 +44,7 @@ class EventStore:
     def events(self) -> DataFrame:
         """Rows of registered sources only; an unfinished write is not visible."""
         stored = _read(self.spark, self.events_path, EVENTS_SCHEMA)
-        return stored.join(F.broadcast(self.sources()), "source", "left_semi")
+        return join_keyed(stored, self.sources(), ["source"], "left_semi", stored=True)
 
     def sources(self) -> DataFrame:
         """Names of merged sources: one row per file or table a caller listed itself."""

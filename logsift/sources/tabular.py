@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from logsift.constants import PREVIEW_ROWS
+from logsift.session import materialize
 
 _DELIMITERS = (",", ";", "\t", "|")
 
@@ -43,7 +44,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     """JSON lines, or files holding one array of objects, with an inferred nested schema.
 
     Lines are split over tasks; an array file is one task each, so large exports
-    should be lines. Keys that differ only by case get a numeric suffix.
+    should be lines. Keys that differ only by case get a numeric suffix; such a source
+    is stored under its new names, since they cannot be told apart in a later query.
     """
     lines = not _first_text(spark, path).lstrip().startswith("[")
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -51,7 +53,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
         df = reader.json(path, multiLine=not lines)
-        return df.toDF(*_distinct_names(df.columns))
+        names = _distinct_names(df.columns)
+        return df if names == df.columns else materialize(df.toDF(*names), "json")
     finally:
         spark.conf.set("spark.sql.caseSensitive", before)
 
