@@ -17,10 +17,15 @@ _V4_TAIL = rf"^(.*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 _GROUPS = 8
 
 
+def _quad_number(text: Column) -> Column:
+    """The value of a text known to be a dotted quad."""
+    part = [F.substring_index(F.substring_index(text, ".", i + 1), ".", -1).try_cast("bigint") for i in range(4)]
+    return part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
+
+
 def _v4_number(text: Column) -> Column:
     """A valid dotted quad as a long, else NULL."""
-    octet = [F.regexp_extract(text, _V4, i + 1).try_cast("bigint") for i in range(4)]
-    return octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
+    return F.when(text.rlike(_V4), _quad_number(text))
 
 
 def _without_scope(text: Column) -> Column:
@@ -35,70 +40,54 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _v6_groups(text: Column) -> Column:
-    """The eight 16-bit groups of an IPv6 text as hexadecimal strings, NULL if invalid."""
+def _v6_full(text: Column) -> Column:
+    """All eight groups of an IPv6 text, lower case, joined by colons; NULL if invalid."""
 
     def hex_tail(plain: Column) -> Column:
         octet = [F.regexp_extract(plain, _V4_TAIL, i + 2).try_cast("bigint") for i in range(4)]
-        return F.concat(
-            F.regexp_extract(plain, _V4_TAIL, 1),
-            F.hex(octet[0] * 256 + octet[1]), F.lit(":"), F.hex(octet[2] * 256 + octet[3]),
-        )
-
-    def split_groups(part: Column) -> Column:
-        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
-
-    def fill(sides: Column) -> Column:
-        skipped = F.lit(_GROUPS) - F.size(sides["head"]) - F.size(sides["rest"])
-        return (
-            F.when((sides["n"] == 1) & (F.size(sides["head"]) == _GROUPS), sides["head"])
-            .when(
-                (sides["n"] == 2) & (skipped >= 1),
-                F.concat(sides["head"], F.array_repeat(F.lit("0"), skipped), sides["rest"]),
-            )
+        groups = F.hex(octet[0] * 256 + octet[1]), F.hex(octet[2] * 256 + octet[3])
+        return F.concat(F.regexp_extract(plain, _V4_TAIL, 1), groups[0], F.lit(":"), groups[1])
+
+    def count_groups(part: Column) -> Column:
+        return F.when(part == "", 0).otherwise(F.length(part) - F.length(F.replace(part, F.lit(":"), F.lit(""))) + 1)
+
+    def filled(plain: Column) -> Column:
+        head, rest = F.substring_index(plain, "::", 1), F.substring_index(plain, "::", -1)
+        skipped = F.lit(_GROUPS) - count_groups(head) - count_groups(rest)
+        zeros = F.repeat(F.lit(":0"), skipped)
+        joined = F.concat_ws(":", F.nullif(head, F.lit("")), F.substring(zeros, 2, 2 * _GROUPS), F.nullif(rest, F.lit("")))
+        one_gap = F.length(F.replace(plain, F.lit("::"), F.lit(""))) == F.length(plain) - 2
+        return F.when(~plain.contains("::"), plain).when(
+            one_gap & ~plain.contains(":::") & (skipped >= 1), joined
         )
 
-    def sides(parts: Column) -> Column:
-        return F.struct(
-            F.size(parts).alias("n"),
-            split_groups(F.get(parts, F.lit(0))).alias("head"),
-            F.coalesce(split_groups(F.get(parts, F.lit(1))), F.array().cast("array<string>")).alias("rest"),
-        )
-
-    def valid(groups: Column) -> Column:
-        return F.when(F.forall(groups, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")), groups)
+    def valid(full: Column) -> Column:
+        return F.when(full.rlike(rf"^([0-9a-f]{{1,4}}:){{{_GROUPS - 1}}}[0-9a-f]{{1,4}}$"), full)
 
     plain = _without_scope(text)
     expanded = F.when(plain.contains("."), _let(plain, hex_tail)).otherwise(plain)
-    parts = F.when(plain.contains(":"), F.split(expanded, "::"))
-    return _let(_let(_let(parts, sides), fill), valid)
+    return _let(_let(F.when(plain.contains(":"), F.lower(expanded)), filled), valid)
 
 
-def _pack(groups: Column, start: int) -> Column:
-    number = [F.conv(F.get(groups, F.lit(start + i)), 16, 10).cast("bigint") for i in range(4)]
-    return (
-        F.shiftleft(number[0], 48)
-        .bitwiseOR(F.shiftleft(number[1], 32))
-        .bitwiseOR(F.shiftleft(number[2], 16))
-        .bitwiseOR(number[3])
-    )
+def _v6_numbers(full: Column) -> Column:
+    """The version struct of eight joined groups."""
 
+    def halves(digits: Column) -> Column:
+        hi, lo = [F.conv(F.substring(digits, start, 16), 16, -10).cast("bigint") for start in (1, 17)]
+        return F.when(digits.isNotNull(), F.struct(F.lit(6).alias("version"), hi.alias("hi"), lo.alias("lo")))
 
-def parse_address(text: Column) -> Column:
-    """struct<version:int, hi:bigint, lo:bigint>; NULL for anything that is not an address."""
+    padded = F.replace(F.concat(F.lit(":"), full), F.lit(":"), F.lit(":000"))
+    return _let(F.regexp_replace(padded, ":0*([0-9a-f]{4})(?=:|$)", "$1"), halves)
 
-    def pack(groups: Column) -> Column:
-        return F.when(
-            groups.isNotNull(),
-            F.struct(F.lit(6).alias("version"), _pack(groups, 0).alias("hi"), _pack(groups, 4).alias("lo")),
-        )
 
+def parse_address(text: Column) -> Column:
+    """struct<version:int, hi:bigint, lo:bigint>; NULL for anything that is not an address."""
     v4 = F.struct(
         F.lit(4).alias("version"),
-        F.shiftleft(_v4_number(text), 32).alias("hi"),
+        F.shiftleft(_quad_number(text), 32).alias("hi"),
         F.lit(0).cast("bigint").alias("lo"),
     )
-    return F.when(text.rlike(_V4), v4).when(text.contains(":"), _let(_v6_groups(text), pack))
+    return F.when(text.rlike(_V4), v4).when(text.contains(":"), _v6_numbers(_v6_full(text)))
 
 
 def mask_hi(hi: Column, length: Column) -> Column:
@@ -166,18 +155,19 @@ def canonical_address(text: Column) -> Column:
             short = F.when(joined.rlike(zeros), F.regexp_replace(joined, zeros, "$1::$4")).otherwise(short)
         return short
 
-    def v6_text(groups: Column) -> Column:
-        joined = F.array_join(
-            F.transform(groups, lambda g: F.lower(F.hex(F.conv(g, 16, 10).cast("bigint")))), ":"
-        )
-        low = [F.conv(F.get(groups, F.lit(i)), 16, 10).cast("bigint") for i in (6, 7)]
-        dotted = F.concat_ws(".", *[part.cast("string") for n in low for part in (F.shiftright(n, 8), n.bitwiseAND(F.lit(255).cast("bigint")))])
-        return F.when(joined.rlike("^0:0:0:0:0:ffff:"), F.concat(F.lit("::ffff:"), dotted)).otherwise(
+    def plain_groups(full: Column) -> Column:
+        return F.regexp_replace(full, "(^|:)0{1,3}(?=[0-9a-f])", "$1")
+
+    def v6_text(joined: Column) -> Column:
+        low = [F.conv(F.get(F.split(joined, ":"), F.lit(i)), 16, 10).cast("bigint") for i in (6, 7)]
+        parts = [part for n in low for part in (F.shiftright(n, 8), F.pmod(n, F.lit(256)))]
+        dotted = F.concat_ws(".", *[part.cast("string") for part in parts])
+        return F.when(joined.startswith("0:0:0:0:0:ffff:"), F.concat(F.lit("::ffff:"), dotted)).otherwise(
             _let(joined, shortened)
         )
 
     value = F.trim(text)
     zone = F.when(value.contains("%"), F.concat(F.lit("%"), F.substring_index(value, "%", -1))).otherwise("")
     return F.when(value.rlike(_V4), value).when(
-        value.contains(":"), F.concat(_let(_v6_groups(value), v6_text), zone)
+        value.contains(":"), F.concat(_let(plain_groups(_v6_full(value)), v6_text), zone)
     )

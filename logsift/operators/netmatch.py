@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from logsift.functions.address import mask_hi, mask_lo, parse_address, parse_network
-from logsift.plans.shapes import join_keyed
+from logsift.plans.shapes import computed_once, join_keyed
 from logsift.session import materialize
 
 _NETWORK = ["version", "prefix_len", "hi", "lo"]
@@ -13,11 +13,8 @@ _NETWORK = ["version", "prefix_len", "hi", "lo"]
 
 def parse_networks(netset: DataFrame) -> DataFrame:
     """``(list_name, cidr, version, prefix_len, hi, lo)``; unparseable CIDRs are skipped."""
-    return (
-        netset.select("list_name", "cidr", parse_network(F.col("cidr")).alias("net"))
-        .filter(F.col("net").isNotNull())
-        .select("list_name", "cidr", "net.*")
-    )
+    parsed = computed_once(netset, F.col("list_name"), F.col("cidr"), parse_network(F.col("cidr")).alias("net"))
+    return parsed.filter(F.col("net").isNotNull()).select("list_name", "cidr", "net.*")
 
 
 def match_ips(ips: DataFrame, netset: DataFrame, column: str = "ip") -> DataFrame:
@@ -31,12 +28,10 @@ def match_ips(ips: DataFrame, netset: DataFrame, column: str = "ip") -> DataFram
         parse_networks(netset).groupBy(*_NETWORK).agg(F.collect_set("list_name").alias("lists")), "networks"
     )
     lengths = networks.select("version", "prefix_len").distinct()
-    addresses = (
-        ips.select(column).distinct()
-        .select(column, parse_address(F.col(column)).alias("address"))
-        .filter(F.col("address").isNotNull())
-        .select(column, "address.*")
+    parsed = computed_once(
+        ips.select(column).distinct(), F.col(column), parse_address(F.col(column)).alias("address")
     )
+    addresses = parsed.filter(F.col("address").isNotNull()).select(column, "address.*")
     masked = addresses.join(F.broadcast(lengths), "version").select(
         column,
         "version",

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logsift import constants as C
-from logsift.plans.shapes import spread_nulls
+from logsift.plans.shapes import computed_once, spread_nulls
 
 MAX_DEPTH = 6
 _MAP = "map<string,variant>"
@@ -37,8 +37,7 @@ def _leaf(key: Column, value: Column) -> Column:
 
 def _node(key: Column, value: Column) -> Column:
     """An entry still to be opened if its value is an object or a list."""
-    nested = F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
-    return F.struct(key.alias("key"), value.alias("value"), F.coalesce(nested, F.lit(False)).alias("open"))
+    return F.struct(key.alias("key"), value.alias("value"), (_is_object(value) | _is_list(value)).alias("open"))
 
 
 def _child(parent: Column, name: Column) -> Column:
@@ -161,7 +160,8 @@ def record_rows(records: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         "status_code": first_of(flat, C.RECORD_STATUS_KEYS),
         **plain,
     }
-    return flatten_payload(df, "_event", "_flat", max_depth).select(*[values[c].alias(c) for c in C.RECORD_COLUMNS])
+    flattened = flatten_payload(df, "_event", "_flat", max_depth)
+    return computed_once(flattened, *[values[c].alias(c) for c in C.RECORD_COLUMNS])
 
 
 def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:

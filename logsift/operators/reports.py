@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logsift import constants as C
 from logsift.functions.text import date_label, truncate_within
-from logsift.plans.shapes import head_per_group
+from logsift.plans.shapes import computed_once, head_per_group
 
 CONTEXT_HEADER = (
     "Analyze the suspicious indicators below and produce a structured incident report.",
@@ -194,7 +194,6 @@ def normalize_reports(reports: DataFrame, column: str = "report_json") -> DataFr
         indicators.alias("indicators"),
         F.coalesce(F.to_json(member("metadata")), F.lit("{}")).alias("metadata"),
     ).cast(REPORT_TYPE)
-    # Judged on the raw members: cheap to evaluate again where a filter is pushed down.
     listed = F.filter(member("indicators").try_cast("array<variant>"), _is_object)
     rated = F.forall(listed, lambda i: _or(F.try_variant_get(i, "$.severity", "string"), "Medium").isin(*C.SEVERITIES))
     named = root.try_cast("map<string,variant>")
@@ -204,12 +203,11 @@ def normalize_reports(reports: DataFrame, column: str = "report_json") -> DataFr
         & member("severity", "string").isin(*C.SEVERITIES)
         & F.coalesce(rated, F.lit(True))
     )
-    return (
-        reports.withColumn("_root", F.try_parse_json(column))
-        .withColumn("readable", F.coalesce(readable, F.lit(False)))
-        .withColumn("report", F.when(F.col("readable"), report))
-        .drop("_root")
+    judged = reports.withColumn("_root", F.try_parse_json(column)).withColumn(
+        "readable", F.coalesce(readable, F.lit(False))
     )
+    kept = [F.col(f"`{c}`") for c in (*reports.columns, "readable")]
+    return computed_once(judged, *kept, F.when(F.col("readable"), report).alias("report"))
 
 
 def report_json(column: str = "report") -> Column:

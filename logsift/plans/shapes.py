@@ -61,6 +61,25 @@ def join_keyed(
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def fill_cores(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores (a small or unsplittable file), spread over all cores.
+
+    For scans that feed CPU-heavy expressions. Large inputs have more splits than
+    cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Only the given columns, each evaluated once per row whatever is done with them later.
+
+    A generator over a one-element array keeps the optimizer from copying costly
+    expressions into the filters and join conditions above it.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def spread_nulls(df: DataFrame, keys: Sequence[str], salts: int = 1024) -> Column:
     """Join helper: 0 where all keys are set, else a value spreading the rows that can never match."""
     missing = F.lit(False)

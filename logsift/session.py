@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small shuffles feed costly expressions here; keep them on all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.parquet.filterPushdown": "true",
     # A key that occurs twice in a record keeps its last value.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",

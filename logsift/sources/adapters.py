@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logsift.operators.extract import FIELDS, structured_lines
 from logsift.operators.records import record_rows
+from logsift.plans.shapes import fill_cores
 from logsift.sources.lines import read_lines, store_lines
 from logsift.sources.tabular import read_csv, read_json
 
@@ -24,7 +25,7 @@ def read_text_log(spark: SparkSession, path: str, max_lines: int = 0, structured
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Exported event records (JSON lines) as flat rows."""
-    return record_rows(read_json(spark, path, RECORD_SCHEMA))
+    return record_rows(fill_cores(read_json(spark, path, RECORD_SCHEMA)))
 
 
 def read_alerts_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -88,12 +88,12 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
     "select file, line from mixed_lines qualify row_number() over (partition by file order by block, pos) <= 25"
 ), ("mixed_lines",))
 def s6(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.head_lines(R.mixed_lines(spark, sf), 25).select("file", "line")
+    return lines.head_lines(lines.store_lines(R.mixed_lines(spark, sf)), 25).select("file", "line")
 
 
 @query("s7_structured_ingest", "select * from structured_lines", ("structured_lines",))
 def s7(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.structured_lines(R.mixed_lines(spark, sf))
+    return extract.structured_lines(lines.store_lines(R.mixed_lines(spark, sf)))
 
 
 @query("s8_adapter_dispatch", (
@@ -167,7 +167,7 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     "where rn <= 60) where before < 4096"
 ), ("mixed_lines",))
 def s13(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.preview(R.mixed_lines(spark, sf), 60, 4096)
+    return lines.preview(lines.store_lines(R.mixed_lines(spark, sf)), 60, 4096)
 
 
 @query("s14_netset_scan", "select list_name, cidr from netset", ("netset",))
@@ -395,7 +395,7 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p1_detect_formats", "select file, format from file_formats", ("file_formats",))
 def p1(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.detect_formats(R.mixed_lines(spark, sf)).select("file", "format")
+    return extract.detect_formats(lines.store_lines(R.mixed_lines(spark, sf))).select("file", "format")
 
 
 def _fields_sql(fmt: str, relation: str) -> str:

@@ -13,11 +13,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logsift import constants as C
 from logsift.operators import extract, normalize
+from logsift.plans.shapes import fill_cores
 from logsift.sources.netsets import parse_netset_lines
 
 
+_SCANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its scan is planned once per application, so its schema is read once."""
+    key = (spark.sparkContext.applicationId, f"{sf}/{name}.parquet")
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(key[1])
+    return _SCANS[key]
+
+
+def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table for CPU-heavy expressions: on all cores even if it is one small file."""
+    key = (spark.sparkContext.applicationId, f"{sf}/{name}.parquet on all cores")
+    if key not in _SCANS:
+        _SCANS[key] = fill_cores(table(spark, sf, name))
+    return _SCANS[key]
 
 
 # --- Spark -------------------------------------------------------------------
@@ -31,7 +47,7 @@ _METHOD = "case event_type when 'purchase' then 'POST' when 'signup' then 'PUT'
 
 
 def web_events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr(
+    return wide_table(spark, sf, "events").selectExpr(
         "event_id", "ts", "user_id", "event_type", "value", f"{_IP} as ip", f"{_STATUS} as status",
         f"{_METHOD} as method",
     )
@@ -77,6 +93,7 @@ def empty_json_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mixed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Five kinds of text files as one lines table."""
     parts = (access_lines, syslog_lines, json_lines, unclear_lines, empty_json_lines)
     return reduce(DataFrame.unionByName, [p(spark, sf) for p in parts])
 
@@ -91,7 +108,7 @@ def unified_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def network_events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").selectExpr(
+    return wide_table(spark, sf, "lineitem").selectExpr(
         "l_shipdate as event_timestamp",
         "concat('10.1.', (l_suppkey div 250) % 256, '.', l_suppkey % 250 + 1) as source_ip",
         "if(l_linenumber <= 5, 'Network Connection', 'Process Create') as event_type",
@@ -126,7 +143,7 @@ def netset_v6(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def addresses_v6(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").selectExpr(
+    return wide_table(spark, sf, "orders").selectExpr(
         "concat('2001:db8:', lower(hex(o_custkey % 65536)), '::', lower(hex(o_orderkey % 65536))) as ip"
     )
 
