@@ -40,6 +40,13 @@ REPORT_TYPE = (
 # --- context -----------------------------------------------------------------
 
 
+def _joined(df: DataFrame, keys: Sequence[str], text: Column, order: Sequence[str], name: str) -> DataFrame:
+    """One text per incident: the rows in order, a blank line between them."""
+    ordered = ", ".join((*order, "_text"))
+    texts = F.expr(rf"listagg(_text, '\n\n') within group (order by {ordered})")
+    return df.withColumn("_text", text).groupBy(*keys).agg(texts.alias(name))
+
+
 def report_context(
     indicators: DataFrame,
     reputation: DataFrame | None = None,
@@ -51,48 +58,28 @@ def report_context(
 
     ``indicators`` and ``samples`` carry the incident keys and a column ``position``
     that orders them; ``samples`` holds one JSON text per row in ``event``. Every
-    section is a row; rows are joined per incident in order.
+    input is read and grouped once, then the sections are joined per incident.
     """
-    key_list = list(keys)
-
-    def section(df: DataFrame, part: int, order: Column, sub: int, text: Column) -> DataFrame:
-        return df.select(
-            *key_list, F.lit(part).alias("part"), order.cast("string").alias("ord"), F.lit(sub).alias("sub"),
-            text.alias("text"),
-        )
-
-    def titled(df: DataFrame, part: int, title: str) -> DataFrame:
-        return section(df.select(*key_list).distinct(), part, F.lit(""), 0, F.lit(title))
-
-    position = F.lpad(F.col("position").cast("string"), 12, "0")
-    headline = F.concat(
-        F.lit("- ["), F.col("severity"), F.lit("] "), F.col("type"), F.lit(": "), F.col("description")
+    keys = list(keys)
+    shown = F.concat(
+        F.lit("- ["), F.col("severity"), F.lit("] "), F.col("type"), F.lit(": "), F.col("description"),
+        F.lit("\n\n  Evidence: "), truncate_within(F.col("evidence"), C.EVIDENCE_CHARS),
     )
-    evidence = F.concat(F.lit("  Evidence: "), truncate_within(F.col("evidence"), C.EVIDENCE_CHARS))
-    parts = [titled(indicators, i, text) for i, text in enumerate((*header, "Indicators:"))]
-    base = len(parts)
-    parts.append(section(indicators, base, position, 0, headline))
-    parts.append(section(indicators, base, position, 1, evidence))
+    out = _joined(indicators, keys, shown, ["position"], "indicators")
+    sections = [F.lit(text) for text in (*header, "Indicators:")] + [F.col("indicators")]
     if reputation is not None:
         line = F.concat(
             F.lit("- "), F.col("ip"), F.lit(": abuse confidence "), F.col("abuse_confidence_score").cast("string"),
             F.lit(", reports "), F.col("total_reports").cast("string"),
         )
-        parts.append(titled(reputation, base + 1, "Threat intelligence:"))
-        parts.append(section(reputation, base + 2, F.col("ip"), 0, line))
+        out = out.join(_joined(reputation, keys, line, ["ip"], "reputation"), keys, "left")
+        sections.append(F.concat(F.lit("Threat intelligence:\n\n"), F.col("reputation")))
     if samples is not None:
-        kept = head_per_group(samples, key_list, [F.asc("position"), F.asc("event")], C.SAMPLE_EVENTS)
-        parts.append(titled(samples, base + 3, "Sample raw events:"))
-        parts.append(
-            section(kept, base + 4, F.lpad(F.col("rn").cast("string"), 3, "0"), 0,
-                    truncate_within(F.col("event"), C.SAMPLE_CHARS))
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy(*key_list).agg(
-        F.expr(r"listagg(text, '\n\n') within group (order by part, ord, sub, text)").alias("context")
-    )
+        kept = head_per_group(samples, keys, [F.asc("position"), F.asc("event")], C.SAMPLE_EVENTS)
+        cut = truncate_within(F.col("event"), C.SAMPLE_CHARS)
+        out = out.join(_joined(kept, keys, cut, ["rn"], "samples"), keys, "left")
+        sections.append(F.concat(F.lit("Sample raw events:\n\n"), F.col("samples")))
+    return out.select(*keys, F.concat_ws("\n\n", *sections).alias("context"))
 
 
 # --- responses ---------------------------------------------------------------

@@ -39,20 +39,22 @@ def get_session(app: str = "logsift", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's checkpoint folder.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a fresh temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session without that
+    setting, as in tests, gets a fresh temporary folder of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-")
-        context.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
         folder = context.getCheckpointDir()
     return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under the application's id so that leftovers can be told apart."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

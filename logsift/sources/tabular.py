@@ -29,14 +29,26 @@ def _naive_times(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").cast("timestamp_ntz") for c in zoned})
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = ",", infer: bool = False) -> DataFrame:
+def has_multi_line_fields(spark: SparkSession, path: str) -> bool:
+    """Whether any line below ``path`` opens a quoted field it does not close."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(
+    spark: SparkSession, path: str, sep: str | None = ",", infer: bool = False, multi_line: bool | None = None
+) -> DataFrame:
     """CSV with a header; all columns text unless types are inferred.
 
     ``sep=None`` picks comma, semicolon, tab or bar from the header. Inferred times
-    are naive UTC.
+    are naive UTC. Files with line breaks inside fields cannot be split over tasks;
+    ``multi_line=None`` looks whether there are any, at the cost of a scan of the
+    text, ``False`` says there are none.
     """
     sep = sep or sniff_delimiter(_first_text(spark, path))
-    df = spark.read.csv(path, header=True, sep=sep, inferSchema=infer, escape='"', multiLine=False)
+    if multi_line is None:
+        multi_line = has_multi_line_fields(spark, path)
+    df = spark.read.csv(path, header=True, sep=sep, inferSchema=infer, escape='"', multiLine=multi_line)
     return _naive_times(df) if infer else df
 
 

@@ -18,6 +18,15 @@ def test_csv_stays_text(spark, tmp_path):
     assert dict(typed.dtypes)["status"] == "int" and dict(typed.dtypes)["timestamp"] == "timestamp_ntz"
 
 
+def test_csv_fields_may_hold_line_breaks(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('a,b\n1,"two\nlines"\n2,x\n')
+    assert [tuple(r) for r in tabular.read_csv(spark, str(path)).collect()] == [("1", "two\nlines"), ("2", "x")]
+    plain = tmp_path / "b.csv"
+    plain.write_text('a,b\n1,"say ""x"""\n')
+    assert tabular.has_multi_line_fields(spark, str(path)) and not tabular.has_multi_line_fields(spark, str(plain))
+
+
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
 def test_csv_delimiter_is_sniffed(spark, tmp_path, sep):
     path = tmp_path / "a.csv"
