@@ -23,13 +23,15 @@ def match_ips(ips: DataFrame, netset: DataFrame, column: str = "ip") -> DataFram
     Containment becomes an equality join: an address is masked to each prefix length
     that occurs in the lists (at most 33 + 129 of them, so that table is broadcast)
     and looked up among the networks, which are first merged to one row per network.
+    With the networks broadcast too, the rows of an address never leave the task its
+    ``distinct`` put them in.
     """
     networks = materialize(
         parse_networks(netset).groupBy(*_NETWORK).agg(F.collect_set("list_name").alias("lists")), "networks"
     )
     lengths = networks.select("version", "prefix_len").distinct()
     parsed = computed_once(
-        ips.select(column).distinct(), F.col(column), parse_address(F.col(column)).alias("address")
+        ips.select(column).distinct(), parse_address(F.col(column)).alias("address"), keep=[column]
     )
     addresses = parsed.filter(F.col("address").isNotNull()).select(column, "address.*")
     masked = addresses.join(F.broadcast(lengths), "version").select(
@@ -41,9 +43,9 @@ def match_ips(ips: DataFrame, netset: DataFrame, column: str = "ip") -> DataFram
     )
     return (
         join_keyed(masked, networks, _NETWORK, "inner", stored=True)
-        .select(column, F.explode("lists").alias("list_name"))
         .groupBy(column)
-        .agg(F.sort_array(F.collect_set("list_name")).alias("threat_lists"))
+        .agg(F.flatten(F.collect_list("lists")).alias("lists"))
+        .select(column, F.array_sort(F.array_distinct("lists")).alias("threat_lists"))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 from logsift.session import materialize
 
 BROADCAST_ROWS = 500_000
+HOT_ROWS = 1_000_000
 SALTS = 32
 
 
@@ -41,24 +43,42 @@ def join_keyed(
     keys: Sequence[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
     stored: bool = False,
 ) -> DataFrame:
     """Join a large, possibly skewed ``left`` to a ``right`` with one row per key.
 
-    ``right`` is written once (unless ``stored`` says it was) and counted. Up to ``broadcast_rows`` rows it is
-    broadcast, so ``left`` is not shuffled at all. Beyond that, ``right`` is
-    repeated once per salt and ``left`` spreads every key over all salts, so a key
-    holding a third of the rows still runs on ``salts`` tasks.
+    ``right`` is written once (unless ``stored`` says it was) and counted. Up to
+    ``broadcast_rows`` rows it is broadcast, so ``left`` is not shuffled at all.
+    Beyond that the keys with more than ``hot_rows`` rows in ``left`` are split off:
+    there can be few of them, so their share of ``right`` is broadcast, while the
+    rest meets in a shuffle join in which no key is large. Rows without a key match
+    nothing and skip the join. ``how`` is inner, left, left_semi or left_anti.
     """
+    keys = list(keys)
     if not stored:
         right = materialize(right, "side")
     if right.count() <= broadcast_rows:
-        return left.join(F.broadcast(right), list(keys), how)
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = left.withColumn("_salt", F.monotonically_increasing_id() % salts)
-    spread = spread.withColumn("_salt", F.col("_salt").cast("int"))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+        return left.join(F.broadcast(right), keys, how)
+
+    keyed = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    counts = left.filter(keyed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(counts.filter(F.col("_n") > hot_rows).select(*keys), "hot")
+    parts = []
+    if hot.isEmpty() or hot.count() > broadcast_rows:
+        # No key is large, or so many are that none of them dominates.
+        parts.append(left.filter(keyed).join(right, keys, how))
+    else:
+        hot = F.broadcast(hot)
+        parts.append(left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how))
+        parts.append(left.filter(keyed).join(hot, keys, "left_anti").join(right, keys, how))
+    unkeyed = left.filter(~keyed)
+    if how == "left":
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name not in keys]
+        parts.append(unkeyed.select("*", *missing))
+    elif how == "left_anti":
+        parts.append(unkeyed)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fill_cores(df: DataFrame) -> DataFrame:
@@ -71,13 +91,13 @@ def fill_cores(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
-    """Only the given columns, each evaluated once per row whatever is done with them later.
+def computed_once(df: DataFrame, *columns: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """The ``keep`` columns and the given ones, each evaluated once per row whatever follows.
 
     A generator over a one-element array keeps the optimizer from copying costly
     expressions into the filters and join conditions above it.
     """
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
 
 
 def spread_nulls(df: DataFrame, keys: Sequence[str], salts: int = 1024) -> Column:

@@ -81,13 +81,15 @@ def test_hot_key_is_ranked_exactly(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast_join(spark, how):
-    left = spark.range(0, 500, 1, 8).selectExpr("if(id % 3 = 0, 0, id % 20) as k", "id as v")
+@pytest.mark.parametrize("hot_rows", [0, 50, 10**6])
+def test_split_join_equals_broadcast_join(spark, how, hot_rows):
+    left = spark.range(0, 500, 1, 8).selectExpr("if(id % 7 = 6, null, if(id % 3 = 0, 0, id % 20)) as k", "id as v")
     right = spark.range(0, 10).selectExpr("id as k", "id * 2 as w")
     small = shapes.join_keyed(left, right, ["k"], how)
-    salted = shapes.join_keyed(left, right, ["k"], how, broadcast_rows=0, salts=4)
-    assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, salted.collect()), key=repr)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    split = shapes.join_keyed(left, right, ["k"], how, broadcast_rows=9, hot_rows=hot_rows)
+    assert small.columns == split.columns
+    assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, split.collect()), key=repr)
+    assert "BroadcastHashJoin" in plan(small) and "Exchange hashpartitioning" not in plan(small)
 
 
 def test_runner_and_aliased_tables(spark, rows):
