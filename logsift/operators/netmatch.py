@@ -17,36 +17,59 @@ def parse_networks(netset: DataFrame) -> DataFrame:
     return parsed.filter(F.col("net").isNotNull()).select("list_name", "cidr", "net.*")
 
 
+def _masked(df: DataFrame, lengths: DataFrame, *kept: str) -> DataFrame:
+    """Every row once per prefix length of its version, cut to that length."""
+    length = F.col("prefix_len")
+    return df.join(F.broadcast(lengths), "version").select(
+        *kept, "version", "prefix_len", mask_hi(F.col("hi"), length).alias("hi"), mask_lo(F.col("lo"), length).alias("lo")
+    )
+
+
+def merged_networks(netset: DataFrame) -> DataFrame:
+    """One row per network with the names of all lists that cover it, itself or by a wider network."""
+    networks = materialize(
+        parse_networks(netset).groupBy(*_NETWORK).agg(F.collect_set("list_name").alias("lists")), "networks"
+    )
+    own = [F.col(c).alias(f"own_{c}") for c in _NETWORK]
+    wider = _masked(
+        networks.select(*own, "version", "hi", "lo"), networks.select("version", "prefix_len").distinct(),
+        *[f"own_{c}" for c in _NETWORK],
+    ).filter(F.col("prefix_len") <= F.col("own_prefix_len"))
+    covered = join_keyed(wider, networks, _NETWORK, "inner", stored=True)
+    return (
+        covered.groupBy(*[F.col(f"own_{c}").alias(c) for c in _NETWORK])
+        .agg(F.flatten(F.collect_list("lists")).alias("lists"))
+        .select(*_NETWORK, F.array_sort(F.array_distinct("lists")).alias("threat_lists"))
+    )
+
+
 def match_ips(ips: DataFrame, netset: DataFrame, column: str = "ip") -> DataFrame:
     """``(column, threat_lists)`` for every distinct address inside at least one network.
 
     Containment becomes an equality join: an address is masked to each prefix length
     that occurs in the lists (at most 33 + 129 of them, so that table is broadcast)
-    and looked up among the networks, which are first merged to one row per network.
-    With the networks broadcast too, the rows of an address never leave the task its
-    ``distinct`` put them in.
+    and looked up among the networks. Networks already carry the lists of the wider
+    ones around them, so the longest match decides, and it is found with a plain
+    maximum per address. With the networks broadcast too, the rows of an address
+    never leave the task its ``distinct`` put them in.
     """
-    networks = materialize(
-        parse_networks(netset).groupBy(*_NETWORK).agg(F.collect_set("list_name").alias("lists")), "networks"
-    )
+    networks = materialize(merged_networks(netset), "networks")
     lengths = networks.select("version", "prefix_len").distinct()
     parsed = computed_once(
         ips.select(column).distinct(), parse_address(F.col(column)).alias("address"), keep=[column]
     )
-    addresses = parsed.filter(F.col("address").isNotNull()).select(column, "address.*")
-    masked = addresses.join(F.broadcast(lengths), "version").select(
-        column,
-        "version",
-        "prefix_len",
-        mask_hi(F.col("hi"), F.col("prefix_len")).alias("hi"),
-        mask_lo(F.col("lo"), F.col("prefix_len")).alias("lo"),
+    addresses = parsed.filter(F.col("address").isNotNull()).select(
+        column, "address.*", F.col("address.hi").alias("full_hi"), F.col("address.lo").alias("full_lo")
     )
-    return (
-        join_keyed(masked, networks, _NETWORK, "inner", stored=True)
-        .groupBy(column)
-        .agg(F.flatten(F.collect_list("lists")).alias("lists"))
-        .select(column, F.array_sort(F.array_distinct("lists")).alias("threat_lists"))
+    candidates = _masked(addresses, lengths, column, "full_hi", "full_lo")
+    matched = join_keyed(candidates, networks.select(*_NETWORK), _NETWORK, "left_semi", stored=True)
+    longest = matched.groupBy(column, "version", "full_hi", "full_lo").agg(F.max("prefix_len").alias("prefix_len"))
+    cut = longest.select(
+        column, "version", "prefix_len",
+        mask_hi(F.col("full_hi"), F.col("prefix_len")).alias("hi"),
+        mask_lo(F.col("full_lo"), F.col("prefix_len")).alias("lo"),
     )
+    return join_keyed(cut, networks, _NETWORK, "inner", stored=True).select(column, "threat_lists")
 
 
 def attach_lists(indicators: DataFrame, netset: DataFrame) -> DataFrame:
