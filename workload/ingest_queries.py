@@ -455,7 +455,7 @@ def _shape_sql(duck: bool) -> str:
     f"select event_id, text, {R.duck_time('text')} as event_timestamp from (select event_id, {_shape_sql(True)} as text from events)"
 ))
 def p6(spark: SparkSession, sf: str) -> DataFrame:
-    texts = R.table(spark, sf, "events").selectExpr("event_id", f"{_shape_sql(False)} as text")
+    texts = R.wide_table(spark, sf, "events").selectExpr("event_id", f"{_shape_sql(False)} as text")
     return texts.withColumn("event_timestamp", event_time(F.col("text"), T.StringType()))
 
 
