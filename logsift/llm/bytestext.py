@@ -104,3 +104,9 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
+
+
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order, by sorting."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
