@@ -110,3 +110,41 @@ def distinct_sorted(values: np.ndarray) -> np.ndarray:
     """Distinct values in ascending order, by sorting."""
     values = np.sort(values)
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+class KeyTable:
+    """Places of 64-bit keys in an array of distinct keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        index, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        while len(index):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = index[free]
+            lost = self.slot[at] != index
+            index, at = index[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, -1 if it is none of the table's."""
+        out = np.full(len(keys), -1, np.int64)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left) and len(self.keys):
+            slot = self.slot[at]
+            hit = (slot >= 0) & (self.keys[slot] == keys[left])
+            out[left[hit]] = slot[hit]
+            go = (slot >= 0) & ~hit
+            left, at = left[go], (at[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
+def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    limits = runs(keys)[:-1]
+    return (keys[limits], np.add.reduceat(counts, limits)) if len(keys) else (keys, counts)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .bytestext import U, distinct_sorted, groups, mix, utf8, word_hashes
 from .components import components
+from .filters import may_contain
 
 REGISTERS = 256
 BAND = 6  # registers per band; 42 bands find a pair at similarity 0.8 but for 3 in a million
@@ -30,8 +31,6 @@ _ATTEMPTS = 64
 _MANTISSA = 10
 # Nodes per bucket and round that are compared with the rest.
 CENTRES = 8
-# Bits of the filter that spares documents without any partner the second reading; its size never grows.
-FILTER_BITS = 1 << 24
 _BORROW = np.random.default_rng(20240607).integers(0, REGISTERS, (REGISTERS, _ATTEMPTS))
 
 
@@ -159,31 +158,19 @@ def _shared_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _node_sets(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """Stored (node, s1, s2, n, shingles) of the texts whose ids may be among the nodes.
 
-    A filter of fixed size is made of the nodes' ids, so the texts are read where they lie and not shuffled; what passes by chance
-    finds no partner later.
+    A filter of fixed size spares the other texts, which are read where they lie and not shuffled; what passes by chance finds
+    no partner later.
     """
-    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) + 1
-    bits = nodes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    spark = docs.sparkSession
-    # At most FILTER_BITS / 8 bytes.
-    shared = spark.sparkContext.broadcast({int(r["bucket"]): bytes(r["bits"]) for r in bits.collect()})
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = 32768
-        table = np.zeros((FILTER_BITS // size + 2, size), bool)
-        for bucket, data in shared.value.items():
-            table[bucket] = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
         for batch in batches:
-            p = batch["p"].to_numpy(np.int64) - 1  # buckets count from 1, positions in them from 0
-            batch = batch[table[p // size + 1, p % size]]
-            nodes, data = batch["node"].tolist(), []
+            data = []
             for part in groups(utf8(batch["text"].tolist())):
                 data += [s.tobytes() for s in shingle_sets(part, words)]
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(d) for d in data), "<i8").reshape(-1, 2)
-            yield pd.DataFrame({"node": nodes, "s1": digest[:, 0], "s2": digest[:, 1], "shingles": data})
+            yield pd.DataFrame({"node": batch["node"], "s1": digest[:, 0], "s2": digest[:, 1], "shingles": data})
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("p", place).select("node", "text", "p").mapInPandas(run, "node long, s1 long, s2 long, shingles binary")
+    rows = rows.where(may_contain(nodes, "node", F.col("node"))).mapInPandas(run, "node long, s1 long, s2 long, shingles binary")
     return materialize(rows, "shingles")
 
 

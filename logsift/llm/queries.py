@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import exact_dedup, hyperminhash, language, mixing, packing, topk, toxicity, wavelet
+from . import exact_dedup, hyperminhash, language, mixing, packing, ppm, suffix_levels, topk, toxicity, wavelet
 from .shipping import ship
 
 
@@ -88,6 +88,15 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ppm.score(_read(spark, sf_dir, "documents"), _remainder(10) != 0)
+    return found.select("doc_id", F.coalesce(_remainder(10) == 0, F.lit(False)).alias("held_out"), *found.columns[1:])
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"), _remainder(5) != 0)
@@ -98,6 +107,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash, "op2_wavelet_tokens": op2_wavelet_tokens, "op3_language_id": op3_language_id, "op4_exact_dedup": op4_exact_dedup, "op5_top_k": op5_top_k,
-    "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op10_toxicity": op10_toxicity,
+    "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_suffix_levels": op8_suffix_levels, "op9_ppm": op9_ppm, "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op1_hyperminhash": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_top_k": OP5_SQL}
