@@ -29,8 +29,8 @@ BAND = 6  # registers per band; 42 bands find a pair at similarity 0.8 but for 3
 BANDS = REGISTERS // BAND
 _ATTEMPTS = 64
 _MANTISSA = 10
-# Nodes per bucket and round that are compared with the rest; one in the first round, which joins most copies.
-CENTRES = 8
+# Nodes per bucket and round that are compared with the rest.
+CENTRES = 1
 _BORROW = np.random.default_rng(20240607).integers(0, REGISTERS, (REGISTERS, _ATTEMPTS))
 
 
@@ -223,11 +223,16 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
         # Every bucket's largest component is compared as the other side; all nodes outside it are centres in turn.
         turn = state.join(open_, ["bucket", "component"]).where("small and not done")
         first = Window.partitionBy("bucket").orderBy("size", "node")
-        # A centre is compared in all its buckets at once, so no pair is compared twice.
-        centres = materialize(turn.withColumn("no", F.row_number().over(first)).where(F.col("no") <= (1 if edges is None else CENTRES)).select(F.col("node").alias("a")).distinct(), "centres")
+        placed = turn.withColumn("no", F.row_number().over(first)).select("bucket", F.col("node").alias("a"), F.col("component").alias("of"), "no")
+        if edges is None:
+            # The first round joins most copies: every bucket's first node with the rest of that bucket.
+            here = centres = materialize(placed.where("no = 1").drop("no"), "centres")
+        else:
+            # Later a centre is compared in all its buckets at once and is done, so no pair is compared twice.
+            centres = materialize(placed.where(F.col("no") <= CENTRES).select("a").distinct(), "centres")
+            here = state.join(centres, F.col("node") == F.col("a")).select("bucket", "a", F.col("component").alias("of"))
         if centres.isEmpty():
             break
-        here = state.join(centres, F.col("node") == F.col("a")).select("bucket", "a", F.col("component").alias("of"))
         pairs = state.where("not done").join(here, "bucket").where("component <> of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         side = mine.select("node", "n", "signature")
         a = side.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("signature_a"))
@@ -240,10 +245,11 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
         full = near.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b").join(
             own.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
         found = materialize(full.mapInPandas(_confirm(percent), "a long, b long"), "links")
-        if edges is None or not found.isEmpty():
+        first_round = edges is None
+        if first_round or not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             after = materialize(components(edges), "components").withColumnRenamed("component", "to")
-        done = centres.select(F.col("a").alias("node"), F.lit(True).alias("was"))
+        done = centres.where(F.lit(not first_round)).select(F.col("a").alias("node"), F.lit(True).alias("was"))
         state = materialize(
             state.join(after, "node", "left").join(done, "node", "left")
             .select("bucket", "node", F.coalesce("to", "component").alias("component"), (F.col("done") | F.coalesce("was", F.lit(False))).alias("done")), "members")
