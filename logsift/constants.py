@@ -134,7 +134,6 @@ SEVERITIES = ("Low", "Medium", "High")
 # Timeline.
 TIMELINE_LIMIT = 500
 RECENT_EVENTS = 10
-DETAIL_ROWS = 20
 MESSAGE_CHARS = 80
 STATUS_PRESETS = {"All": None, ">= 3xx": 300, ">= 4xx": 400, ">= 5xx": 500}
 

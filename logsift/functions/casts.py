@@ -13,6 +13,11 @@ _SLASHED_DATE = r"^(\d{4})/(\d{1,2})/(\d{1,2})"
 _MAX_EPOCH_SECONDS = 9_000_000_000_000
 
 
+def _plain_double(text: Column) -> Column:
+    """Text as a double; a cast alone would also take the type suffixes d and f."""
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+
+
 def _epoch(seconds: Column) -> Column:
     return F.timestamp_seconds(F.when(F.abs(seconds) <= F.lit(_MAX_EPOCH_SECONDS), seconds))
 
@@ -47,7 +52,7 @@ def event_time(col: Column, dtype: T.DataType) -> Column:
     def parse(value: Column, pattern: str) -> Column:
         return F.try_to_timestamp(value, F.lit(pattern))
 
-    number = F.coalesce(trimmed.try_cast("bigint"), F.round(trimmed.try_cast("double"), 0).try_cast("bigint"))
+    number = F.coalesce(trimmed.try_cast("bigint"), F.round(_plain_double(trimmed), 0).try_cast("bigint"))
     return (
         F.when(
             text.rlike(_WEB_TIME),
@@ -70,7 +75,7 @@ def status_number(col: Column, dtype: T.DataType, target: str) -> Column:
     """Status code as ``target`` (int or bigint); text that is no number is NULL."""
     if isinstance(dtype, T.StringType):
         text = F.nullif(F.trim(col), F.lit(""))
-        return F.coalesce(text.try_cast(target), F.round(text.try_cast("double"), 0).try_cast(target))
+        return F.coalesce(text.try_cast(target), F.round(_plain_double(text), 0).try_cast(target))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return F.bround(col, 0).try_cast(target)
     return col.try_cast(target)

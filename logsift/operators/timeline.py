@@ -98,7 +98,7 @@ def rows(events: DataFrame, limit: int = C.TIMELINE_LIMIT) -> DataFrame:
 
 def recent_rows(timeline_rows: DataFrame, n: int = C.RECENT_EVENTS) -> DataFrame:
     """The last rows of a timeline, newest first."""
-    return timeline_rows.orderBy(*row_order(descending=True)).limit(min(n, C.DETAIL_ROWS))
+    return timeline_rows.orderBy(*row_order(descending=True)).limit(n)
 
 
 def build_timeline(raw: DataFrame, options: TimelineOptions | None = None) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logsift.constants import FIELD_ALIASES
@@ -46,5 +46,6 @@ def stream_text_files(
     spark: SparkSession, raw_path: str, text_format: str, events_path: str, checkpoint_path: str
 ) -> StreamingQuery:
     """Extract and normalize every new text file of a known format, then stop."""
-    lines = spark.readStream.text(raw_path).withColumnRenamed("value", "line")
+    # A blank line is NULL, as in the batch reader.
+    lines = spark.readStream.text(raw_path).select(F.nullif(F.col("value"), F.lit("")).alias("line"))
     return _append(normalize(extract(lines, text_format))[0], events_path, checkpoint_path)
