@@ -15,6 +15,8 @@ SETTINGS = {
     # Small shuffles feed costly expressions here; keep them on all cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.parquet.filterPushdown": "true",
+    # Heads of groups are cut before the shuffle whatever their length.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
     # A key that occurs twice in a record keeps its last value.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
