@@ -4,9 +4,9 @@ One hash per shingle: its first bits choose a bucket, and a bucket keeps the lea
 further bits of its smallest remaining value. Empty buckets borrow from others by a fixed sequence. Bands of registers
 are compared by hash; what meets is filtered by sizes and by the similarity estimated from the registers, corrected for
 chance collisions, and then confirmed on the full shingle sets. Texts with the same set are one node from the start.
-In a bucket that several nodes share, few nodes per round are compared with all others that are not yet
-connected to them, so that a large group of copies costs its size, not its square, and no pair that could join two
-components is left out.
+In a bucket that several nodes share, one node, then twice as many per round, are compared with all others that are
+not yet connected to them, so that a large group of copies costs its size, not its square, no pair that could join two
+components is left out, and the rounds grow with the logarithm of the largest bucket.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ BAND = 6  # registers per band; 42 bands find a pair at similarity 0.8 but for 3
 BANDS = REGISTERS // BAND
 _ATTEMPTS = 64
 _MANTISSA = 10
-# Nodes per bucket and round that are compared with the rest.
-CENTRES = 1
+# Nodes per bucket that the second round compares with the rest; the number doubles from round to round.
+CENTRES = 2
 _BORROW = np.random.default_rng(20240607).integers(0, REGISTERS, (REGISTERS, _ATTEMPTS))
 
 
@@ -214,6 +214,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
     mine = materialize(nodes.join(wanted, "node", "left_semi"), "signatures")
     state = materialize(members.withColumn("component", F.col("node")).withColumn("done", F.lit(False)), "members")
     edges: DataFrame | None = None
+    n_centres = CENTRES
     while True:
         # Centres: nodes of the smallest components first, as the largest needs no comparing with itself.
         per = state.groupBy("bucket", "component").agg(F.count("*").alias("size"))
@@ -229,7 +230,8 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
             here = centres = materialize(placed.where("no = 1").drop("no"), "centres")
         else:
             # Later a centre is compared in all its buckets at once and is done, so no pair is compared twice.
-            centres = materialize(placed.where(F.col("no") <= CENTRES).select("a").distinct(), "centres")
+            centres = materialize(placed.where(F.col("no") <= n_centres).select("a").distinct(), "centres")
+            n_centres *= 2
             here = state.join(centres, F.col("node") == F.col("a")).select("bucket", "a", F.col("component").alias("of"))
         if centres.isEmpty():
             break
