@@ -212,7 +212,8 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
     wanted = materialize(members.select("node").distinct(), "candidates")
     sets = _node_sets(docs, wanted, words, id_col, text_col)
     mine = materialize(nodes.join(wanted, "node", "left_semi"), "signatures")
-    state = materialize(members.withColumn("component", F.col("node")).withColumn("done", F.lit(False)), "members")
+    sizes = mine.select("node", "n")
+    state = materialize(members.join(sizes, "node").select("bucket", "node", "n", F.col("node").alias("component"), F.lit(False).alias("done")), "members")
     edges: DataFrame | None = None
     n_centres = CENTRES
     while True:
@@ -224,7 +225,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
         # Every bucket's largest component is compared as the other side; all nodes outside it are centres in turn.
         turn = state.join(open_, ["bucket", "component"]).where("small and not done")
         first = Window.partitionBy("bucket").orderBy("size", "node")
-        placed = turn.withColumn("no", F.row_number().over(first)).select("bucket", F.col("node").alias("a"), F.col("component").alias("of"), "no")
+        placed = turn.withColumn("no", F.row_number().over(first)).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of"), "no")
         if edges is None:
             # The first round joins most copies: every bucket's first node with the rest of that bucket.
             here = centres = materialize(placed.where("no = 1").drop("no"), "centres")
@@ -232,16 +233,16 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
             # Later a centre is compared in all its buckets at once and is done, so no pair is compared twice.
             centres = materialize(placed.where(F.col("no") <= n_centres).select("a").distinct(), "centres")
             n_centres *= 2
-            here = state.join(centres, F.col("node") == F.col("a")).select("bucket", "a", F.col("component").alias("of"))
+            here = state.join(centres, F.col("node") == F.col("a")).select("bucket", "a", F.col("n").alias("n_a"), F.col("component").alias("of"))
         if centres.isEmpty():
             break
-        pairs = state.where("not done").join(here, "bucket").where("component <> of").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        alike = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+        pairs = state.where("not done").join(here, "bucket").where((F.col("component") != F.col("of")) & alike)
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         side = mine.select("node", "n", "signature")
         a = side.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("signature_a"))
         b = side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("signature_b"))
-        sized = pairs.join(a.select("a", "n_a"), "a").join(b.select("b", "n_b"), "b").where(
-            100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        near = sized.select("a", "b").join(a, "a").join(b, "b").mapInPandas(_estimated(percent), "a long, b long")
+        near = pairs.join(a, "a").join(b, "b").mapInPandas(_estimated(percent), "a long, b long")
         near = materialize(near, "near")
         own = sets.join(mine.select("node", "s1", "s2"), ["node", "s1", "s2"], "left_semi").select("node", "shingles")
         full = near.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b").join(
@@ -254,7 +255,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
         done = centres.where(F.lit(not first_round)).select(F.col("a").alias("node"), F.lit(True).alias("was"))
         state = materialize(
             state.join(after, "node", "left").join(done, "node", "left")
-            .select("bucket", "node", F.coalesce("to", "component").alias("component"), (F.col("done") | F.coalesce("was", F.lit(False))).alias("done")), "members")
+            .select("bucket", "node", "n", F.coalesce("to", "component").alias("component"), (F.col("done") | F.coalesce("was", F.lit(False))).alias("done")), "members")
     return after if edges is not None else wanted.select("node", F.col("node").alias("to"))
 
 
