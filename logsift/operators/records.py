@@ -134,6 +134,12 @@ def _record_id(df: DataFrame) -> Column:
     return F.col("event_record_id" if "event_record_id" in df.columns else "identifier").cast("string")
 
 
+def _present(records: DataFrame) -> DataFrame:
+    """Records with data, and lines of the export that could not be read at all."""
+    unread = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in records.columns else F.lit(False)
+    return records.filter(F.col("data").isNotNull() | unread)
+
+
 def record_rows(records: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """The 11 flat columns of every record, all text.
 
@@ -144,7 +150,7 @@ def record_rows(records: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     event = F.try_variant_get(F.col("_parsed"), "$.Event", "variant")
     broken = F.raise_error(F.concat(F.lit("Unable to parse event record "), F.coalesce("_id", F.lit("None"))))
     df = (
-        records.filter(F.col("data").isNotNull())
+        _present(records)
         .withColumn("_id", _record_id(records))
         .withColumn("_parsed", parsed)
         .withColumn("_event", F.when(event.isNotNull(), event).otherwise(broken.cast("variant")))
@@ -166,14 +172,15 @@ def record_rows(records: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good, broken)`` records by whether their JSON holds an ``Event``."""
-    present = records.filter(F.col("data").isNotNull())
+    present = _present(records)
     ok = F.try_variant_get(F.try_parse_json("data"), "$.Event", "variant").isNotNull()
     return present.filter(ok), present.filter(~ok)
 
 
 def record_preview(records: DataFrame, max_records: int = 50) -> DataFrame:
     """Display line and key fields of the first records; a broken one has empty fields."""
-    first = records.orderBy("event_record_id").limit(max_records).filter(F.col("data").isNotNull())
+    keys = [c for c in ("event_record_id", "identifier") if c in records.columns]
+    first = records.orderBy(F.coalesce(*keys)).limit(max_records).filter(F.col("data").isNotNull())
     first = first.withColumn("_id", _record_id(records)).withColumn("_parsed", F.try_parse_json("data"))
     only_event = F.array_size(F.map_keys(F.col("_parsed").try_cast(_MAP))) == 1
     event = F.try_variant_get(F.col("_parsed"), "$.Event", "variant")

@@ -16,26 +16,31 @@ _MAX_BROADCAST_KEYS = 100_000
 _BUCKET_ORIGIN = 946_857_600
 
 
-def top_talkers(events: DataFrame, min_events: int = 0, limit: int = 10) -> DataFrame:
-    return (
+def _first(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def top_talkers(events: DataFrame, min_events: int = 0, limit: int | None = 10) -> DataFrame:
+    """Busiest addresses; ``limit=None`` returns them all."""
+    return _first(
         events.filter(F.col("source_ip").isNotNull())
         .groupBy("source_ip")
         .agg(F.count(F.lit(1)).alias("event_count"))
         .filter(F.col("event_count") >= min_events)
-        .orderBy(F.desc("event_count"), F.asc("source_ip"))
-        .limit(limit)
+        .orderBy(F.desc("event_count"), F.asc("source_ip")),
+        limit,
     )
 
 
-def error_spikes(events: DataFrame, min_errors: int = 0, limit: int = 10) -> DataFrame:
-    """Error responses per address and code; rows without an address form their own group."""
-    return (
+def error_spikes(events: DataFrame, min_errors: int = 0, limit: int | None = 10) -> DataFrame:
+    """Error responses per address and code, all with ``limit=None``; rows without an address form their own group."""
+    return _first(
         events.filter(F.col("status_code") >= ERROR_STATUS)
         .groupBy("source_ip", "status_code")
         .agg(F.count(F.lit(1)).alias("error_count"))
         .filter(F.col("error_count") >= min_errors)
-        .orderBy(F.desc("error_count"), F.asc_nulls_last("source_ip"), F.asc("status_code"))
-        .limit(limit)
+        .orderBy(F.desc("error_count"), F.asc_nulls_last("source_ip"), F.asc("status_code")),
+        limit,
     )
 
 

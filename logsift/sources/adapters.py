@@ -12,7 +12,7 @@ from logsift.plans.shapes import fill_cores
 from logsift.sources.lines import read_lines, store_lines
 from logsift.sources.tabular import read_csv, read_json
 
-RECORD_SCHEMA = "event_record_id bigint, timestamp string, data string"
+RECORD_SCHEMA = "event_record_id bigint, timestamp string, data string, _corrupt_record string"
 
 
 def read_text_log(spark: SparkSession, path: str, max_lines: int = 0, structured: bool = True) -> DataFrame:
@@ -24,7 +24,7 @@ def read_text_log(spark: SparkSession, path: str, max_lines: int = 0, structured
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Exported event records (JSON lines) as flat rows."""
+    """Exported event records (JSON lines) as flat rows; a broken line fails the job like a broken record."""
     return record_rows(fill_cores(read_json(spark, path, RECORD_SCHEMA)))
 
 

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from logsift import constants as C
 from logsift.functions.text import is_large, size_text
-
-# Files up to this size are digested whole; larger ones line by line.
-_DIGEST_BYTES = 256 * 1024 * 1024
+from logsift.session import materialize
+from logsift.sources.lines import file_heads, plain_path, read_lines, store_lines
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, modified)`` of every file below ``path``; no content is read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
-    )
+    """``(path, length, modified)`` of every file below ``path``; no content is read.
+
+    Scans pass over empty files; their names come from the listing that the driver makes anyhow, without a time.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    filled = found.select(plain_path().alias("path"), "length", F.col("modificationTime").alias("modified"))
+    names = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(name)),) for name in found.inputFiles()], "path string")
+    return names.join(filled, "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
 
 
 def suffix_of(path: Column) -> Column:
@@ -70,47 +73,46 @@ def classify_files(files: DataFrame, override: str | None = None) -> DataFrame:
     )
 
 
-def content_digests(spark: SparkSession, path: str, whole_bytes: int = _DIGEST_BYTES) -> DataFrame:
-    """``(path, content_key)``; files with equal content have equal keys.
+def content_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, content_key)`` of every file; files with equal content have equal keys, in any run and folder.
 
-    Small files are hashed whole. A larger one must not pass through one task: its
-    key combines the digests of its numbered lines, which any number of tasks can
-    compute. The size decides the kind, so equal files are always compared alike.
+    No file passes through one task: the key combines the digests of a file's numbered
+    lines. Lines are numbered inside their split and shifted by the line counts of the
+    splits before, so the key does not depend on where a file is split.
     """
-    binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = binary.filter(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("content_key"))
-    large = binary.filter(F.col("length") > whole_bytes).select("path", "length")
-    if large.isEmpty():
-        return small
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-            F.col("value").alias("line"),
-        )
-    )
-    return small.unionByName(line_digests(lines, large))
-
-
-def line_digests(lines: DataFrame, large: DataFrame) -> DataFrame:
-    """``(path, content_key)`` of the files in ``large`` from their lines, numbered per input split."""
     in_block = Window.partitionBy("path", "block").orderBy("pos")
-    digest = F.sha2(F.concat_ws(":", F.col("block"), F.col("nth"), F.col("line")), 256)
-    parts = [F.conv(F.substring("digest", 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(4)]
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(
+        plain_path().alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+        F.col("value").alias("line"),
+    )
+    digested = lines.withColumn("digest", F.sha2("line", 256)).drop("line")
+    blocks = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    digest = F.sha2(F.concat_ws(":", F.col("before") + F.col("nth"), "digest"), 256)
+    parts = [F.conv(F.substring("numbered", 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(4)]
     keys = (
-        lines.join(large.select("path"), "path", "left_semi")
-        .withColumn("nth", F.row_number().over(in_block))
-        .withColumn("digest", digest)
+        digested.withColumn("nth", F.row_number().over(in_block))
+        .join(before, ["path", "block"])
+        .withColumn("numbered", digest)
         .groupBy("path")
-        .agg(*[F.bit_xor(p).alias(f"x{i}") for i, p in enumerate(parts)], F.count(F.lit(1)).alias("n"))
+        .agg(*[F.bit_xor(p).alias(f"x{i}") for i, p in enumerate(parts)])
     )
-    return large.join(keys, "path").select(
-        "path",
-        F.concat_ws(":", F.lit("lines"), "length", "n", *[F.hex(f"x{i}") for i in range(4)]).alias("content_key"),
+    sizes = list_files(spark, path).select("path", "length")
+    return sizes.join(keys, "path", "left").select(
+        "path", F.concat_ws(":", "length", *[F.hex(f"x{i}") for i in range(4)]).alias("content_key")
     )
 
 
+def catalog(spark: SparkSession, path: str, override: str | None = None) -> DataFrame:
+    """Every file below ``path`` with format, size, status, error and whether an earlier one has the same content."""
+    heads = file_heads(store_lines(read_lines(spark, path, recursive=True))).withColumnRenamed("file", "path")
+    listed = list_files(spark, path).join(heads, "path", "left").join(content_digests(spark, path), "path", "left")
+    return mark_duplicates(materialize(classify_files(listed, override), "catalog"))
+
+
 def mark_duplicates(files: DataFrame) -> DataFrame:
     """Files with equal ``content_key``: the first path keeps its status, the rest are duplicates.
 

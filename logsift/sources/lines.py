@@ -18,10 +18,17 @@ from logsift.plans.shapes import join_keyed
 from logsift.session import materialize
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def plain_path() -> Column:
+    """The file a row was read from; the metadata column encodes blanks, ``%`` and non-ASCII letters."""
+    path = F.col("_metadata.file_path")
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(path.contains("%"), decoded).otherwise(path)
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
     """Every physical line, verbatim; a blank line is NULL."""
-    return spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
+    return spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths).select(
+        plain_path().alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.nullif(F.col("value"), F.lit("")).alias("line"),

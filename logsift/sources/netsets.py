@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from logsift.sources.lines import plain_path
+
 
 def list_name_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.netset$", 1)
@@ -22,7 +24,7 @@ def read_netsets(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.netset`` files of a folder as ``(list_name, cidr)``."""
     lines = spark.read.option("pathGlobFilter", "*.netset").text(folder)
     return parse_netset_lines(
-        lines.select(list_name_of(F.col("_metadata.file_path")).alias("list_name"), F.col("value").alias("line"))
+        lines.select(list_name_of(plain_path()).alias("list_name"), F.col("value").alias("line"))
     )
 
 
@@ -45,10 +47,10 @@ def list_freshness(expected: DataFrame, files: DataFrame, now: Column, max_age_h
 def read_list_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(list_name, modified, fetched_at)`` of the lists in a folder and their ``.meta.json`` sidecars."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.netset").load(folder)
-    lists = files.select(list_name_of(F.col("path")).alias("list_name"), F.col("modificationTime").alias("modified"))
+    lists = files.select(list_name_of(plain_path()).alias("list_name"), F.col("modificationTime").alias("modified"))
     sidecars = spark.read.format("binaryFile").option("pathGlobFilter", "*.meta.json").load(folder)
     fetched = sidecars.select(
-        F.regexp_extract("path", r"([^/]+)\.meta\.json$", 1).alias("list_name"),
+        F.regexp_extract(plain_path(), r"([^/]+)\.meta\.json$", 1).alias("list_name"),
         F.get_json_object(F.col("content").cast("string"), "$.fetched_at").alias("fetched_at"),
     )
     return lists.join(fetched, "list_name", "left")

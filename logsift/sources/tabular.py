@@ -2,20 +2,47 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logsift.constants import PREVIEW_ROWS
 from logsift.session import materialize
+from logsift.sources.lines import read_lines
 
 _DELIMITERS = (",", ";", "\t", "|")
 
 
-def _first_text(spark: SparkSession, path: str) -> str:
-    """The first non-blank line below ``path``; one row reaches the driver."""
-    rows = spark.read.text(path).filter(F.trim("value") != "").head(1)
-    return rows[0]["value"] if rows else ""
+def _first_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The first non-blank lines of the files below ``path``, and which files begin with each.
+
+    File names reach the driver, as they do whenever a folder is listed.
+    """
+    lines = read_lines(spark, path).filter(F.trim("line") != "")
+    firsts = lines.groupBy("file").agg(F.min_by("line", F.struct("block", "pos")).alias("line"))
+    found: dict[str, list[str]] = {}
+    for row in firsts.sort("file").collect():
+        # Readers take names as patterns.
+        found.setdefault(row["line"], []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", row["file"]))
+    return found
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    """Rows of unlike tables by column name; a column whose types differ becomes text, absent ones are NULL."""
+    types: dict[str, set[str]] = {}
+    for df in parts:
+        for f in df.schema.fields:
+            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+    mixed = {name for name, kinds in types.items() if len(kinds) > 1 and not kinds <= {"int", "bigint", "double"}}
+
+    def text(df: DataFrame, name: str) -> Column:
+        nested = isinstance(df.schema[name].dataType, (T.StructType, T.ArrayType, T.MapType))
+        return F.to_json(F.col(f"`{name}`")) if nested else F.col(f"`{name}`").cast("string")
+
+    alike = [df.withColumns({c: text(df, c) for c in df.columns if c in mixed}) for df in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
 
 
 def sniff_delimiter(header: str) -> str:
@@ -29,7 +56,7 @@ def _naive_times(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").cast("timestamp_ntz") for c in zoned})
 
 
-def has_multi_line_fields(spark: SparkSession, path: str) -> bool:
+def has_multi_line_fields(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether any line below ``path`` opens a quoted field it does not close."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
@@ -43,13 +70,16 @@ def read_csv(
     ``sep=None`` picks comma, semicolon, tab or bar from the header. Inferred times
     are naive UTC. Files with line breaks inside fields cannot be split over tasks;
     ``multi_line=None`` looks whether there are any, at the cost of a scan of the
-    text, ``False`` says there are none.
+    text, ``False`` says there are none. Files of one folder may have unlike headers and
+    delimiters: files with the same header line are read together, and columns meet by name.
     """
-    sep = sep or sniff_delimiter(_first_text(spark, path))
-    if multi_line is None:
-        multi_line = has_multi_line_fields(spark, path)
-    df = spark.read.csv(path, header=True, sep=sep, inferSchema=infer, escape='"', multiLine=multi_line)
-    return _naive_times(df) if infer else df
+    headers = _first_lines(spark, path)
+    parts = []
+    for header, files in headers.items() if len(headers) > 1 else [(next(iter(headers), ""), path)]:
+        many = has_multi_line_fields(spark, files) if multi_line is None else multi_line
+        df = spark.read.csv(files, header=True, sep=sep or sniff_delimiter(header), inferSchema=infer, escape='"', multiLine=many)
+        parts.append(_naive_times(df) if infer else df)
+    return parts[0] if len(parts) == 1 else _stacked(parts)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -57,14 +87,20 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
     Lines are split over tasks; an array file is one task each, so large exports
     should be lines. Keys that differ only by case get a numeric suffix; such a source
-    is stored under its new names, since they cannot be told apart in a later query.
+    is stored under its new names, since they cannot be told apart in a later query. Each
+    file's first character tells which kind it is, so a folder may hold both.
     """
-    lines = not _first_text(spark, path).lstrip().startswith("[")
+    firsts = _first_lines(spark, path)
+    arrays = [f for line, files in firsts.items() if line.lstrip().startswith("[") for f in files]
+    lines = [f for line, files in firsts.items() if not line.lstrip().startswith("[") for f in files]
     reader = spark.read if schema is None else spark.read.schema(schema)
     before = spark.conf.get("spark.sql.caseSensitive")
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
-        df = reader.json(path, multiLine=not lines)
+        if arrays and lines:
+            df = _stacked([reader.json(lines, multiLine=False), reader.json(arrays, multiLine=True)])
+        else:
+            df = reader.json(path, multiLine=bool(arrays))
         names = _distinct_names(df.columns)
         return df if names == df.columns else materialize(df.toDF(*names), "json")
     finally:

@@ -73,6 +73,15 @@ def test_record_preview(spark):
         "#1 | 2024-01-01T00:00:00Z | EventID=4624 | Audit | Security", "#2 | None | EventID=None | None | None",
     ]
     assert records.record_preview(record_frame(spark, EVENT, EVENT), 1).count() == 1
+    by_identifier = record_frame(spark, EVENT, EVENT).withColumnRenamed("event_record_id", "identifier")
+    assert [r.record_id for r in records.record_preview(by_identifier, 1).collect()] == ["1"]
+
+
+def test_unreadable_lines_fail(spark, tmp_path):
+    good = json.dumps({"event_record_id": 1, "timestamp": "t", "data": json.dumps(EVENT)})
+    (tmp_path / "records.json").write_text(good + "\n" + good[:40] + "\n")
+    with pytest.raises(Exception, match="Unable to parse event record"):
+        adapters.read_records(spark, str(tmp_path / "records.json")).collect()
 
 
 def test_hybrid_load(spark, tmp_path):

@@ -80,6 +80,29 @@ def test_invalid_files(spark):
     assert got["/in/ok.log"] == ("ready", None, False) and got["/in/ok.evtx"][2] is True
 
 
+def test_catalog_keeps_files_with_odd_names(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name, content in {"b c.log": "x\ny\n", "a%20c.log": "x\ny\n", "d+é.log": "x\ny", "deep/e f": "a,b\n1,2\n", "g.log": ""}.items():
+        (tmp_path / name).write_bytes(content.encode())
+    got = {r.path.rsplit("/", 1)[-1]: (r.format, r.status) for r in files.catalog(spark, str(tmp_path)).collect()}
+    assert got == {"a%20c.log": ("log", "ready"), "b c.log": ("log", "duplicate"), "d+é.log": ("log", "ready"), "e f": ("csv", "ready"), "g.log": (None, "invalid")}
+
+
+def test_folders_of_unlike_files(spark, tmp_path):
+    csv, mixed = tmp_path / "csv", tmp_path / "json"
+    csv.mkdir()
+    mixed.mkdir()
+    (csv / "a.csv").write_text("timestamp,client_ip,status\nt1,1.2.3.4,200\n")
+    (csv / "b c.csv").write_text("status;client_ip;note\n404;9.9.9.9;x\n")
+    (csv / "d.csv").write_text("timestamp,client_ip,status\nt2,5.6.7.8,500\n")
+    rows = {(r.timestamp, r.client_ip, r.status, r.note) for r in tabular.read_csv(spark, str(csv), sep=None).collect()}
+    assert rows == {("t1", "1.2.3.4", "200", None), (None, "9.9.9.9", "404", "x"), ("t2", "5.6.7.8", "500", None)}
+    (mixed / "lines.json").write_text("\n".join(json.dumps({"n": i, "v": i}) for i in range(10)))
+    (mixed / "array x.json").write_text(json.dumps([{"n": 10 + i, "v": "t", "more": {"a": 1}} for i in range(5)], indent=1))
+    got = sorted((r.n, r.v) for r in tabular.read_json(spark, str(mixed)).collect())
+    assert got == [(i, str(i)) for i in range(10)] + [(10 + i, "t") for i in range(5)]
+
+
 def test_catalog_of_real_files(spark, tmp_path):
     (tmp_path / "one.log").write_text("same\n")
     (tmp_path / "two.log").write_text("same\n")
@@ -96,10 +119,25 @@ def test_catalog_of_real_files(spark, tmp_path):
     assert counts == {"ready": 2, "pending": 0, "ingested": 0, "invalid": 1, "error": 0}
 
 
-def test_large_files_are_compared_by_their_lines(spark, tmp_path):
+def test_content_keys_do_not_depend_on_splits(spark, tmp_path):
+    text = "".join(f"line {i}\n" for i in range(5000))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    for name, content in {"one/a.log": text, "two/b.log": text, "two/c.log": "x\n"}.items():
+        (tmp_path / name).write_text(content)
+    alone = {r.content_key for r in files.content_digests(spark, str(tmp_path / "one")).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert alone < {r.content_key for r in files.content_digests(spark, str(tmp_path / "two")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_are_compared_by_their_lines(spark, tmp_path):
     for name, content in {"a": "x\ny\n", "b": "x\ny\n", "c": "y\nx\n", "d": "x\r\ny", "e": "x\ny\r"}.items():
         (tmp_path / f"{name}.log").write_bytes(content.encode())
-    keys = {r.path.rsplit("/", 1)[-1][0]: r.content_key for r in files.content_digests(spark, str(tmp_path), whole_bytes=0).collect()}
+    keys = {r.path.rsplit("/", 1)[-1][0]: r.content_key for r in files.content_digests(spark, str(tmp_path)).collect()}
     assert keys["a"] == keys["b"] and len({keys[k] for k in "acde"}) == 4
 
 

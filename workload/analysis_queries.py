@@ -153,10 +153,10 @@ def o1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f3_template_predicates", (
     "select source_ip, status_code, count(*) as error_count from unified_events where status_code >= 400 group by 1, 2 having count(*) >= 4 "
-    "order by error_count desc, source_ip nulls last, status_code limit 100000"
+    "order by error_count desc, source_ip nulls last, status_code"
 ), U)
 def f3(spark: SparkSession, sf: str) -> DataFrame:
-    return templates.error_spikes(R.unified_events(spark, sf), min_errors=4, limit=100000)
+    return templates.error_spikes(R.unified_events(spark, sf), min_errors=4, limit=None)
 
 
 # --- indicators --------------------------------------------------------------
@@ -227,10 +227,10 @@ def _indicators(spark: SparkSession, sf: str, thresholds: dict[str, int] | None
 
 @query("i1_severity", (
     f"select source_ip, event_count, {_severity_sql('top_talkers', 'event_count', 60)} as severity, "
-    f"{_severity_sql('long_tail_analysis', 'event_count % 3', 0)} as rarity from ({_talkers_sql(100000)})"
+    f"{_severity_sql('long_tail_analysis', 'event_count % 3', 0)} as rarity from (select source_ip, count(*) as event_count from unified_events where source_ip is not null group by source_ip)"
 ), U)
 def i1(spark: SparkSession, sf: str) -> DataFrame:
-    return templates.top_talkers(R.unified_events(spark, sf), limit=100000).select(
+    return templates.top_talkers(R.unified_events(spark, sf), limit=None).select(
         "source_ip", "event_count",
         indicators.severity(F.col("event_count"), 60, "top_talkers").alias("severity"),
         indicators.severity(F.col("event_count") % 3, 0, "long_tail_analysis").alias("rarity"),
@@ -707,12 +707,12 @@ def r4(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("o4_newest_first", (
-    f"select * from (select 'report' as kind, report_id as id, created_at from {_STORE} where status = 'ok' order by created_at desc, report_id limit 50) union all "
-    "select * from (select 'allowlist', id, created_at from allowlist order by created_at desc, id limit 50)"
+    f"select * from (select 'report' as kind, report_id as id, created_at from {_STORE} where status = 'ok' order by created_at desc, report_id) union all "
+    "select * from (select 'allowlist', id, created_at from allowlist order by created_at desc, id)"
 ), ("responses", "allowlist"))
 def o4(spark: SparkSession, sf: str) -> DataFrame:
-    listed = reports.list_reports(_store(spark, sf)).limit(50)
-    entries = allowlist.listing(R.allowlist(spark, sf)).limit(50)
+    listed = reports.list_reports(_store(spark, sf))
+    entries = allowlist.listing(R.allowlist(spark, sf))
     return listed.select(F.lit("report").alias("kind"), F.col("report_id").alias("id"), "created_at").unionByName(
         entries.select(F.lit("allowlist").alias("kind"), "id", "created_at")
     )
