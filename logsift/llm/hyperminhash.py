@@ -29,8 +29,8 @@ BAND = 6  # registers per band; 42 bands find a pair at similarity 0.8 but for 3
 BANDS = REGISTERS // BAND
 _ATTEMPTS = 64
 _MANTISSA = 10
-# Nodes per bucket that the second round compares with the rest; the number doubles from round to round.
-CENTRES = 2
+# The first round compares one node per bucket with the rest, every later round so many times as many as the one before.
+GROWTH = 2
 _BORROW = np.random.default_rng(20240607).integers(0, REGISTERS, (REGISTERS, _ATTEMPTS))
 
 
@@ -189,7 +189,7 @@ def _confirm(percent: int):
     return run
 
 
-def _estimated(percent: int):
+def _estimated(percent: int, columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n_a, n_b = batch["n_a"].to_numpy(np.float64), batch["n_b"].to_numpy(np.float64)
@@ -197,13 +197,25 @@ def _estimated(percent: int):
             limit = percent / 100
             # Five standard deviations of the estimate below the limit; few shingles tell little.
             slack = 5 * np.sqrt(limit * (1 - limit) / np.minimum(REGISTERS, np.maximum(n_a, n_b)))
-            yield batch.loc[estimate(x, y, n_a, n_b) >= limit - slack, ["a", "b"]]
+            yield batch.loc[estimate(x, y, n_a, n_b) >= limit - slack, columns]
 
     return run
 
 
+def _open(state: DataFrame) -> DataFrame:
+    """Of buckets that still hold several components: their largest component (of equal ones, the highest)."""
+    per = state.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    held = per.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "component")).alias("largest"))
+    return held.where("kinds > 1").select("bucket", F.col("largest.component").alias("largest"))
+
+
+def _side(table: DataFrame, end: str, *columns: str) -> DataFrame:
+    """Columns of the nodes, named for one end of a pair."""
+    return table.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+
+
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) of the nodes (node, n, signature, s1, s2) that have a partner."""
+    """(node, to) of the nodes (node, n, signature, s1, s2) that share a bucket: the smallest node reachable."""
     spark = docs.sparkSession
     buckets = nodes.select("node", "signature").mapInPandas(_bucket_rows, "bucket long, node long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -212,51 +224,49 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
     wanted = materialize(members.select("node").distinct(), "candidates")
     sets = _node_sets(docs, wanted, words, id_col, text_col)
     mine = materialize(nodes.join(wanted, "node", "left_semi"), "signatures")
-    sizes = mine.select("node", "n")
-    state = materialize(members.join(sizes, "node").select("bucket", "node", "n", F.col("node").alias("component"), F.lit(False).alias("done")), "members")
-    edges: DataFrame | None = None
-    n_centres = CENTRES
+    labels = wanted.withColumn("component", F.col("node"))
+    state = materialize(members.join(mine.select("node", "n"), "node").select("bucket", "node", "n", F.col("node").alias("component")), "members")
+    n_centres = 1
     while True:
-        # Centres: nodes of the smallest components first, as the largest needs no comparing with itself.
-        per = state.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        order = Window.partitionBy("bucket")
-        open_ = per.withColumn("n_components", F.count("*").over(order)).withColumn("largest", F.max(F.struct("size", "component")).over(order))
-        open_ = open_.where("n_components > 1").select("bucket", "component", "size", (F.col("component") != F.col("largest.component")).alias("small"))
-        # Every bucket's largest component is compared as the other side; all nodes outside it are centres in turn.
-        turn = state.join(open_, ["bucket", "component"]).where("small and not done")
-        first = Window.partitionBy("bucket").orderBy("size", "node")
-        placed = turn.withColumn("no", F.row_number().over(first)).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of"), "no")
-        if edges is None:
+        if n_centres == 1:
             # The first round joins most copies: every bucket's first node with the rest of that bucket.
-            here = centres = materialize(placed.where("no = 1").drop("no"), "centres")
+            least = state.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c"))
+            here = centres = materialize(least.select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.node").alias("of")), "centres")
         else:
-            # Later a centre is compared in all its buckets at once and is done, so no pair is compared twice.
-            centres = materialize(placed.where(F.col("no") <= n_centres).select("a").distinct(), "centres")
-            n_centres *= 2
+            # Every bucket's largest component is compared as the other side; all nodes outside it are centres in turn, nodes of
+            # small components first. A centre is compared in all its buckets at once and is done, so no pair is compared twice.
+            per = state.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+            turn = state.join(per, ["bucket", "component"]).join(_open(state), "bucket").where("component <> largest")
+            first = Window.partitionBy("bucket").orderBy("size", "node")
+            placed = turn.withColumn("no", F.row_number().over(first)).where(F.col("no") <= n_centres)
+            centres = materialize(placed.select(F.col("node").alias("a")).distinct(), "centres")
             here = state.join(centres, F.col("node") == F.col("a")).select("bucket", "a", F.col("n").alias("n_a"), F.col("component").alias("of"))
         if centres.isEmpty():
-            break
+            return labels.withColumnRenamed("component", "to")
         alike = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
-        pairs = state.where("not done").join(here, "bucket").where((F.col("component") != F.col("of")) & alike)
+        pairs = state.join(here, "bucket").where((F.col("component") != F.col("of")) & alike)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        side = mine.select("node", "n", "signature")
-        a = side.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("signature_a"))
-        b = side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("signature_b"))
-        near = pairs.join(a, "a").join(b, "b").mapInPandas(_estimated(percent), "a long, b long")
+        columns = ("n", "signature", "s1", "s2")
+        digests = [f"{c}_{end}" for end in "ab" for c in ("s1", "s2")]
+        near = pairs.join(_side(mine, "a", *columns), "a").join(_side(mine, "b", *columns), "b").mapInPandas(
+            _estimated(percent, ["a", "b", *digests]), ", ".join(f"{c} long" for c in ["a", "b", *digests]))
         near = materialize(near, "near")
-        own = sets.join(mine.select("node", "s1", "s2"), ["node", "s1", "s2"], "left_semi").select("node", "shingles")
-        full = near.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b").join(
-            own.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
-        found = materialize(full.mapInPandas(_confirm(percent), "a long, b long"), "links")
-        first_round = edges is None
-        if first_round or not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            after = materialize(components(edges), "components").withColumnRenamed("component", "to")
-        done = centres.where(F.lit(not first_round)).select(F.col("a").alias("node"), F.lit(True).alias("was"))
-        state = materialize(
-            state.join(after, "node", "left").join(done, "node", "left")
-            .select("bucket", "node", "n", F.coalesce("to", "component").alias("component"), (F.col("done") | F.coalesce("was", F.lit(False))).alias("done")), "members")
-    return after if edges is not None else wanted.select("node", F.col("node").alias("to"))
+        full = near.join(_side(sets, "b", "s1", "s2", "shingles"), ["b", "s1_b", "s2_b"]).join(
+            _side(sets, "a", "s1", "s2", "shingles"), ["a", "s1_a", "s2_a"])
+        found = materialize(full.select("a", "b", "shingles_a", "shingles_b").mapInPandas(_confirm(percent), "a long, b long"), "links")
+        if not found.isEmpty():
+            # Links join components, and only those are contracted: edges of earlier rounds are in the labels.
+            ends = found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(
+                labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+            joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+            joined = materialize(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "joined")
+            labels = materialize(labels.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        if n_centres > 1:
+            state = state.join(centres, F.col("node") == F.col("a"), "left_anti")
+        state = materialize(state.drop("component").join(labels, "node").select("bucket", "node", "n", "component"), "members")
+        # Buckets that one component fills have nothing left to compare.
+        state = materialize(state.join(_open(state).select("bucket"), "bucket", "left_semi"), "members")
+        n_centres *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
