@@ -146,6 +146,17 @@ class PartEncoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(buf))
         hashes = slice_hash(prefix_hash(buf), starts, ends)
+        # No stretch has more distinct parts than the table holds.
+        found = [self._stretch(raw, starts[i : i + TABLE_PARTS], ends[i : i + TABLE_PARTS], hashes[i : i + TABLE_PARTS]) for i in range(0, len(starts), TABLE_PARTS)]
+        ids = np.concatenate([x for x, _ in found])
+        upto = np.concatenate([[0], np.cumsum(np.concatenate([x for _, x in found]))])
+        limits = upto[np.append(np.searchsorted(starts, first), len(starts))]
+        for row, a, b in zip(filled.tolist(), limits[:-1].tolist(), limits[1:].tolist()):
+            out[row] = ids[a:b]
+        return out
+
+    def _stretch(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of at most TABLE_PARTS consecutive parts and how many each has."""
         index = self._find(hashes)
         missing = np.flatnonzero(index < 0)
         if len(missing):
@@ -163,24 +174,12 @@ class PartEncoder:
                 kinds[["\n" in p and k == 0 for p, k in zip(parts, kinds.tolist())]] = 2
                 for kind in range(3):
                     if (chosen := kinds == kind).any():
-                        self._grow(int(chosen.sum()))
                         self._insert(hashes[some][chosen], *self._parts_ids([p for p, c in zip(parts, chosen.tolist()) if c]))
             index[missing] = self._find(hashes[missing])
         begin = self.start[index]
         count = self.start[index + 1] - begin
         upto = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
-        limits = upto[np.append(np.searchsorted(starts, first), len(starts))]
-        for row, a, b in zip(filled.tolist(), limits[:-1].tolist(), limits[1:].tolist()):
-            out[row] = ids[a:b]
-        return out
-
-    def _grow(self, more: int) -> None:
-        """Room for one group that has more parts than the table is meant to keep."""
-        if self.n + more >= len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(max(more, len(self.start)), np.int64)])
-        if self.n + more > _SLOTS // 2 and len(self.slot) < 4 * (self.n + more):
-            raise MemoryError("a single text group has more distinct parts than the part table holds")
+        return self.flat[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])], count
 
 
 _encoders: dict[str, PartEncoder] = {}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from logsift.llm import exact_dedup, hyperminhash, language, mixing, packing, ppm, suffix_levels, topk, toxicity, wavelet
+from logsift.llm import exact_dedup, hyperminhash, language, mixing, packing, ppm, suffix_levels, tokens, topk, toxicity, wavelet
 from logsift.llm.bytestext import U
 from logsift.llm.shipping import ship
 from logsift.llm.tokens import encode_all
@@ -113,6 +113,20 @@ def test_tokens_equal_whole_encoding():
         assert [x.tolist() for x in encode_all(path, texts)] == [e.ids for e in want]
 
 
+def test_tokens_of_a_text_with_more_parts_than_the_table(monkeypatch):
+    monkeypatch.setattr(tokens, "TABLE_PARTS", 64)
+    monkeypatch.setattr(tokens, "_SLOTS", 128)
+    rng = random.Random(3)
+    long = " ".join(f"{rng.getrandbits(48):x}" for _ in range(500)) + ".\nThe end, " + " ".join(str(i) for i in range(300))
+    texts = ["a short text", long, None, "a short text", long[:2000]]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        coder = tokens.PartEncoder(path)
+        want = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert [x.tolist() for x in coder.encode_group(texts)] == [e.ids for e in want]
+        assert coder.n <= 64
+
+
 def test_wavelet_round_trip(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     shards = wavelet.write_shards(docs, path, 2, wavelet.shard_path(spark), shard_tokens=500)
