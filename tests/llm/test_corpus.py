@@ -264,6 +264,45 @@ def test_repeats(spark, docs, with_repeats):
     assert suffix_levels.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_of_long_runs(spark, monkeypatch):
+    monkeypatch.setattr(suffix_levels, "RUN", 20, raising=False)
+    compare = suffix_levels._compare
+
+    def watched(length, k):
+        inner = compare(length, k)
+
+        def run(batches):
+            def seen():
+                count = {}
+                for batch in batches:
+                    for kh in batch["kh"]:
+                        count[kh] = count.get(kh, 0) + 1
+                    assert max(count.values(), default=0) <= 20, "a task compares a whole long run"
+                    yield batch
+
+            return inner(seen())
+
+        return run
+
+    monkeypatch.setattr(suffix_levels, "_compare", watched)
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n))
+    phrase, line = noise(60), noise(130)
+    left, right = [noise(60) for _ in range(3)], [noise(60) for _ in range(3)]
+    rows = [(i, noise(150) + rng.choice([*left, ""]) + (phrase if i % 3 else line) + rng.choice([*right, ""]) + noise(150)) for i in range(150)]
+    seen, want = set(), {}
+    for i, text in rows:
+        data = text.encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - 99):
+            if data[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(data[s : s + 100])
+        want[i] = (sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(data, gone) if not g)).hexdigest())
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[2:] for r in suffix_levels.remove_repeats(table).collect()} == want
+
+
 def test_partial_matching(spark, docs):
     got = {r.doc_id: r for r in ppm.score(docs, F.col("doc_id") % 2 == 0, block_bytes=4000).collect()}
     rows, order = odd_rows(), ppm.ORDER
