@@ -86,16 +86,41 @@ def _expand(entry: Column) -> Column:
     return F.when(entry["open"], opened).otherwise(F.array(entry))
 
 
-def flatten_payload(df: DataFrame, payload: str, result: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _nesting(payload: Column) -> Column:
+    """How deep objects and lists of a variant lie in each other."""
+    # Escaped characters go first, so that every quote left is a limit of a text.
+    text = F.replace(F.replace(F.to_json(payload), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    brackets = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, bracket: Column) -> Column:
+        now = state["now"] + F.when(bracket.isin("{", "["), 1).when(bracket.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step, lambda state: state["most"])
+
+
+def flatten_payload(df: DataFrame, payload: str, result: str, max_depth: int | None = None) -> DataFrame:
     """Add ``result``: a map from underscore-joined keys to the leaf values of a variant column.
 
     Objects are opened one level per step; scalars, attributes, texts and plain lists
-    are leaves. A payload nested deeper than ``max_depth`` levels fails the job. The
-    column is one expression without repeated parts, so it is evaluated once per use.
+    are leaves. Payloads of any depth are opened, or with ``max_depth`` one nested deeper
+    fails the job: ``MAX_DEPTH`` steps stand in the plan, and a payload that is still open then is
+    measured and opened as often as it needs. The column is one expression without
+    repeated parts, so it is evaluated once per use.
     """
     entries = F.filter(F.array(_node(F.lit(""), F.col(payload))), lambda e: e["open"])
-    for _ in range(max_depth):
+    for _ in range(MAX_DEPTH if max_depth is None else max_depth):
         entries = F.flatten(F.transform(entries, _expand))
+    if max_depth is None:
+
+        def opened(some: Column) -> Column:
+            rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), _nesting(F.col(payload)) - MAX_DEPTH))
+            rest = F.aggregate(rounds, some, lambda now, _: F.flatten(F.transform(now, _expand)))
+            return F.when(F.exists(some, lambda e: e["open"]), rest).otherwise(some)
+
+        # A list of one, so that the entries are computed once.
+        entries = F.element_at(F.transform(F.array(entries), opened), 1)
     failure = F.raise_error(F.lit(f"record payload is nested deeper than {max_depth} levels")).cast("variant")
     checked = F.transform(
         entries,
@@ -140,10 +165,10 @@ def _present(records: DataFrame) -> DataFrame:
     return records.filter(F.col("data").isNotNull() | unread)
 
 
-def record_rows(records: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def record_rows(records: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """The 11 flat columns of every record, all text.
 
-    Missing records are skipped; a record whose JSON or ``Event`` element is broken
+    ``max_depth=None``, as the readers have it, takes records of any depth. Missing records are skipped; a record whose JSON or ``Event`` element is broken
     fails the job (see :func:`split_records` to set such records aside instead).
     """
     parsed = F.try_parse_json("data")

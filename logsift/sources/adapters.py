@@ -25,7 +25,7 @@ def read_text_log(spark: SparkSession, path: str, max_lines: int = 0, structured
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Exported event records (JSON lines) as flat rows; a broken line fails the job like a broken record."""
-    return record_rows(fill_cores(read_json(spark, path, RECORD_SCHEMA)))
+    return record_rows(fill_cores(read_json(spark, path, RECORD_SCHEMA)), max_depth=None)
 
 
 def read_alerts_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -67,6 +67,29 @@ def test_broken_records(spark):
         records.record_rows(record_frame(spark, deep)).collect()
 
 
+def test_records_of_any_depth(spark, tmp_path):
+    def flat(value, parent=""):
+        out = {}
+        for key, inner in value.items():
+            name = f"{parent}_{key}" if parent else key
+            out.update(flat(inner, name) if isinstance(inner, dict) else {name: inner})
+        return out
+
+    payloads = []
+    for levels in (5, 6, 7, 9, 40):
+        deep = {"Computer": "H", "odd": '\\"}]{ "', "list": [[["x"]]]}
+        for i in range(levels - 1):
+            deep = {f"l{i}": deep, "side": i, "text": '"}}}'}
+        payloads.append(deep)
+    frame = record_frame(spark, *[{"Event": p} for p in payloads])
+    rows = records.record_rows(frame, max_depth=None).collect()
+    assert {r.record_id: json.loads(r.message) for r in rows} == {str(i + 1): flat(p) for i, p in enumerate(payloads)}
+    frame.write.json(str(tmp_path / "records.json"))
+    assert sorted(adapters.read_records(spark, str(tmp_path / "records.json")).collect()) == sorted(rows)
+    deep = {"Event": {"System": {"Channel": "Security"}, "a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": 1}}}}}}}}}
+    assert records.record_preview(record_frame(spark, deep), 1).head().channel == "Security"
+
+
 def test_record_preview(spark):
     shown = records.record_preview(record_frame(spark, EVENT, "{not json"), 2).orderBy("record_id").collect()
     assert [r.line for r in shown] == [

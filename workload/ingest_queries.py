@@ -306,7 +306,7 @@ def ev3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ev4_record_rows", "select * from record_rows", ("record_rows",))
 def ev4(spark: SparkSession, sf: str) -> DataFrame:
-    return records.record_rows(R.event_records(spark, sf))
+    return records.record_rows(R.event_records(spark, sf), max_depth=None)
 
 
 @query("ev5_record_guard", (
@@ -363,7 +363,7 @@ _CORRELATED_SQL = (
     "select 'raw', count(*), count(source_ip) from record_rows union all select 'alerts', count(*), count(\"RecordID\") from alerts"
 ), ("alerts", "record_rows"))
 def ev8(spark: SparkSession, sf: str) -> DataFrame:
-    tables = load_hybrid("case 1", records.record_rows(R.event_records(spark, sf)), R.alerts(spark, sf))
+    tables = load_hybrid("case 1", records.record_rows(R.event_records(spark, sf), max_depth=None), R.alerts(spark, sf))
     parts = (("correlated", tables.correlated, "raw_source_ip"), ("raw", tables.raw, "source_ip"),
              ("alerts", tables.alerts, "RecordID"))
     return reduce(DataFrame.unionByName, [
@@ -374,7 +374,7 @@ def ev8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j1_correlated_alerts", _CORRELATED_SQL, ("alerts", "record_rows"))
 def j1(spark: SparkSession, sf: str) -> DataFrame:
-    raw = materialize(records.record_rows(R.event_records(spark, sf)), "raw")
+    raw = materialize(records.record_rows(R.event_records(spark, sf), max_depth=None), "raw")
     return records.correlate_alerts(R.alerts(spark, sf), raw)
 
 
@@ -382,7 +382,7 @@ def j1(spark: SparkSession, sf: str) -> DataFrame:
     "select true as available, 'correlated_case_2' as view_name, (select count(*) from alerts) as n_alerts"
 ), ("alerts",))
 def j2(spark: SparkSession, sf: str) -> DataFrame:
-    load_hybrid("case 2", records.record_rows(R.event_records(spark, sf)), R.alerts(spark, sf))
+    load_hybrid("case 2", records.record_rows(R.event_records(spark, sf), max_depth=None), R.alerts(spark, sf))
     name = correlation_view_name("case 2")
     return spark.table(name).agg(
         F.lit(has_correlation(spark, "case 2")).alias("available"), F.lit(name).alias("view_name"),
