@@ -62,6 +62,27 @@ def has_multi_line_fields(spark: SparkSession, path: str | list[str]) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
+_UNFIT = "_unfit_record"
+_END = "\x01end"
+
+
+def _whole_rows(spark: SparkSession, files: str | list[str], schema: T.StructType, **options) -> DataFrame:
+    """The rows of CSV files with this schema; one with more fields than the schema fails the job."""
+    # Without pruning the reader sees all fields of a row, and keeps the text of those that do not fit.
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField(_UNFIT, T.StringType())])).option("columnPruning", False).csv(
+        files, **options, mode="PERMISSIVE", columnNameOfCorruptRecord=_UNFIT
+    )
+    # A row with too few fields has room for one more; its missing ones stay NULL.
+    line = F.concat(F.regexp_replace(_UNFIT, "[\r\n]+$", ""), F.lit(options["sep"] + _END))
+    names = [f"f{i}" for i in range(len(schema))]
+    fields = F.from_csv(line, ", ".join(f"{n} string" for n in names), {"sep": options["sep"], "escape": '"', "multiLine": "true"})
+    short = F.exists(F.array(*[fields[n] for n in names]), lambda f: F.coalesce(f == _END, F.lit(False)))
+    # The reader refuses queries of the kept text alone, so the first field is named too.
+    first = F.coalesce(F.col("`" + schema[0].name.replace("`", "``") + "`").cast("string"), F.lit(""))
+    failure = F.raise_error(F.concat(F.lit("CSV row with more fields than its header, "), first, F.lit(": "), _UNFIT)).cast("boolean")
+    return read.filter(F.when(F.col(_UNFIT).isNotNull() & ~short, failure).otherwise(True)).drop(_UNFIT)
+
+
 def read_csv(
     spark: SparkSession, path: str, sep: str | None = ",", infer: bool = False, multi_line: bool | None = None
 ) -> DataFrame:
@@ -71,13 +92,17 @@ def read_csv(
     are naive UTC. Files with line breaks inside fields cannot be split over tasks;
     ``multi_line=None`` looks whether there are any, at the cost of a scan of the
     text, ``False`` says there are none. Files of one folder may have unlike headers and
-    delimiters: files with the same header line are read together, and columns meet by name.
+    delimiters: files with the same header line are read together, and columns meet by name. A row
+    with more fields than its header fails the job.
     """
     headers = _first_lines(spark, path)
     parts = []
     for header, files in headers.items() if len(headers) > 1 else [(next(iter(headers), ""), path)]:
         many = has_multi_line_fields(spark, files) if multi_line is None else multi_line
-        df = spark.read.csv(files, header=True, sep=sep or sniff_delimiter(header), inferSchema=infer, escape='"', multiLine=many)
+        options = dict(header=True, sep=sep or sniff_delimiter(header), escape='"', multiLine=many)
+        df = spark.read.csv(files, **options, inferSchema=infer)
+        if df.columns:
+            df = _whole_rows(spark, files, df.schema, **options)
         parts.append(_naive_times(df) if infer else df)
     return parts[0] if len(parts) == 1 else _stacked(parts)
 

@@ -171,3 +171,18 @@ def test_refresh_summary(spark):
     log = spark.createDataFrame([("a", "updated"), ("b", "unchanged"), ("c", "cached"), ("d", "error: HTTP 500")], "list_name string, status string")
     got = {r.outcome: r.n_results for r in netsets.refresh_summary(log).collect()}
     assert got == {"updated": 2, "cached": 1, "error": 1}
+
+
+def test_csv_rows_with_more_fields_than_the_header_fail(spark, tmp_path):
+    (tmp_path / "few.csv").write_text('id,message\n1,"a,b"\n2\n3,"x\ny"\n4,\n')
+    for extra in ("5,one,two", "5,one,,two", '5,"a,b",c', '5,"x\ny",c'):
+        path = tmp_path / f"{abs(hash(extra))}.csv"
+        path.write_text("id,message\n1,a\n" + extra + "\n")
+        for sep, infer in ((",", False), (None, False), (None, True)):
+            df = tabular.read_csv(spark, str(path), sep, infer)
+            for action in (df.collect, df.count, df.select("id").collect):
+                with pytest.raises(Exception, match="more fields than its header"):
+                    action()
+    got = tabular.read_csv(spark, str(tmp_path / "few.csv"), infer=True)
+    assert got.columns == ["id", "message"] and got.count() == 4
+    assert [tuple(r) for r in got.collect()] == [(1, "a,b"), (2, None), (3, "x\ny"), (4, None)]
