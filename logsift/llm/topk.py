@@ -138,15 +138,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         counts = meet(_count(k), state, "vec_id long, bin long, n long").groupBy("vec_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("vec_id").orderBy(F.desc("bin"))
         ranked = counts.join(state, "vec_id").withColumn("upto", F.sum("n").over(down)).withColumn("need", F.lit(k) - F.col("above"))
-        # The first range, from above, with which the k-th score is reached; with too few scores the lowest one.
+        # The first range, from above, with which the k-th score is reached; none with too few scores.
         hit = ranked.where(F.col("upto") >= F.col("need")).groupBy("vec_id").agg(
             F.max(F.struct("bin", "n", "upto", "low", "high", "width", "above")).alias("x"))
         narrowed = hit.select("vec_id", (F.col("x.low") + F.col("x.bin") * F.col("x.width")).alias("low"),
                               F.least(F.col("x.high"), F.col("x.low") + (F.col("x.bin") + 1) * F.col("x.width")).alias("high"),
                               (F.col("x.above") + F.col("x.upto") - F.col("x.n")).alias("above"))
         next_width = max(1, -(-width // BINS))
-        state = materialize(state.select("vec_id", F.col("low").alias("old"), F.col("high").alias("old_high")).join(narrowed, "vec_id", "left").select(
-            "vec_id", F.coalesce("low", "old").alias("low"), F.coalesce("high", "old_high").alias("high"), F.lit(next_width).cast("long").alias("width"), F.coalesce("above", F.lit(0)).alias("above")), "intervals")
+        # A query with fewer than k scores keeps its low end, below all of them, and an empty interval in later rounds.
+        state = materialize(state.select("vec_id", F.col("low").alias("old")).join(narrowed, "vec_id", "left").select(
+            "vec_id", F.coalesce("low", "old").alias("low"), F.coalesce("high", "old").alias("high"), F.lit(next_width).cast("long").alias("width"), F.coalesce("above", F.lit(0)).alias("above")), "intervals")
         if width == 1:
             break
         width = next_width

@@ -216,6 +216,20 @@ def test_top_k(spark):
     assert topk.top_k(table.where("vec_id in (0, 3)"), F.col("vec_id") == 0).count() == 1
 
 
+def test_top_k_of_few_and_of_many_large_vectors(spark):
+    rng = np.random.default_rng(4)
+    for n in (2, 12, 20, 300):
+        vectors = rng.normal(size=(n, 64))
+        whole = np.floor(64.0 * vectors).astype(np.int64)
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        want = set()
+        for q in range(0, n, 5):
+            best = sorted((-int(whole[q] @ whole[i]), i) for i in range(n) if i != q)[:20]
+            want |= {(q, rank, i, -score) for rank, (score, i) in enumerate(best, 1)}
+        got = topk.top_k(table, F.col("vec_id") % 5 == 0, cell_candidates=100).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_language(spark, with_repeats):
     rng = random.Random(1)
     words = {"en": ["the", "house", "which", "with"], "de": ["der", "und", "nicht", "schön"]}
