@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
     # Heads of groups are cut before the shuffle whatever their length.
     "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
+    # Batches sent to Python workers are bounded in bytes, however long the texts in them are.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
     # A key that occurs twice in a record keeps its last value.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
