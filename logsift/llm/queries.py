@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import exact_dedup, hyperminhash, language, mixing, packing, ppm, suffix_levels, topk, toxicity, wavelet
+from . import exact_dedup, fim, hyperminhash, language, mixing, packing, ppm, prefix_trie, simhash, suffix_levels, topk, toxicity, wavelet
 from .shipping import ship
 
 
@@ -105,8 +105,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(_read(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("fim.output"), F.col("fim.form"))
+    return made.select(
+        "row.doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(d, i, 8) AS BIGINT)) AS h FROM u),
+c AS (SELECT doc_id, t, n, u, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM s
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS l FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, l, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.l, [])[1:h], h.l[h + 1:]) AS s FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS (SELECT conv_id, d, s[1:d] AS k, len(s) AS n FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+v AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS e FROM p GROUP BY d, k),
+c AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM v WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT v.*, coalesce(c.n, 0) AS n_children, CASE WHEN v.d > 0 THEN (v.n_convs - 1) * strlen(v.k[v.d].text) ELSE 0 END AS saved FROM v LEFT JOIN c ON c.d = v.d AND c.k = v.k),
+g AS (SELECT a AS d, k[1:a] AS k, sum(saved) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(g.leaves AS BIGINT) AS n_leaves,
+    CAST(g.saved AS BIGINT) AS saved_tokens, sha256(f.e) AS ends_sha256
+FROM f JOIN g ON g.d = f.d AND g.k = f.k LEFT JOIN v up ON up.d = f.d - 1 AND up.k = f.k[1:f.d - 1]
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash, "op2_wavelet_tokens": op2_wavelet_tokens, "op3_language_id": op3_language_id, "op4_exact_dedup": op4_exact_dedup, "op5_top_k": op5_top_k,
     "op6_mixing": op6_mixing, "op7_packing": op7_packing, "op8_suffix_levels": op8_suffix_levels, "op9_ppm": op9_ppm, "op10_toxicity": op10_toxicity,
+    "op11_simhash": op11_simhash, "op12_fill_in_middle": op12_fill_in_middle, "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op1_hyperminhash": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_top_k": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_hyperminhash": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op12_fill_in_middle": OP12_SQL, "op13_prefix_trie": OP13_SQL}
