@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logsift import constants as C
 from logsift.plans.shapes import join_keyed
 from logsift.session import materialize
-from logsift.sources.lines import head_lines, numbered_head
+from logsift.sources.lines import first_split_head, head_lines, numbered_head, unfinished
 
 FIELDS = ("event_timestamp", "source_ip", "status_code", "event_type")
 TEXT_FORMATS = ("web", "syslog", "jsonline")
@@ -62,22 +62,34 @@ def hit_counts(extracted: DataFrame, keys: list[str]) -> DataFrame:
     return extracted.groupBy(*keys).agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("n_lines"))
 
 
-def detect_formats(lines: DataFrame, max_lines: int = 0) -> DataFrame:
-    """``(file, format, head_hit)`` from the first 20 lines of every file.
-
-    ``head_hit`` tells whether those lines (up to ``max_lines``) already hold a value
-    for the detected format.
-    """
-    head = numbered_head(lines, C.DETECT_LINES)
+def _head_flags(head: DataFrame, max_lines: int) -> DataFrame:
+    """Per file, which patterns its head meets and how many of its lines were seen."""
     line = F.col("line")
     counted = F.col("line_no") <= max_lines if max_lines > 0 else F.lit(True)
-    flags = head.groupBy("file").agg(
+    more = [F.bool_or("more").alias("more")] if "more" in head.columns else []
+    return head.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n_seen"),
+        *more,
         F.bool_or(line.rlike(C.DETECT_WEB_ADDRESS)).alias("web_address"),
         F.bool_or(line.rlike(C.DETECT_WEB_REQUEST)).alias("web_request"),
         F.bool_or(line.rlike(C.DETECT_SYSLOG)).alias("syslog"),
         F.bool_or(line.rlike(C.DETECT_JSON)).alias("jsonline"),
         *[F.bool_or(counted & _hit(fn(line))).alias(f"hit_{name}") for name, fn in EXTRACTORS.items()],
     )
+
+
+def detect_formats(lines: DataFrame, max_lines: int = 0) -> DataFrame:
+    """``(file, format, head_hit)`` from the first 20 lines of every file.
+
+    ``head_hit`` tells whether those lines (up to ``max_lines``) already hold a value
+    for the detected format. One pass over the first splits settles almost every file;
+    only files whose first split is shorter than that and that go on are read further.
+    """
+    flags = materialize(_head_flags(first_split_head(lines, C.DETECT_LINES), max_lines), "flags")
+    short = flags.filter(unfinished(flags, C.DETECT_LINES)).select("file")
+    if not short.isEmpty():
+        again = numbered_head(join_keyed(lines, short, ["file"], "left_semi"), C.DETECT_LINES)
+        flags = join_keyed(flags, short, ["file"], "left_anti").unionByName(_head_flags(again, max_lines))
     detected = (
         F.when(F.col("web_address") & F.col("web_request"), "web")
         .when(F.col("syslog"), "syslog")
@@ -108,7 +120,6 @@ def structured_lines(lines: DataFrame, max_lines: int = 0, structured: bool = Tr
     A file of unknown format, or one in which no line yields a field, stays raw:
     ``structured`` is false and its fields are NULL. Whether a file yields anything
     is almost always settled by its head; only files where it is not are scanned.
-    Lines read from text files should be stored first (``store_lines``).
     """
     capped = head_lines(lines, max_lines)
     if not structured:

@@ -28,16 +28,25 @@ def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on (UTC above all) on an existing session."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    _fix_splits(spark)
     return spark
 
 
+def _fix_splits(spark: SparkSession) -> None:
+    """Two scans of one file must cut it alike, also if the number of executors changes in between."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def get_session(app: str = "logsift", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, "spark.ui.enabled": "false", **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    _fix_splits(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,23 +6,34 @@ import re
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from logsift import constants as C
 from logsift.functions.text import is_large, size_text
+from logsift.plans.shapes import join_keyed
 from logsift.session import materialize
-from logsift.sources.lines import file_heads, plain_path, read_lines, store_lines
+from logsift.sources.lines import file_heads, plain_path, read_lines
 
+# Lines are weighted by powers of a primitive root of this prime.
+PRIME = (1 << 31) - 1
+ROOT = 48271
+_DIGIT_BITS, _DIGITS = 6, 6
+_PARTS = 4
+_IN_TASK = (1 << 33) - 1
+# What the first non-blank line of a file says about its format.
+_KINDS = (None, "json", "csv", "log")
+_LENGTH_BITS = 13
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, modified)`` of every file below ``path``; no content is read.
 
-    Scans pass over empty files; their names come from the listing that the driver makes anyhow, without a time.
-    """
+def _names(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The files of a scan by the listing that the driver makes anyhow; empty ones are in no scan."""
+    return spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(name)),) for name in df.inputFiles()], "path string")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length, modified)`` of every file below ``path``; no content is read, and empty files have no time."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     filled = found.select(plain_path().alias("path"), "length", F.col("modificationTime").alias("modified"))
-    names = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(name)),) for name in found.inputFiles()], "path string")
-    return names.join(filled, "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    return _names(spark, found).join(filled, "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
 
 
 def suffix_of(path: Column) -> Column:
@@ -31,30 +42,50 @@ def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
 
 
-def detect_format(path: Column, head: Column) -> Column:
-    """Format by suffix, else by the first 4 KiB: JSON, CSV or log; NULL if neither text nor known."""
-    by_suffix = F.lit(None).cast("string")
-    for suffix, name in C.FORMAT_BY_SUFFIX.items():
-        by_suffix = F.when(suffix_of(path) == suffix, name).otherwise(by_suffix)
-    first = F.regexp_extract(head, r"^\s*([^\n\r\x0b\x0c\x1c-\x1e\x85  ]*)", 1)
-    sniffed = (
+def _by_suffix(path: Column) -> Column:
+    found, suffix = F.lit(None).cast("string"), suffix_of(path)
+    for known, name in C.FORMAT_BY_SUFFIX.items():
+        found = F.when(suffix == known, name).otherwise(found)
+    return found
+
+
+def _first_text(head: Column) -> Column:
+    """The first line with anything in it."""
+    return F.regexp_extract(head, r"^\s*([^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)", 1)
+
+
+def _looks_json(first: Column) -> Column:
+    return first.rlike(r"^[\{\[]")
+
+
+def _looks_csv(first: Column) -> Column:
+    return first.contains(",") & first.rlike(r"^[\p{L}\p{N}]")
+
+
+def sniffed_format(head: Column) -> Column:
+    """Format by the first 4 KiB of a file: JSON, CSV or log; NULL if blank or not text."""
+    first = _first_text(head)
+    return (
         F.when(head.isNull() | (first == "") | ~F.is_valid_utf8(head), F.lit(None).cast("string"))
-        .when(first.rlike(r"^[\{\[]"), "json")
-        .when(first.contains(",") & first.rlike(r"^[\p{L}\p{N}]"), "csv")
-        .otherwise("log")
+        .when(_looks_json(first), "json").when(_looks_csv(first), "csv").otherwise("log")
     )
-    return F.coalesce(by_suffix, sniffed)
+
+
+def detect_format(path: Column, head: Column) -> Column:
+    """Format by suffix, else by the head; NULL if neither text nor known."""
+    return F.coalesce(_by_suffix(path), sniffed_format(head))
 
 
 def classify_files(files: DataFrame, override: str | None = None) -> DataFrame:
     """Add ``format, needs_conversion, status, validation_error, size_text, is_large``.
 
-    ``files`` has ``path, length, head``; ``head`` is only looked at where the suffix
-    does not decide. A given ``override`` replaces the format of valid files.
+    ``files`` has ``path, length`` and ``head`` or, from a catalog scan, ``sniffed``; it is only looked at
+    where the suffix does not decide. A given ``override`` replaces the format of valid files.
     """
     if override is not None and override.lower() not in C.SUPPORTED_FORMATS:
         raise ValueError(f"Unsupported type '{override}'. Supported: {', '.join(sorted(C.SUPPORTED_FORMATS))}")
-    detected = detect_format(F.col("path"), F.col("head"))
+    sniffed = F.col("sniffed") if "sniffed" in files.columns else sniffed_format(F.col("head"))
+    detected = F.coalesce(_by_suffix(F.col("path")), sniffed)
     error = (
         F.when(F.col("length").isNull(), F.concat(F.lit("Log file not found: "), F.col("path")))
         .when(F.col("length") == 0, F.concat(F.lit("Log file is empty: "), F.col("path")))
@@ -69,47 +100,125 @@ def classify_files(files: DataFrame, override: str | None = None) -> DataFrame:
         .withColumn("status", F.when(F.col("validation_error").isNull(), "ready").otherwise("invalid"))
         .withColumn("size_text", size_text(F.col("length")))
         .withColumn("is_large", is_large(F.col("length")))
-        .drop("detected", "head")
+        .drop("detected", "head", "sniffed")
     )
 
 
-def content_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, content_key)`` of every file; files with equal content have equal keys, in any run and folder.
+def _power(exponent: Column, root: int) -> Column:
+    """``root`` to the power of ``exponent`` modulo PRIME, by looking up the digits of the exponent."""
+    out = F.lit(1).cast("long")
+    for i in range(_DIGITS):
+        table = F.expr("array(" + ", ".join(f"{pow(root, d << _DIGIT_BITS * i, PRIME)}L" for d in range(1 << _DIGIT_BITS)) + ")")
+        digit = F.shiftrightunsigned(exponent, _DIGIT_BITS * i).bitwiseAND(F.lit((1 << _DIGIT_BITS) - 1))
+        out = out * F.get(table, digit.cast("int")) % PRIME
+    return out
+
 
-    No file passes through one task: the key combines the digests of a file's numbered
-    lines. Lines are numbered inside their split and shifted by the line counts of the
-    splits before, so the key does not depend on where a file is split.
+def split_digests(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file and split: line count, digest, and what its first lines say about the format.
+
+    The digest is a sum over the lines, each weighted by a power that grows with its number in the task, so it needs neither
+    a window nor a sort, and its parts add up on the map side; all aggregates are longs. What the first non-blank and
+    the first invalid line look like is the minimum of a number that starts with the line's place.
     """
-    in_block = Window.partitionBy("path", "block").orderBy("pos")
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    size, modified = F.col("_metadata.file_size"), F.col("_metadata.file_modification_time")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK))
     lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(
-        plain_path().alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.col("value").alias("line"),
+        plain_path().alias("path"), size.alias("length"), modified.alias("modified"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("block_length"),
+        place.alias("place"), F.col("value").alias("line"),
+    )
+    # Only heads of files whose name does not tell are looked at.
+    asked = (F.col("block") == 0) & _by_suffix(F.col("path")).isNull()
+    head = F.substring("line", 1, C.SNIFF_BYTES)
+    first = _first_text(head)
+    blank = head.rlike(r"^\s*$")
+    kind = F.when(first == "", 0).when(_looks_json(first), 1).when(_looks_csv(first), 2).otherwise(3)
+    most = (1 << _LENGTH_BITS) - 1
+    told = F.shiftleft(F.shiftleft(F.col("place"), 2) + kind, _LENGTH_BITS) + F.least(F.octet_length("line"), F.lit(most))
+    digest = F.sha2("line", 256)
+    weight = _power(F.col("place"), ROOT)
+    parts = [F.conv(F.substring("digest", 1 + 7 * i, 7), 16, 10).cast("long") for i in range(_PARTS)]
+    rows = lines.select(
+        "path", "length", "modified", "block", "block_length", "place", digest.alias("digest"), weight.alias("weight"),
+        F.when(asked & ~blank, told).alias("told"),
+        F.when(asked & blank, F.octet_length("line") + 1).alias("blank"),
+        F.when(asked & ~F.is_valid_utf8(head), F.col("place")).alias("broken"),
     )
-    digested = lines.withColumn("digest", F.sha2("line", 256)).drop("line")
-    blocks = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    digest = F.sha2(F.concat_ws(":", F.col("before") + F.col("nth"), "digest"), 256)
-    parts = [F.conv(F.substring("numbered", 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(4)]
-    keys = (
-        digested.withColumn("nth", F.row_number().over(in_block))
-        .join(before, ["path", "block"])
-        .withColumn("numbered", digest)
-        .groupBy("path")
-        .agg(*[F.bit_xor(p).alias(f"x{i}") for i, p in enumerate(parts)])
+    return rows.groupBy("path", "length", "modified", "block", "block_length").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("first"),
+        *[F.sum(p * F.col("weight") % PRIME).alias(f"h{i}") for i, p in enumerate(parts)],
+        F.min("told").alias("told"), F.sum("blank").alias("blank"), F.min("broken").alias("broken"),
+    )
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length, modified, content_key, sniffed, unsettled)`` of every file that is not empty, from one scan.
+
+    Digests of splits combine in the order of the splits like the concatenation of their lines, so the key does not depend on where
+    a file is split; files with equal content have equal keys in any run and folder. ``unsettled`` marks
+    files whose format hangs on where exactly the first 4 KiB end.
+    """
+    splits = split_digests(spark, path)
+    back = pow(ROOT, PRIME - 2, PRIME)
+    local = [(F.col(f"h{i}") % PRIME * _power(F.col("first"), back) % PRIME).alias(f"h{i}") for i in range(_PARTS)]
+    # Splits of a file: its length by the split size.
+    per_file = splits.select("path", "length", "modified", F.struct(
+        "block", "n", *local, "block_length", "first", "told", "blank", "broken").alias("split")).groupBy("path", "length", "modified").agg(
+        F.array_sort(F.collect_list("split")).alias("splits"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0).cast("long").alias(f"h{i}") for i in range(_PARTS)])
+
+    def combine(have: Column, split: Column) -> Column:
+        weight = _power(have["n"], ROOT)
+        return F.struct((have["n"] + split["n"]).alias("n"), *[((have[f"h{i}"] + split[f"h{i}"] * weight) % PRIME).alias(f"h{i}") for i in range(_PARTS)])
+
+    whole = F.aggregate("splits", start, combine)
+    top = F.col("splits")[0]
+    told = top["told"]
+    kind = F.shiftrightunsigned(told, _LENGTH_BITS).bitwiseAND(F.lit(3))
+    first_length = told.bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
+    blank = F.coalesce(top["blank"], F.lit(0))
+    sniffed = F.lit(None).cast("string")
+    for i, name in enumerate(_KINDS):
+        if name:
+            sniffed = F.when(kind == i, name).otherwise(sniffed)
+    # A first line that is no text settles it; one further down may lie behind the head.
+    broken_first = F.coalesce(top["broken"] == top["first"], F.lit(False))
+    edge = (
+        F.when(broken_first, F.lit(False)).when(top["broken"].isNotNull(), F.lit(True))
+        .when(told.isNull(), (blank < C.SNIFF_BYTES) & (top["block_length"] < F.col("length")))
+        .otherwise((blank > 0) & (blank + first_length > C.SNIFF_BYTES))
     )
-    sizes = list_files(spark, path).select("path", "length")
-    return sizes.join(keys, "path", "left").select(
-        "path", F.concat_ws(":", "length", *[F.hex(f"x{i}") for i in range(4)]).alias("content_key")
+    return per_file.withColumn("whole", whole).select(
+        "path", "length", "modified",
+        F.concat_ws(":", "length", "whole.n", *[F.hex(F.col(f"whole.h{i}")) for i in range(_PARTS)]).alias("content_key"),
+        F.when(~broken_first, sniffed).alias("sniffed"),
+        (_by_suffix(F.col("path")).isNull() & edge).alias("unsettled"),
     )
 
 
+def content_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, content_key)`` of every file, empty ones included."""
+    names = _names(spark, spark.read.option("recursiveFileLookup", "true").text(path))
+    return names.join(file_digests(spark, path).select("path", "content_key"), "path", "left").withColumn(
+        "content_key", F.coalesce("content_key", F.lit("0")))
+
+
 def catalog(spark: SparkSession, path: str, override: str | None = None) -> DataFrame:
-    """Every file below ``path`` with format, size, status, error and whether an earlier one has the same content."""
-    heads = file_heads(store_lines(read_lines(spark, path, recursive=True))).withColumnRenamed("file", "path")
-    listed = list_files(spark, path).join(heads, "path", "left").join(content_digests(spark, path), "path", "left")
+    """Every file below ``path`` with format, size, status, error and whether an earlier one has the same content.
+
+    The files are read once; only those whose format hangs on the exact end of their head are looked at again.
+    """
+    found = materialize(file_digests(spark, path), "digests")
+    unsettled = found.filter("unsettled").select("path")
+    if not unsettled.isEmpty():
+        lines = read_lines(spark, path, recursive=True, line_end="\n").withColumnRenamed("file", "path")
+        heads = file_heads(join_keyed(lines, unsettled, ["path"], "left_semi").withColumnRenamed("path", "file"))
+        again = heads.select(F.col("file").alias("path"), sniffed_format(F.col("head")).alias("looked"))
+        found = found.join(again, "path", "left").withColumn("sniffed", F.when(F.col("unsettled"), F.col("looked")).otherwise(F.col("sniffed"))).drop("looked")
+    names = _names(spark, spark.read.option("recursiveFileLookup", "true").text(path))
+    listed = names.join(found.drop("unsettled"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0))).withColumn(
+        "content_key", F.coalesce("content_key", F.lit("0")))
     return mark_duplicates(materialize(classify_files(listed, override), "catalog"))
 
 

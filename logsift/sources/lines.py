@@ -3,7 +3,11 @@
 A *lines* DataFrame has the columns ``file, block, pos, line``: the file, the start
 of the input split the line came from, and a number that grows with the line order
 inside the split. (block, pos) is therefore the line order of a file although no
-task ever sees a whole file.
+task ever sees a whole file. ``more`` tells whether the file goes on behind the split; a
+table of lines without that column is taken to go on.
+
+Heads are read in two steps, without a copy of the lines: the first splits of all files, ranked each on its own, and only
+then further splits of those few files whose first split holds fewer lines than the head.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from logsift.constants import PREVIEW_BYTES, PREVIEW_LINES, SNIFF_BYTES
 from logsift.plans.shapes import join_keyed
 from logsift.session import materialize
 
+_SPLIT = ["file", "block"]
+
 
 def plain_path() -> Column:
     """The file a row was read from; the metadata column encodes blanks, ``%`` and non-ASCII letters."""
@@ -25,54 +31,73 @@ def plain_path() -> Column:
     return F.when(path.contains("%"), decoded).otherwise(path)
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, line_end: str | None = None) -> DataFrame:
     """Every physical line, verbatim; a blank line is NULL."""
-    return spark.read.option("recursiveFileLookup", str(recursive).lower()).text(paths).select(
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    if line_end:
+        reader = reader.option("lineSep", line_end)
+    block, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
+    return reader.text(paths).select(
         plain_path().alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        block.alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.nullif(F.col("value"), F.lit("")).alias("line"),
+        (block + length < F.col("_metadata.file_size")).alias("more"),
     )
 
 
-def store_lines(lines: DataFrame) -> DataFrame:
-    """Lines written once to the shared folder.
+def _goes_on(lines: DataFrame) -> Column:
+    return F.col("more") if "more" in lines.columns else F.lit(True)
 
-    Fixes file, block and pos, which a second scan of the text could split
-    differently, and turns the passes over them into reads of two small columns.
-    """
-    return materialize(lines, "lines")
 
+def _ranked(lines: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` lines of every split with their number in it; Spark's window group limit cuts before the shuffle."""
+    in_split = Window.partitionBy(*_SPLIT).orderBy("pos")
+    return lines.withColumn("rn", F.row_number().over(in_split)).filter(F.col("rn") <= n)
+
+
+def first_split_head(lines: DataFrame, n: int) -> DataFrame:
+    """What the first split of every file holds of its first ``n`` lines, numbered in ``line_no``."""
+    return _ranked(lines.filter(F.col("block") == 0), n).withColumnRenamed("rn", "line_no")
 
-def numbered_head(lines: DataFrame, n: int) -> DataFrame:
-    """First ``n`` lines of every file with their number in ``line_no``.
 
-    ``n`` may be large and one file may hold most of the data, so no file is ranked
-    as a whole. Lines are counted per split, a running total over the splits of a
-    file says which of them the head reaches, and only the lines of those splits are
-    read and ranked, each split on its own.
+def unfinished(heads: DataFrame, n: int, seen: str = "n_seen") -> Column:
+    """Of ``(seen, more)`` per file: whether its head of ``n`` lines reaches behind the first split."""
+    return (F.col(seen) < n) & _goes_on(heads)
+
+
+def later_head(lines: DataFrame, n: int) -> DataFrame | None:
+    """The lines of the heads that lie behind the first splits, numbered; None if there are none.
+
+    Lines are counted per split, only of files with several splits and without reading a column; a running total says
+    which splits a head reaches, and only the lines of those are ranked, each split on its own.
     """
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.filter((F.col("block") > 0) | _goes_on(lines)).groupBy(*_SPLIT).agg(F.count(F.lit(1)).alias("n_lines"))
     reached = materialize(
-        lines.groupBy("file", "block")
-        .agg(F.count(F.lit(1)).alias("n_lines"))
-        .withColumn("before", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
-        .filter(F.col("before") < n)
-        .select("file", "block", "before"),
+        counts.withColumn("before", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
+        .filter((F.col("block") > 0) & (F.col("before") < n))
+        .select(*_SPLIT, "before"),
         "reached",
     )
     last = reached.agg(F.max("block")).head()[0]
-    in_block = Window.partitionBy("file", "block").orderBy("pos")
+    if last is None:
+        return None
+    behind = lines.filter((F.col("block") > 0) & (F.col("block") <= F.lit(last)))
     return (
-        join_keyed(lines.filter(F.col("block") <= F.lit(last)), reached, ["file", "block"], "inner", stored=True)
-        .withColumn("rn", F.row_number().over(in_block))
-        .filter(F.col("rn") <= n)
-        .withColumn("line_no", F.col("before") + F.col("rn"))
+        _ranked(join_keyed(behind, reached, _SPLIT, "inner", stored=True), n)
+        .withColumn("line_no", (F.col("before") + F.col("rn")).cast("int"))
         .filter(F.col("line_no") <= n)
         .select(*lines.columns, "line_no")
     )
 
 
+def numbered_head(lines: DataFrame, n: int) -> DataFrame:
+    """First ``n`` lines of every file with their number in ``line_no``; no file is ranked as a whole, and none is written."""
+    first, rest = first_split_head(lines, n), later_head(lines, n)
+    return first if rest is None else first.unionByName(rest)
+
+
 def head_lines(lines: DataFrame, n: int) -> DataFrame:
     """First ``n`` lines of every file (all of them for ``n <= 0``)."""
     return lines if n <= 0 else numbered_head(lines, n).drop("line_no")

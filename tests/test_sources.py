@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from logsift.sources import files, lines, netsets, tabular
+from logsift.operators import extract
+from logsift.session import materialize
+from logsift.sources import adapters, files, lines, netsets, tabular
 
 
 def test_csv_stays_text(spark, tmp_path):
@@ -109,7 +111,7 @@ def test_catalog_of_real_files(spark, tmp_path):
     (tmp_path / "noext").write_text("a,b\n1,2\n")
     (tmp_path / "blob.bin").write_bytes(b"\xff\xfe\x00\x01 text\n")
     listed = files.list_files(spark, str(tmp_path))
-    heads = lines.file_heads(lines.store_lines(lines.read_lines(spark, str(tmp_path)))).withColumnRenamed("file", "path")
+    heads = lines.file_heads(lines.read_lines(spark, str(tmp_path))).withColumnRenamed("file", "path")
     digests = files.content_digests(spark, str(tmp_path))
     catalog = files.classify_files(listed.join(heads, "path", "left").join(digests, "path"))
     marked = files.mark_duplicates(catalog)
@@ -186,3 +188,104 @@ def test_csv_rows_with_more_fields_than_the_header_fail(spark, tmp_path):
     got = tabular.read_csv(spark, str(tmp_path / "few.csv"), infer=True)
     assert got.columns == ["id", "message"] and got.count() == 4
     assert [tuple(r) for r in got.collect()] == [(1, "a,b"), (2, None), (3, "x\ny"), (4, None)]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_heads_of_files_with_several_splits(spark, tmp_path, small_splits, monkeypatch):
+    texts = {
+        "long first": ["x" * 30_000, *[f"line {i}" for i in range(6000)]],
+        "plain": [f"{i} " + "y" * (i % 50) for i in range(9000)],
+        "short": ["a", "", "b"],
+        "one line": ["z" * 20_000],
+    }
+    for name, rows in texts.items():
+        (tmp_path / f"{name}.log").write_text("\n".join(rows) + "\n")
+    written = []
+    monkeypatch.setattr(lines, "materialize", lambda df, label: written.append(df.columns) or materialize(df, label))
+    read = lines.read_lines(spark, str(tmp_path))
+    assert read.select("file", "block").distinct().count() > 30
+    for n in (1, 2, 20, 5000):
+        got = {}
+        for r in lines.numbered_head(read, n).collect():
+            got.setdefault(r.file.rsplit("/", 1)[-1][:-4], {})[r.line_no] = r.line
+        assert got == {name: {i + 1: t or None for i, t in enumerate(rows[:n])} for name, rows in texts.items()}
+    # What is written are places of splits, never lines.
+    assert written and all("line" not in columns for columns in written)
+    assert lines.head_lines(read, 5000).count() == sum(min(5000, len(t)) for t in texts.values())
+    cut = {(r.file.rsplit("/", 1)[-1], r.line_no): r.line for r in lines.preview(read, 3, 100).collect()}
+    assert cut["long first.log", 1] == "x" * 100 and cut["short.log", 3] == "b" and ("one line.log", 2) not in cut
+
+
+def test_format_found_behind_a_long_first_split(spark, tmp_path, small_splits):
+    web = '10.0.0.1 - - [14/Nov/2023:12:00:00 +0000] "GET /x HTTP/1.1" 200 1'
+    (tmp_path / "late.log").write_text("n" * 20_000 + "\n" + web + "\n")
+    (tmp_path / "too late.log").write_text("n" * 20_000 + "\n" + "n\n" * 19 + web + "\n")
+    (tmp_path / "first.log").write_text(web + "\n" + "n" * 20_000 + "\n")
+    out = extract.detect_formats(lines.read_lines(spark, str(tmp_path)))
+    got = {r.file.rsplit("/", 1)[-1]: (r.format, r.head_hit) for r in out.collect()}
+    assert got == {"late.log": ("web", True), "too late.log": ("ambiguous", False), "first.log": ("web", True)}
+    df = adapters.read_text_log(spark, str(tmp_path))
+    assert df.filter("source_ip = '10.0.0.1'").count() == 2 and df.count() == 25
+
+
+def test_catalog_reads_the_files_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").write_text("[1]\n")
+    (tmp_path / "b.log").write_text("x\n")
+    plan = plan_of(files.file_digests(spark, str(tmp_path)))
+    # The one sort is that of a file's few splits, inside an array; there is none of lines.
+    assert plan.count("FileScan text") == 1 and "Window" not in plan and "BatchScan" not in plan and "+- Sort " not in plan.split("Exchange")[-1]
+    monkeypatch.setattr(files, "file_heads", None)  # not called where the heads are settled
+    got = {r.path.rsplit("/", 1)[-1]: r.format for r in files.catalog(spark, str(tmp_path)).collect()}
+    assert got == {"a": "json", "b.log": "log"}
+
+
+def test_catalog_where_the_end_of_the_head_matters(spark, tmp_path):
+    broken = b"\xff\xfe\n"
+    contents = {
+        "good first, broken soon": b"text\n" + broken, "good first, broken late": b"text\n" * 2000 + broken, "broken first": broken + b"text\n",
+        "few blanks": b"\n  \n\t\n{}\n", "many blanks": b"\n" * 5000 + b"{}\n", "comma behind blanks": b"\n" * 4000 + b"a" * 90 + b"," + b"a\n",
+        "comma too far": b"\n" * 4000 + b"a" * 200 + b",\n", "all blank": b" \n\n", "long line": b"a" * 9000 + b",\n", "early comma": b"a," + b"a" * 9000, "mark": b"\x1c\n{}\n",
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[-1]: (r.format, r.status) for r in files.catalog(spark, str(tmp_path)).collect()}
+    want = {}
+    for name, content in contents.items():
+        try:
+            text = content[:4096].decode()
+        except UnicodeDecodeError:
+            text = ""
+        text = text.lstrip(" \t\n\x0b\x0c\r")
+        first = text.splitlines()[0] if text else ""
+        kind = None if not first else "json" if first[0] in "{[" else "csv" if "," in first and first[0].isalnum() else "log"
+        want[name] = (kind, "ready" if kind else "invalid")
+    assert got == want
+
+
+def test_digests_depend_on_order_and_every_line(spark, tmp_path, small_splits):
+    rows = [f"row {i % 700}" for i in range(4000)]
+    swapped = rows[:]
+    swapped[10], swapped[3500] = swapped[3500], swapped[10]
+    moved = rows[1000:] + rows[:1000]
+    contents = {"a": rows, "b": rows, "swapped": swapped, "moved": moved, "blank first": ["", *rows[:-1]], "blank last": [*rows[:-1], ""]}
+    for name, content in contents.items():
+        (tmp_path / name).write_text("\n".join(content) + "\n")
+    keys = {r.path.rsplit("/", 1)[-1]: r.content_key for r in files.content_digests(spark, str(tmp_path)).collect()}
+    assert keys["a"] == keys["b"] and len(set(keys.values())) == len(keys) - 1
+
+
+def test_power(spark):
+    exponents = [0, 1, 2, 63, 64, 4097, 2**33 - 1, 2**35 + 12345]
+    got = spark.createDataFrame([(e,) for e in exponents], "e long").select(files._power(F.col("e"), files.ROOT)).collect()
+    assert [r[0] for r in got] == [pow(files.ROOT, e, files.PRIME) for e in exponents]

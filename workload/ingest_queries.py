@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from logsift import constants as C
 from logsift.functions.casts import event_time, status_number
-from logsift.functions.text import is_large, sanitized, size_text
+from logsift.functions.text import sanitized
 from logsift.operators import extract, normalize, records
 from logsift.plans.hybrid import correlation_view_name, has_correlation, load_hybrid
 from logsift.plans.store import EventStore, describe_tables, replace_events, write_raw
 from logsift.session import materialize, scratch_path
 from logsift.sources import adapters, files, lines, netsets, tabular
 from logsift.streaming.ingest import stream_table_files
+from workload import fixtures
 from workload import relations as R
 from workload.registry import query
 
@@ -88,12 +89,14 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
     "select file, line from mixed_lines qualify row_number() over (partition by file order by block, pos) <= 25"
 ), ("mixed_lines",))
 def s6(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.head_lines(lines.store_lines(R.mixed_lines(spark, sf)), 25).select("file", "line")
+    heads = lines.head_lines(lines.read_lines(spark, fixtures.log_files(spark, sf)), 25)
+    return heads.select(fixtures.log_name(F.col("file")).alias("file"), "line")
 
 
 @query("s7_structured_ingest", "select * from structured_lines", ("structured_lines",))
 def s7(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.structured_lines(lines.store_lines(R.mixed_lines(spark, sf)))
+    found = extract.structured_lines(lines.read_lines(spark, fixtures.log_files(spark, sf)))
+    return found.withColumn("file", fixtures.log_name(F.col("file")))
 
 
 @query("s8_adapter_dispatch", (
@@ -117,46 +120,46 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
 
 _SNIFFED = (
     "select *, case when path like '%.CSV' then 'csv' when path like '%.evtx' then 'evtx' when path like '%.log' then 'log' "
-    "when first_line = '' then null when regexp_matches(first_line, '^[\\{\\[]') then 'json' "
+    "when head is null or first_line = '' then null when regexp_matches(first_line, '^[\\{\\[]') then 'json' "
     "when contains(first_line, ',') and regexp_matches(first_line, '^[\\pL\\pN]') then 'csv' else 'log' end as format from ("
     "select *, regexp_extract(head, '^\\s*([^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]*)', 1) as first_line "
-    "from documents_as_files)"
+    "from document_files)"
 )
+# Of equal files the first keeps its own status.
+_CATALOG = (
+    "select *, case when row_number() over (partition by content_key order by path) > 1 then 'duplicate' "
+    f"when length = 0 or format is null then 'invalid' else 'ready' end as status from ({_SNIFFED})"
+)
+
 
+def _catalog(spark: SparkSession, sf: str, override: str | None = None) -> DataFrame:
+    folder = fixtures.document_files(spark, sf)
+    return fixtures.relative(folder, files.catalog(spark, folder, override))
 
-@query("s9_format_detection", f"select path, format from ({_SNIFFED})", ("documents_as_files",))
+
+@query("s9_format_detection", f"select path, case when length > 0 then format end as format from ({_SNIFFED})", ("document_files",))
 def s9(spark: SparkSession, sf: str) -> DataFrame:
-    return files.classify_files(R.documents_as_files(spark, sf)).select("path", "format")
+    return _catalog(spark, sf).select("path", "format")
 
 
 @query("s10_file_validation", (
-    "select path, case when length = 0 or format is null then 'invalid' else 'ready' end as status, "
-    "case when length = 0 then 'Log file is empty: ' || path when format is null then 'Unsupported binary file format for ' || path end "
-    f"as validation_error, case when length > 0 then format = 'evtx' end as needs_conversion from ({_SNIFFED})"
-), ("documents_as_files",))
+    "select path, status, case when length = 0 then 'Log file is empty: ' || path when format is null then 'Unsupported binary file format for ' || path end "
+    f"as validation_error, case when length > 0 then format = 'evtx' end as needs_conversion from ({_CATALOG})"
+), ("document_files",))
 def s10(spark: SparkSession, sf: str) -> DataFrame:
-    checked = files.classify_files(R.documents_as_files(spark, sf))
-    return checked.select("path", "status", "validation_error", "needs_conversion")
+    return _catalog(spark, sf).select("path", "status", "validation_error", "needs_conversion")
 
 
 @query("s11_type_override", (
     f"select path, case when length > 0 and format is not null then 'json' end as format from ({_SNIFFED})"
-), ("documents_as_files",))
+), ("document_files",))
 def s11(spark: SparkSession, sf: str) -> DataFrame:
-    return files.classify_files(R.documents_as_files(spark, sf), override="JSON").select("path", "format")
+    return _catalog(spark, sf, override="JSON").select("path", "format")
 
 
-_DEDUPLICATED = (
-    "select path, case when row_number() over (partition by content_key order by path) > 1 then 'duplicate' "
-    f"when length = 0 or format is null then 'invalid' else 'ready' end as status from ({_SNIFFED})"
-)
-
-
-@query("s12_duplicate_files", _DEDUPLICATED, ("documents_as_files",))
+@query("s12_duplicate_files", f"select path, status from ({_CATALOG})", ("document_files",))
 def s12(spark: SparkSession, sf: str) -> DataFrame:
-    docs = R.documents_as_files(spark, sf)
-    checked = files.classify_files(docs)
-    return files.mark_duplicates(checked).select("path", "status")
+    return _catalog(spark, sf).select("path", "status")
 
 
 @query("s13_file_preview", (
@@ -167,7 +170,8 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     "where rn <= 60) where before < 4096"
 ), ("mixed_lines",))
 def s13(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.preview(lines.store_lines(R.mixed_lines(spark, sf)), 60, 4096)
+    shown = lines.preview(lines.read_lines(spark, fixtures.log_files(spark, sf)), 60, 4096)
+    return shown.withColumn("file", fixtures.log_name(F.col("file")))
 
 
 @query("s14_netset_scan", "select list_name, cidr from netset", ("netset",))
@@ -197,23 +201,19 @@ def s16(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s17_status_counts", (
     "select s.status, count(d.path) as n_files from (values ('ready'), ('pending'), ('ingested'), ('invalid'), ('error')) s(status) "
-    f"left join ({_DEDUPLICATED}) d on s.status = d.status group by s.status"
-), ("documents_as_files",))
+    f"left join ({_CATALOG}) d on s.status = d.status group by s.status"
+), ("document_files",))
 def s17(spark: SparkSession, sf: str) -> DataFrame:
-    docs = R.documents_as_files(spark, sf)
-    checked = files.mark_duplicates(files.classify_files(docs))
-    return files.status_counts(checked)
+    return files.status_counts(_catalog(spark, sf))
 
 
 @query("c7_file_sizes", (
     "select path, case when length >= 1048576 then printf('%.1f MB', length / 1048576.0::double) "
     "when length >= 1024 then printf('%.1f KB', length / 1024.0::double) else length || ' B' end as size_text, "
-    "length > 104857600 as is_large from documents_as_files"
-), ("documents_as_files",))
+    "length > 104857600 as is_large from document_files"
+), ("document_files",))
 def c7(spark: SparkSession, sf: str) -> DataFrame:
-    return R.documents_as_files(spark, sf).select(
-        "path", size_text(F.col("length")).alias("size_text"), is_large(F.col("length")).alias("is_large")
-    )
+    return _catalog(spark, sf).select("path", "size_text", "is_large")
 
 
 @query("c9_list_freshness", (
@@ -395,7 +395,8 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p1_detect_formats", "select file, format from file_formats", ("file_formats",))
 def p1(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.detect_formats(lines.store_lines(R.mixed_lines(spark, sf))).select("file", "format")
+    found = extract.detect_formats(lines.read_lines(spark, fixtures.log_files(spark, sf)))
+    return found.select(fixtures.log_name(F.col("file")).alias("file"), "format")
 
 
 def _fields_sql(fmt: str, relation: str) -> str:

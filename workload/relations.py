@@ -169,6 +169,14 @@ def documents_as_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Where a document lies as a file; the same text in Spark SQL and DuckDB but for the cast.
+_PATH = (
+    "concat(source, '/doc ', lpad(cast(doc_id as {text}), 12, '0'), case doc_id % 5 when 0 then ' 5%20+' when 1 then ' é' else '' end, "
+    "case lang when 'de' then '.CSV' when 'es' then '.evtx' when 'fr' then '.log' else '' end)"
+)
+DOCUMENT_PATH = _PATH.format(text="string")
+
+
 def document_ips(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").selectExpr(
         "doc_id", r"regexp_extract(text, r'([0-9]{1,3}(?:\.[0-9]{1,3}){3})', 1) as source_ip"
@@ -376,6 +384,11 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         "cast(octet_length(encode(text)) as bigint) as length, substring(text, 1, 4096) as head, "
         "sha256(text) as content_key from documents"
     )),
+    "document_files": ((), (
+        f"select {_PATH.format(text='varchar')} as path, case when doc_id % 37 = 0 then 0 else octet_length(encode(coalesce(text, ''))) "
+        "+ case when doc_id % 41 = 0 then 3 else 0 end end as length, case when doc_id % 41 <> 0 then substring(coalesce(text, ''), 1, 4096) end as head, "
+        "case when doc_id % 37 = 0 or coalesce(text, '') = '' and doc_id % 41 <> 0 then '' else (doc_id % 41 = 0) || sha256(coalesce(text, '')) end as content_key from documents"
+    )),
     "document_ips": ((), (
         "select doc_id, regexp_extract(text, '([0-9]{1,3}(?:\\.[0-9]{1,3}){3})', 1) as source_ip from documents"
     )),
