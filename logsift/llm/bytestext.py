@@ -1,8 +1,10 @@
 """Whole texts as one byte array: word limits, rolling hashes and row groups in numpy.
 
 A group of texts is joined with blanks between them, so that no word crosses a
-text. Hashes are polynomials modulo 2**64 with an odd base: the hash of any slice is
-a difference of two prefix sums times a power of the base's inverse.
+text. Words and other slices that do not overlap are hashed by polynomials modulo the prime 2**61 - 1
+(``part_hashes``). Overlapping slices of bounded length have polynomials modulo 2**64 with an odd base: the hash of any
+slice is a difference of two prefix sums times a power of the base's inverse. Those tell long regular slices badly apart
+(from 1,024 bytes on some are equal), so they are for windows of a few hundred bytes only.
 """
 
 from __future__ import annotations
@@ -10,8 +12,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
 U = np.uint64
+PRIME = U((1 << 61) - 1)
+_LOW31, _LOW30 = U((1 << 31) - 1), U((1 << 30) - 1)
+# A random number below the prime.
+PART_BASE = 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+# Slices beyond that are hashed one by one.
+_LONG_PART = 1 << 22
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 IS_SPACE = np.zeros(256, bool)
@@ -57,6 +66,57 @@ def slice_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def _below_prime(x: np.ndarray) -> np.ndarray:
+    x = (x >> U(61)) + (x & PRIME)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product modulo 2**61 - 1 of numbers below it."""
+    a1, a0, b1, b0 = a >> U(31), a & _LOW31, b >> U(31), b & _LOW31
+    middle = a0 * b1 + a1 * b0
+    return _below_prime(_below_prime(a1 * b1 * U(2) + (middle >> U(30))) + _below_prime(((middle & _LOW30) << U(31)) + a0 * b0))
+
+
+_part_powers = [np.array([1], U)]
+
+
+def part_powers(n: int) -> np.ndarray:
+    """PART_BASE**0 .. PART_BASE**(n-1) modulo 2**61 - 1."""
+    while len(_part_powers[0]) < n:
+        have = _part_powers[0]
+        step = U(pow(PART_BASE, len(have), int(PRIME)))
+        _part_powers[0] = np.concatenate([have, times(have, np.full(len(have), step))])
+    return _part_powers[0][:n]
+
+
+def part_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices that are not empty; they are worked on about a megabyte at a time."""
+    out = np.zeros(len(starts), U)
+    size = ends - starts
+    long = size > _LONG_PART
+    for i in np.flatnonzero(long).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    short = np.flatnonzero(~long)
+    upto = np.cumsum(size[short])
+    at = 0
+    while at < len(short):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, side="right")))
+        some = short[at:stop]
+        n = size[some]
+        begin = np.cumsum(n) - n
+        inside = np.arange(int(begin[-1] + n[-1])) - np.repeat(begin, n)
+        symbol = buf[inside + np.repeat(starts[some], n)].astype(U) + U(1)
+        power = part_powers(int(n.max()))[inside]
+        # Halves of the powers, so that sums of up to 2**23 products stay below 2**64.
+        high = np.add.reduceat(symbol * (power >> U(31)), begin)
+        low = np.add.reduceat(symbol * (power & _LOW31), begin)
+        value = _below_prime(times(_below_prime(high), np.full(len(n), U(1 << 31))) + _below_prime(low))
+        out[some] = mix(value + n.astype(U) * U(0xD6E8FEB86659FD93))
+        at = stop
+    return out
+
+
 def word_limits(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words, a word being bytes other than ASCII white space."""
     space = np.ones(len(buf) + 2, np.int8)
@@ -91,7 +151,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf, at = joined(texts)
     buf = LOWER[buf]
     starts, ends = word_limits(buf)
-    return slice_hash(prefix_hash(buf), starts, ends), np.searchsorted(starts, at)
+    return part_hashes(buf, starts, ends), np.searchsorted(starts, at)
 
 
 def utf8(values) -> list[bytes]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .bytestext import U, distinct_sorted, groups, mix, utf8, word_hashes
 from .components import components
 from .filters import may_contain
@@ -112,7 +112,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored (doc_id, n_shingles, s1, s2, signature): ``s1``, ``s2`` are a 128-bit digest of the set."""
+    """Stored (doc_id, text_hash, n_shingles, s1, s2, signature): ``s1``, ``s2`` are a 128-bit digest of the set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,10 +124,10 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                 digest += [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 signature += [rows[i].tobytes() if len(s) else None for i, s in enumerate(sets)]
             halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": np.array(n, np.int64), "s1": halves[:, 0], "s2": halves[:, 1], "signature": signature})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": np.array(n, np.int64), "s1": halves[:, 0], "s2": halves[:, 1], "signature": signature})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInPandas(run, "doc_id long, n_shingles long, s1 long, s2 long, signature binary"), "sketches")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return materialize(rows.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, signature binary"), "sketches")
 
 
 def _bucket_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,22 +156,23 @@ def _shared_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _node_sets(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored (node, s1, s2, n, shingles) of the texts whose ids may be among the nodes.
+    """Stored (rep, s1, s2, shingles) of the texts whose ids may be those of the nodes' first texts, each set of an id once.
 
-    A filter of fixed size spares the other texts, which are read where they lie and not shuffled; what passes by chance finds
-    no partner later.
+    A filter spares the other texts, which are read where they lie and not shuffled; what passes by chance, and other texts
+    under the same id, find no partner later.
     """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             data = []
             for part in groups(utf8(batch["text"].tolist())):
                 data += [s.tobytes() for s in shingle_sets(part, words)]
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(d) for d in data), "<i8").reshape(-1, 2)
-            yield pd.DataFrame({"node": batch["node"], "s1": digest[:, 0], "s2": digest[:, 1], "shingles": data})
+            yield pd.DataFrame({"rep": batch["rep"], "s1": digest[:, 0], "s2": digest[:, 1], "shingles": data})
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    rows = rows.where(may_contain(nodes, "node", F.col("node"))).mapInPandas(run, "node long, s1 long, s2 long, shingles binary")
-    return materialize(rows, "shingles")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    rows = rows.where(may_contain(nodes, "rep", F.col("rep"))).mapInPandas(run, "rep long, s1 long, s2 long, shingles binary")
+    return materialize(rows.dropDuplicates(["rep", "s1", "s2"]), "shingles")
 
 
 def _confirm(percent: int):
@@ -215,17 +216,19 @@ def _side(table: DataFrame, end: str, *columns: str) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, to) of the nodes (node, n, signature, s1, s2) that share a bucket: the smallest node reachable."""
+    """(node, to) of the nodes (node, rep, n, signature, s1, s2) that share a bucket: the smallest node reachable."""
     spark = docs.sparkSession
     buckets = nodes.select("node", "signature").mapInPandas(_bucket_rows, "bucket long, node long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = buckets.repartition(n, "bucket").sortWithinPartitions("bucket", "node").mapInPandas(_shared_buckets, "bucket long, node long")
-    members = materialize(shared, "buckets").distinct()
-    wanted = materialize(members.select("node").distinct(), "candidates")
-    sets = _node_sets(docs, wanted, words, id_col, text_col)
+    stored = materialize(shared, "buckets")
+    members = stored.distinct()
+    wanted = members.select("node").distinct()
     mine = materialize(nodes.join(wanted, "node", "left_semi"), "signatures")
-    labels = wanted.withColumn("component", F.col("node"))
+    sets = _node_sets(docs, mine, words, id_col, text_col)
+    labels = materialize(mine.select("node", F.col("node").alias("component")), "labels")
     state = materialize(members.join(mine.select("node", "n"), "node").select("bucket", "node", "n", F.col("node").alias("component")), "members")
+    discard(stored)
     n_centres = 1
     while True:
         if n_centres == 1:
@@ -242,17 +245,19 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
             centres = materialize(placed.select(F.col("node").alias("a")).distinct(), "centres")
             here = state.join(centres, F.col("node") == F.col("a")).select("bucket", "a", F.col("n").alias("n_a"), F.col("component").alias("of"))
         if centres.isEmpty():
+            discard(centres, state, mine, sets)
             return labels.withColumnRenamed("component", "to")
         alike = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
         pairs = state.join(here, "bucket").where((F.col("component") != F.col("of")) & alike)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        columns = ("n", "signature", "s1", "s2")
-        digests = [f"{c}_{end}" for end in "ab" for c in ("s1", "s2")]
+        columns = ("n", "signature", "rep", "s1", "s2")
+        digests = [f"{c}_{end}" for end in "ab" for c in ("rep", "s1", "s2")]
         near = pairs.join(_side(mine, "a", *columns), "a").join(_side(mine, "b", *columns), "b").mapInPandas(
             _estimated(percent, ["a", "b", *digests]), ", ".join(f"{c} long" for c in ["a", "b", *digests]))
         near = materialize(near, "near")
-        full = near.join(_side(sets, "b", "s1", "s2", "shingles"), ["b", "s1_b", "s2_b"]).join(
-            _side(sets, "a", "s1", "s2", "shingles"), ["a", "s1_a", "s2_a"])
+        full = near
+        for end in "ba":
+            full = full.join(sets.select(*[F.col(c).alias(f"{c}_{end}") for c in sets.columns]), [f"{c}_{end}" for c in ("rep", "s1", "s2")])
         found = materialize(full.select("a", "b", "shingles_a", "shingles_b").mapInPandas(_confirm(percent), "a long, b long"), "links")
         if not found.isEmpty():
             # Links join components, and only those are contracted: edges of earlier rounds are in the labels.
@@ -260,30 +265,39 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: s
                 labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
             joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
             joined = materialize(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "joined")
-            labels = materialize(labels.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-        if n_centres > 1:
-            state = state.join(centres, F.col("node") == F.col("a"), "left_anti")
-        state = materialize(state.drop("component").join(labels, "node").select("bucket", "node", "n", "component"), "members")
+            old, labels = labels, materialize(labels.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+            discard(old, joined)
+        left = state.join(centres, F.col("node") == F.col("a"), "left_anti") if n_centres > 1 else state
+        now = materialize(left.drop("component").join(labels, "node").select("bucket", "node", "n", "component"), "members")
+        discard(state, near, found, centres)
         # Buckets that one component fills have nothing left to compare.
-        state = materialize(state.join(_open(state).select("bucket"), "bucket", "left_semi"), "members")
+        state = materialize(now.join(_open(now).select("bucket"), "bucket", "left_semi"), "members")
+        discard(now)
         n_centres *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row.
+    """(doc_id, n_shingles, component_id, kept, text_hash, stays) per row.
 
     Documents are linked if their sets of ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of at
     least ``percent`` hundredths. Null texts and texts without words have no shingles and no links; rows with a null
-    id are linked with nothing and kept. Repeated rows with one id are judged each by its own text. An empty table
-    gives an empty result.
+    id are linked with nothing and kept. Sets are the nodes, so rows with one id and several texts are judged each by its own text. ``kept`` compares
+    ids; ``stays`` holds for one (doc_id, xxhash64 of the text) of each group of linked rows, the smallest, and for all rows without links.
+    Repeated rows agree. An empty table gives an empty result; other columns are not read.
     """
     rows = sketches(docs, words, id_col, text_col)
     shingled = rows.where("doc_id is not null and n_shingles > 0")
-    nodes = materialize(shingled.groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature")), "nodes")
-    found = links(docs, nodes, words, percent, id_col, text_col)
-    of = materialize(nodes.select("s1", "s2", "node").join(found, "node", "left").select("s1", "s2", F.coalesce("to", "node").alias("component_id")), "classes")
+    sets = shingled.groupBy("s1", "s2").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"))
+    nodes = materialize(sets.select(F.monotonically_increasing_id().alias("node"), "first", F.col("first.doc_id").alias("rep"), "s1", "s2", "n", "signature"), "nodes")
+    found = links(docs, nodes.drop("first"), words, percent, id_col, text_col)
+    classed = nodes.select("s1", "s2", "node", "first").join(found, "node", "left").withColumn("class", F.coalesce("to", "node"))
+    least = classed.groupBy("class").agg(F.min("first").alias("least"))
+    of = materialize(classed.join(least, "class").select("s1", "s2", "least"), "classes")
     # Copies of one set in very large numbers are split by the skew handling of the join.
-    linked = shingled.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = shingled.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(of, ["s1", "s2"])
+    linked = linked.select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "text_hash",
+                           (F.struct("doc_id", "text_hash") == F.col("least")).alias("stays"))
+    alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(True).alias("stays"))
+    out = linked.unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "stays")

@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytestext import IS_SPACE, LOWER, U, groups, joined, prefix_hash, slice_hash, utf8, word_limits
+from ..plans.shapes import head_per_group
+from .bytestext import IS_SPACE, LOWER, U, groups, joined, part_hashes, utf8, word_limits
 
 BUCKETS = 1 << 14
 WIDTH = 16
@@ -42,7 +43,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = LOWER[buf]
     buf = np.where(IS_SPACE[buf], np.uint8(0x20), buf)
     starts, ends = word_limits(buf)
-    words = slice_hash(prefix_hash(buf), starts, ends) % U(BUCKETS)
+    words = part_hashes(buf, starts, ends) % U(BUCKETS)
     wide = np.concatenate([np.full(1, 0x20, np.uint32), buf.astype(np.uint32), np.full(1, 0x20, np.uint32)])
     piece = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
     inside = np.flatnonzero(buf != 0x20)
@@ -134,11 +135,12 @@ def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LAN
           lang_col: str = "lang") -> LanguageModel:
     """Fit on at most ``rows_per_language`` rows of each language where ``usable`` holds, chosen by a hash of the id.
 
-    The ids are chosen first, so only the chosen texts are read; they reach the driver as feature counts.
+    The ids are chosen first, so only the chosen texts are read; they reach the driver as feature counts. Of rows that share an
+    id no more than fit the bound are used, chosen by their features. An empty table, or one without a usable row, gives a model that
+    knows no language; null texts have no features; other columns are not read.
     """
-    pick = Window.partitionBy("lang").orderBy("at", "id")
     ids = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.lit(3)).alias("at"))
-    chosen = ids.withColumn("no", F.row_number().over(pick)).where(F.col("no") <= rows_per_language).select("id", "lang").distinct()
+    chosen = head_per_group(ids, ["lang"], [F.col("at"), F.col("id")], rows_per_language).select("id", "lang").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,11 +150,13 @@ def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LAN
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     buckets, counts = np.unique(index[a:b], return_counts=True)
                     data.append((buckets.astype("<i4").tobytes(), counts.astype("<f4").tobytes()))
-            yield pd.DataFrame({"lang": batch["lang"], "buckets": [d[0] for d in data], "counts": [d[1] for d in data]})
+            yield pd.DataFrame({"lang": batch["lang"], "id": batch["id"], "buckets": [d[0] for d in data], "counts": [d[1] for d in data]})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    # Bounded by rows_per_language times the number of languages.
-    rows = texts.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang").mapInPandas(count, "lang string, buckets binary, counts binary").toPandas()
+    counted = texts.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang", F.col("id").cast("string")).mapInPandas(
+        count, "lang string, id string, buckets binary, counts binary")
+    # Bounded by rows_per_language times the number of languages, also where many rows share an id.
+    rows = head_per_group(counted, ["lang"], [F.col("id"), F.col("buckets"), F.col("counts")], rows_per_language).select("lang", "buckets", "counts").toPandas()
     rows = rows.sort_values(["lang", "buckets", "counts"]).reset_index(drop=True)
     languages = sorted(rows["lang"].unique().tolist())
     place = {x: i for i, x in enumerate(languages)}
@@ -160,10 +164,13 @@ def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LAN
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Add a struct ``__lang`` (lang, score, rejected) to every row.
+    """Add a struct ``__lang`` (lang, score, rejected) to every row; a column of that name is an error.
 
     A null text and one without letters are ``und`` with score 0, and rejected; so is every text if no language was learned.
+    Texts are read whole, repeated rows score alike, and an empty table gives an empty result.
     """
+    if "__lang" in docs.columns:
+        raise ValueError("rename the column __lang first")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

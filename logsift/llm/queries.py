@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(_read(spark, sf_dir, "documents"), words=2)
+    return hyperminhash.near_duplicates(_read(spark, sf_dir, "documents"), words=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP1_SQL = r"""

@@ -3,8 +3,8 @@
 A text is cut before single blanks and around single line ends between two characters that
 are no white space, and between an ASCII letter and a sentence mark. At such a place both kinds
 of vocabulary (byte-level BPE with leading blanks, BPE with word ends) start a new pre-token
-whatever stands around it, so the ids of the parts are the ids of the text. Each worker keeps the ids of the parts it has met in a bounded table; texts with other
-white space than blanks, tabs and line ends are encoded in one piece.
+whatever stands around it, so the ids of the parts are the ids of the text. Each worker keeps the ids of the parts it has met in a bounded table, which it
+searches by a hash; bytes are compared before ids are taken from it. Texts with other white space than blanks, tabs and line ends are encoded in one piece.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .bytestext import U, groups, prefix_hash, slice_hash
+from .bytestext import CHUNK, U, groups, part_hashes
 
 # Parts kept per worker; the table starts anew beyond that.
 TABLE_PARTS = 1 << 21
@@ -53,6 +53,8 @@ class PartEncoder:
         self.slot = np.full(_SLOTS, -1, np.int32)
         self.start = np.zeros(TABLE_PARTS + 1, np.int64)
         self.flat = np.zeros(1 << 20, np.uint32)
+        self.bytes = np.zeros(1 << 20, np.uint8)
+        self.byte_at = np.zeros(TABLE_PARTS + 1, np.int64)
         self.n = 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -96,7 +98,13 @@ class PartEncoder:
             left, at = left[go], (at[go] + U(1)) & U(_SLOTS - 1)
         return out
 
-    def _insert(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _insert(self, hashes: np.ndarray, parts: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        ends = np.cumsum([len(p) for p in parts]) + self.byte_at[self.n]
+        while ends[-1] > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.byte_at[self.n] : ends[-1]] = raw
+        self.byte_at[self.n + 1 : self.n + 1 + len(parts)] = ends
         new = np.cumsum(lengths) + self.start[self.n]
         while new[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -112,6 +120,23 @@ class PartEncoder:
             self.keys[at[won]] = hashes[won]
             hashes, index, at = hashes[~won], index[~won], (at[~won] + U(1)) & U(_SLOTS - 1)
 
+    def _differ(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Which parts have other bytes than the table's part of that index, looked at about a megabyte at a time."""
+        out = ends - starts != self.byte_at[index + 1] - self.byte_at[index]
+        same = np.flatnonzero(~out)
+        upto = np.cumsum((ends - starts)[same])
+        at = 0
+        while at < len(same):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, side="right")))
+            some = same[at:stop]
+            n = (ends - starts)[some]
+            begin = np.cumsum(n) - n
+            flat = np.arange(int(begin[-1] + n[-1]))
+            unequal = buf[flat + np.repeat(starts[some] - begin, n)] != self.bytes[flat + np.repeat(self.byte_at[index[some]] - begin, n)]
+            out[some] = np.logical_or.reduceat(unequal, begin)
+            at = stop
+        return out
+
     def encode_group(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids (uint32) of each text; null is an empty text."""
         odd = [bool(t) and not t.isascii() and _OTHER_SPACE.search(t) is not None or bool(t) and t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
@@ -145,9 +170,9 @@ class PartEncoder:
         cut[first] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(buf))
-        hashes = slice_hash(prefix_hash(buf), starts, ends)
+        hashes = part_hashes(buf, starts, ends)
         # No stretch has more distinct parts than the table holds.
-        found = [self._stretch(raw, starts[i : i + TABLE_PARTS], ends[i : i + TABLE_PARTS], hashes[i : i + TABLE_PARTS]) for i in range(0, len(starts), TABLE_PARTS)]
+        found = [self._stretch(raw, buf, starts[i : i + TABLE_PARTS], ends[i : i + TABLE_PARTS], hashes[i : i + TABLE_PARTS]) for i in range(0, len(starts), TABLE_PARTS)]
         ids = np.concatenate([x for x, _ in found])
         upto = np.concatenate([[0], np.cumsum(np.concatenate([x for _, x in found]))])
         limits = upto[np.append(np.searchsorted(starts, first), len(starts))]
@@ -155,7 +180,7 @@ class PartEncoder:
             out[row] = ids[a:b]
         return out
 
-    def _stretch(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _stretch(self, raw: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of at most TABLE_PARTS consecutive parts and how many each has."""
         index = self._find(hashes)
         missing = np.flatnonzero(index < 0)
@@ -168,18 +193,28 @@ class PartEncoder:
                 missing = np.arange(len(hashes))
             new = missing[one]
             for some in np.array_split(new, max(1, -(-len(new) // 20000))):
-                parts = [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts[some].tolist(), ends[some].tolist())]
+                slices = [raw[s:e] for s, e in zip(starts[some].tolist(), ends[some].tolist())]
+                parts = [p.decode("utf-8", "surrogatepass") for p in slices]
                 # Parts are encoded together with others whose limits show in the same way.
                 kinds = np.array([(p[0] == " ") if self.leading else p.strip(" ").isalpha() for p in parts], np.int8)
                 kinds[["\n" in p and k == 0 for p, k in zip(parts, kinds.tolist())]] = 2
                 for kind in range(3):
                     if (chosen := kinds == kind).any():
-                        self._insert(hashes[some][chosen], *self._parts_ids([p for p, c in zip(parts, chosen.tolist()) if c]))
+                        picked = np.flatnonzero(chosen).tolist()
+                        self._insert(hashes[some][chosen], [slices[i] for i in picked], *self._parts_ids([parts[i] for i in picked]))
             index[missing] = self._find(hashes[missing])
         begin = self.start[index]
         count = self.start[index + 1] - begin
         upto = np.concatenate([[0], np.cumsum(count)])
-        return self.flat[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])], count
+        ids = self.flat[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
+        other = np.flatnonzero(self._differ(buf, starts, ends, index))
+        if len(other):  # parts that share their hash with another one
+            each = np.split(ids, upto[1:-1])
+            for i in other.tolist():
+                each[i] = self._ids([raw[starts[i] : ends[i]].decode("utf-8", "surrogatepass")])[0]
+                count[i] = len(each[i])
+            ids = np.concatenate(each)
+        return ids, count
 
 
 _encoders: dict[str, PartEncoder] = {}

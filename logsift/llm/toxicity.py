@@ -13,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytestext import LOWER, U, distinct_sorted, groups, joined, prefix_hash, slice_hash, utf8, word_limits
+from ..plans.shapes import head_per_group
+from ..session import materialize
+from .bytestext import LOWER, U, distinct_sorted, groups, joined, part_hashes, utf8, word_limits
 
 # At most this many learning rows of each label, chosen by a hash of the id.
 ROWS_PER_LABEL = 4000
@@ -24,6 +26,7 @@ BEGINNINGS = (4, 5, 6)
 # Terms need this much evidence (twice the log likelihood ratio) and at least so many toxic rows.
 EVIDENCE = 40.0
 LEAST_ROWS = 4
+# The strongest terms make up the model, no more than that.
 MOST_TERMS = 2000
 PATTERNS = ("many capitals", "many exclamation marks", "many question marks", "many digits", "very few distinct words")
 
@@ -44,11 +47,10 @@ def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # Sentence marks do not belong to words here.
     plain = np.where((buf >= 0x21) & (buf <= 0x2F) | (buf >= 0x3A) & (buf <= 0x40) | (buf >= 0x5B) & (buf <= 0x60) | (buf >= 0x7B) & (buf <= 0x7E), np.uint8(0x20), buf)
     starts, ends = word_limits(plain)
-    prefix = prefix_hash(plain)
-    every, place = [slice_hash(prefix, starts, ends)], [starts]
+    every, place = [part_hashes(plain, starts, ends)], [starts]
     for n in BEGINNINGS:
         longer = ends - starts > n
-        every.append(slice_hash(prefix, starts[longer], starts[longer] + n) ^ U(n))
+        every.append(part_hashes(plain, starts[longer], starts[longer] + n) ^ U(n))
         place.append(starts[longer])
     place_ = np.concatenate(place)
     order = np.argsort(place_, kind="stable")
@@ -70,26 +72,30 @@ def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return terms, np.searchsorted(place_[order], at), patterns
 
 
-def _choose_terms(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Terms that speak for the label: G statistic on presence, toxic side only."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    found = {y: np.unique(np.concatenate([s for s, t in zip(sets, toxic) if t == y] or [np.zeros(0, U)]), return_counts=True) for y in (True, False)}
-    terms, a = found[True]
-    terms, a = terms[a >= LEAST_ROWS], a[a >= LEAST_ROWS].astype(float)
-    if not len(terms) or not n0:
+def _choose_terms(learning: DataFrame, most: int = MOST_TERMS) -> np.ndarray:
+    """Terms that speak for the label: G statistic on presence, toxic side only. Counted on the cluster; at most ``most`` reach the driver."""
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.frombuffer(t, np.int64) for t in batch["terms"]]
+            sizes = [len(s) for s in sets]
+            yield pd.DataFrame({"term": np.concatenate(sets) if sets else np.zeros(0, np.int64), "toxic": np.repeat(batch["toxic"].to_numpy(), sizes)})
+
+    n1, n0 = learning.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    if not n1 or not n0:
         return np.zeros(0, U)
-    at = np.searchsorted(found[False][0], terms)
-    at[at == len(found[False][0])] = 0
-    b = np.where(found[False][0][at] == terms, found[False][1][at], 0).astype(float) if len(found[False][0]) else np.zeros(len(terms))
+    counts = learning.select("terms", "toxic").mapInPandas(explode, "term long, toxic int").groupBy("term").agg(
+        F.count_if(F.col("toxic") == 1).cast("double").alias("a"), F.count_if(F.col("toxic") == 0).cast("double").alias("b"))
 
-    def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+    def part(x: Column, expected: Column) -> Column:
+        return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
 
+    a, b = F.col("a"), F.col("b")
     rate = (a + b) / (n1 + n0)
     g = 2 * (part(a, n1 * rate) + part(n1 - a, n1 * (1 - rate)) + part(b, n0 * rate) + part(n0 - b, n0 * (1 - rate)))
-    good = (g >= EVIDENCE) & (a / n1 > 4 * b / n0)
-    order = np.lexsort((terms[good], -g[good]))[:MOST_TERMS]
-    return np.sort(terms[good][order])
+    good = counts.where(a >= LEAST_ROWS).withColumn("g", g).where((F.col("g") >= EVIDENCE) & (a / n1 > 4 * b / n0))
+    found = good.orderBy(F.col("g").desc(), "term").limit(most).select("term").collect()
+    return np.sort(np.array([r["term"] for r in found], np.int64).view(U))
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -115,16 +121,15 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.nd
     return posterior
 
 
-def fit(sets: list[np.ndarray], patterns: np.ndarray, toxic: np.ndarray, prior: float) -> ToxicityModel:
-    """Voters from labels, posterior labels from the votes, weights from the posterior labels."""
+def fit(terms: np.ndarray, fired: list[np.ndarray], patterns: np.ndarray, toxic: np.ndarray, prior: float) -> ToxicityModel:
+    """Posterior labels from the votes, weights from the posterior labels; ``fired`` holds the places of each row's terms."""
     odds = float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
-    terms = _choose_terms(sets, toxic) if len(toxic) else np.zeros(0, U)
     none = ToxicityModel(terms, np.zeros(len(terms) + len(PATTERNS)), odds)
     if not len(terms) or toxic.all():
         return none
-    votes = np.zeros((len(sets), len(terms) + len(PATTERNS)), np.float32)
-    for i, s in enumerate(sets):
-        votes[i, np.flatnonzero(np.isin(terms, s))] = 1
+    votes = np.zeros((len(fired), len(terms) + len(PATTERNS)), np.float32)
+    for i, places in enumerate(fired):
+        votes[i, places] = 1
     votes[:, len(terms):] = patterns
     # Two more kinds of voters for the label model only: "no term fires", and the given labels, whose accuracy is estimated like any other's.
     witnesses = np.column_stack([votes, votes[:, : len(terms)].max(axis=1) == 0, toxic, ~toxic])
@@ -144,11 +149,15 @@ def fit(sets: list[np.ndarray], patterns: np.ndarray, toxic: np.ndarray, prior:
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, rows_per_label: int = ROWS_PER_LABEL, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> ToxicityModel:
-    """Fit on at most ``rows_per_label`` labelled rows of each label where ``usable`` (on the labels) holds; the share of toxic rows comes from all of them."""
+    """Fit on at most ``rows_per_label`` labelled rows of each label where ``usable`` (on the labels) holds; the share of toxic rows comes from all of them.
+
+    Of rows that share an id no more than fit the bound are used. The terms are counted on the cluster; the driver gets
+    their votes, at most MOST_TERMS per row. Null texts have no terms; labels other than 0 and 1 and null ids are left out; an empty table, or
+    labels of one kind only, gives a model that knows the share alone. Other columns are not read.
+    """
     known = labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
-    pick = Window.partitionBy("toxic").orderBy(F.xxhash64("id", F.lit(5)), "id")
-    chosen = known.withColumn("no", F.row_number().over(pick)).where(F.col("no") <= rows_per_label).select("id", "toxic").distinct()
+    chosen = head_per_group(known.withColumn("at", F.xxhash64("id", F.lit(5))), ["toxic"], [F.col("at"), F.col("id")], rows_per_label).select("id", "toxic").distinct()
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -157,19 +166,33 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows_per_label: in
                 terms, at, patterns = terms_of(part)
                 for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                     data.append((distinct_sorted(terms[a:b]).tobytes(), patterns[i].astype(np.uint8).tobytes()))
-            yield pd.DataFrame({"toxic": batch["toxic"], "terms": [d[0] for d in data], "patterns": [d[1] for d in data]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "id": batch["id"], "terms": [d[0] for d in data], "patterns": [d[1] for d in data]})
 
-    # Bounded by twice rows_per_label.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = texts.select("text", "toxic").mapInPandas(look, "toxic int, terms binary, patterns binary").toPandas()
-    rows = rows.sort_values(["toxic", "terms"]).reset_index(drop=True)
-    sets = [np.frombuffer(t, U) for t in rows["terms"]]
+    looked = texts.select("text", "toxic", F.col("id").cast("string")).mapInPandas(look, "toxic int, id string, terms binary, patterns binary")
+    learning = materialize(head_per_group(looked.withColumn("mark", F.xxhash64("terms")), ["toxic"], [F.col("id"), F.col("mark")], rows_per_label).select("toxic", "terms", "patterns"), "learning")
+    terms = _choose_terms(learning)
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fired = [np.flatnonzero(np.isin(terms, np.frombuffer(t, U))).astype("<i4").tobytes() for t in batch["terms"]]
+            yield pd.DataFrame({"toxic": batch["toxic"], "fired": fired, "patterns": batch["patterns"]})
+
+    # At most twice rows_per_label rows of at most MOST_TERMS votes.
+    rows = learning.mapInPandas(vote, "toxic int, fired binary, patterns binary").toPandas()
+    rows = rows.sort_values(["toxic", "fired", "patterns"]).reset_index(drop=True)
+    fired = [np.frombuffer(t, "<i4") for t in rows["fired"]]
     patterns = np.array([np.frombuffer(p, np.uint8) for p in rows["patterns"]]).reshape(len(rows), len(PATTERNS))
-    return fit(sets, patterns, rows["toxic"].to_numpy() == 1, 0.0 if share is None else float(share))
+    return fit(terms, fired, patterns, rows["toxic"].to_numpy() == 1, 0.0 if share is None else float(share))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """Add ``__toxicity``, the probability (0 to 1), to every row; null counts as an empty text."""
+    """Add ``__toxicity``, the probability (0 to 1), to every row; a column of that name is an error.
+
+    Texts are read whole; null counts as an empty text, repeated rows score alike, and an empty table gives an empty result.
+    """
+    if "__toxicity" in docs.columns:
+        raise ValueError("rename the column __toxicity first")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
