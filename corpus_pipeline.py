@@ -29,11 +29,16 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at similarity 0.8: that with the smallest doc_id."""
+    """One document of each group linked by five-word shingles at similarity 0.8: that with the smallest doc_id.
+
+    Rows of one id with several texts are judged each by its own text. Rows with a null id, without text or without words are linked with
+    nothing and stay; repeated rows agree. An empty table stays empty, and columns of any name pass.
+    """
     ship(configure(spark))
-    # Rows with a null id are linked with nothing and stay.
-    gone = hyperminhash.near_duplicates(docs, words=5).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = hyperminhash.near_duplicates(docs, words=5).where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    left, right = docs.alias("kept"), gone.alias("gone")
+    same = (F.col("kept.doc_id") == F.col("gone.gone_id")) & (F.xxhash64("kept.text") == F.col("gone.gone_hash"))
+    return left.join(right, same, "left_anti").select("kept.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
