@@ -21,6 +21,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
     # A key that occurs twice in a record keeps its last value.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -253,42 +253,34 @@ def e7(spark: SparkSession, sf: str) -> DataFrame:
 @query("ev1_named_data", (
     "select event_id as record_id, unnest(['EventData_Data_IpAddress', 'EventData_Data_StatusCode']) as key, "
     "unnest([ip, cast(status as varchar)]) as value from web_events where event_type <> 'view' union all "
-    "select event_id, 'EventData_Tags', '[\"view\",\"beta\"]' from web_events where event_type = 'view'"
+    "select event_id, 'EventData_Tags', '[\"view\", \"beta\"]' from web_events where event_type = 'view'"
 ), ("web_events",))
 def ev1(spark: SparkSession, sf: str) -> DataFrame:
-    data = F.try_variant_get(F.parse_json("data"), "$.Event.EventData.Data", "variant")
-    tags = F.try_variant_get(F.parse_json("data"), "$.Event.EventData.Tags", "variant")
+    data, tags = F.get_json_object("data", "$.Event.EventData.Data"), F.get_json_object("data", "$.Event.EventData.Tags")
     rows = R.event_records(spark, sf).withColumn("items", F.coalesce(data, tags)).withColumn(
         "parent", F.when(data.isNotNull(), "EventData_Data").otherwise("EventData_Tags")
     )
-    entries = rows.select(
-        F.col("event_record_id").alias("record_id"),
-        F.explode(records.named_data(F.col("parent"), F.col("items"))).alias("e"),
-    )
-    return entries.select(
-        "record_id", F.col("e.key").alias("key"),
-        F.when(F.schema_of_variant("e.value").startswith("ARRAY"), F.to_json("e.value"))
-        .otherwise(F.col("e.value").cast("string")).alias("value"),
-    )
+    entries = records.flatten_payload(rows, "items", "flat", parent=F.col("parent"))
+    return entries.select(F.col("event_record_id").alias("record_id"), F.explode("flat")).select("record_id", "key", F.col("value.text").alias("value"))
 
 
 def _flat_records(spark: SparkSession, sf: str) -> DataFrame:
-    event = F.try_variant_get(F.parse_json("data"), "$.Event", "variant")
-    return records.flatten_payload(R.event_records(spark, sf).withColumn("event", event), "event", "flat")
+    return records.flatten_payload(R.event_records(spark, sf), "data", "flat", element="Event")
 
 
 @query("ev2_flatten_payload", (
     "select event_id as record_id, unnest(['System_Channel', 'System_Computer', 'System_EventID', 'System_Level', "
-    "'System_Provider_Name', 'System_Task', 'System_TimeCreated_SystemTime']) as key, "
-    "unnest(['\"Security\"', '\"HOST-' || (user_id % 20) || '\"', cast(4600 + event_id % 50 as varchar), '0', '\"Audit\"', '12544', "
-    "'\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z\"']) as value from web_events union all "
+    "'System_Load', 'System_Mix', 'System_Provider_Name', 'System_Ratio', 'System_Task', 'System_TimeCreated_SystemTime', 'System_b_c']) as key, "
+    "unnest(['\"Security\"', '\"HOST-' || (user_id % 20) || '\"', cast(4600 + event_id % 50 as varchar), '0', '1.0', '[{\"a\": [2.5, \"x\"], \"z\": 1}]', "
+    "'\"Audit\"', '1e+22', '12544', '\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z\"', cast(2 - event_id % 2 as varchar)]) as value from web_events union all "
+    "select event_id, 'System_d1_d2_d3_d4_d5_d6_d7_d8_d9', cast(event_id as varchar) from web_events where event_id % 10 = 0 union all "
     "select event_id, unnest(['EventData_Data_IpAddress', 'EventData_Data_StatusCode']), "
     "unnest(['\"' || ip || '\"', cast(status as varchar)]) from web_events where event_type <> 'view' union all "
-    "select event_id, 'EventData_Tags', '[\"view\",\"beta\"]' from web_events where event_type = 'view'"
+    "select event_id, 'EventData_Tags', '[\"view\", \"beta\"]' from web_events where event_type = 'view'"
 ), ("web_events",))
 def ev2(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_records(spark, sf).select(F.col("event_record_id").alias("record_id"), F.explode("flat")).select(
-        "record_id", "key", F.to_json("value").alias("value")
+        "record_id", "key", F.col("value.json").alias("value")
     )
 
 
@@ -306,7 +298,7 @@ def ev3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ev4_record_rows", "select * from record_rows", ("record_rows",))
 def ev4(spark: SparkSession, sf: str) -> DataFrame:
-    return records.record_rows(R.event_records(spark, sf), max_depth=None)
+    return records.record_rows(R.event_records(spark, sf))
 
 
 @query("ev5_record_guard", (
@@ -363,7 +355,7 @@ _CORRELATED_SQL = (
     "select 'raw', count(*), count(source_ip) from record_rows union all select 'alerts', count(*), count(\"RecordID\") from alerts"
 ), ("alerts", "record_rows"))
 def ev8(spark: SparkSession, sf: str) -> DataFrame:
-    tables = load_hybrid("case 1", records.record_rows(R.event_records(spark, sf), max_depth=None), R.alerts(spark, sf))
+    tables = load_hybrid("case 1", records.record_rows(R.event_records(spark, sf)), R.alerts(spark, sf))
     parts = (("correlated", tables.correlated, "raw_source_ip"), ("raw", tables.raw, "source_ip"),
              ("alerts", tables.alerts, "RecordID"))
     return reduce(DataFrame.unionByName, [
@@ -374,7 +366,7 @@ def ev8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j1_correlated_alerts", _CORRELATED_SQL, ("alerts", "record_rows"))
 def j1(spark: SparkSession, sf: str) -> DataFrame:
-    raw = materialize(records.record_rows(R.event_records(spark, sf), max_depth=None), "raw")
+    raw = materialize(records.record_rows(R.event_records(spark, sf)), "raw")
     return records.correlate_alerts(R.alerts(spark, sf), raw)
 
 
@@ -382,7 +374,7 @@ def j1(spark: SparkSession, sf: str) -> DataFrame:
     "select true as available, 'correlated_case_2' as view_name, (select count(*) from alerts) as n_alerts"
 ), ("alerts",))
 def j2(spark: SparkSession, sf: str) -> DataFrame:
-    load_hybrid("case 2", records.record_rows(R.event_records(spark, sf), max_depth=None), R.alerts(spark, sf))
+    load_hybrid("case 2", records.record_rows(R.event_records(spark, sf)), R.alerts(spark, sf))
     name = correlation_view_name("case 2")
     return spark.table(name).agg(
         F.lit(has_correlation(spark, "case 2")).alias("available"), F.lit(name).alias("view_name"),

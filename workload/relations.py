@@ -191,7 +191,10 @@ def event_records(spark: SparkSession, sf: str) -> DataFrame:
     system = (
         "'\"Provider\":{\"#attributes\":{\"Name\":\"Audit\"}},\"EventID\":', 4600 + event_id % 50, ',\"Level\":0,\"Task\":12544,"
         "\"TimeCreated\":{\"#attributes\":{\"SystemTime\":\"', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'Z\"}},"
-        "\"Channel\":\"Security\",\"Computer\":\"HOST-', user_id % 20, '\"'"
+        "\"Channel\":\"Security\",\"Computer\":\"HOST-', user_id % 20, '\",\"Load\":1.0,\"Ratio\":1e+22,\"Mix\":[{\"z\":1,\"a\":[2.50,\"x\"]}],', "
+        # Two members that flatten to one name, in both orders, and one nine levels down.
+        "if(event_id % 2 = 0, '\"b_c\":1,\"b\":{\"c\":2}', '\"b\":{\"c\":2},\"b_c\":1'), if(event_id % 10 = 0, concat("
+        f"',{''.join(chr(34) + f'd{i}' + chr(34) + ':{' for i in range(1, 9))}\"d9\":', event_id, '{'}' * 8}'), '')"
     )
     named = (
         "concat('\"Data\":[{\"#attributes\":{\"Name\":\"IpAddress\"},\"#text\":\"', ip, "
@@ -302,8 +305,10 @@ _SQL_RECORD_MESSAGE = (
     "case when event_type = 'view' then '{\"EventData_Tags\": [\"' || event_type || '\", \"beta\"], ' "
     "else '{\"EventData_Data_IpAddress\": \"' || ip || '\", \"EventData_Data_StatusCode\": ' || status || ', ' end || "
     "'\"System_Channel\": \"Security\", \"System_Computer\": \"HOST-' || (user_id % 20) || '\", \"System_EventID\": ' || "
-    "(4600 + event_id % 50) || ', \"System_Level\": 0, \"System_Provider_Name\": \"Audit\", \"System_Task\": 12544, "
-    "\"System_TimeCreated_SystemTime\": \"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z\"}'"
+    "(4600 + event_id % 50) || ', \"System_Level\": 0, \"System_Load\": 1.0, \"System_Mix\": [{\"a\": [2.5, \"x\"], \"z\": 1}], "
+    "\"System_Provider_Name\": \"Audit\", \"System_Ratio\": 1e+22, \"System_Task\": 12544, "
+    "\"System_TimeCreated_SystemTime\": \"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z\", \"System_b_c\": ' || (2 - event_id % 2) || "
+    "case when event_id % 10 = 0 then ', \"System_d1_d2_d3_d4_d5_d6_d7_d8_d9\": ' || event_id else '' end || '}'"
 )
 
 # name -> (relations it reads, SQL)
