@@ -1,14 +1,21 @@
-"""Matching addresses against CIDR lists."""
+"""Matching addresses against CIDR lists.
+
+Networks lie inside each other or apart, so they cut the address space into disjoint ranges, each with the lists of all networks
+around it. A range is known by its first address. Addresses and range starts are sorted together, and every address takes the lists of
+the last start before it: nothing is copied per prefix length, joined or broadcast.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logsift.functions.address import mask_hi, mask_lo, parse_address, parse_network
-from logsift.plans.shapes import computed_once, join_keyed
+from logsift.plans.shapes import computed_once
 from logsift.session import materialize
 
 _NETWORK = ["version", "prefix_len", "hi", "lo"]
+_PLACE = ["version", "hi", "lo"]
+_LOWEST = -(1 << 63)
 
 
 def parse_networks(netset: DataFrame) -> DataFrame:
@@ -17,59 +24,89 @@ def parse_networks(netset: DataFrame) -> DataFrame:
     return parsed.filter(F.col("net").isNotNull()).select("list_name", "cidr", "net.*")
 
 
-def _masked(df: DataFrame, lengths: DataFrame, *kept: str) -> DataFrame:
-    """Every row once per prefix length of its version, cut to that length."""
+def _covering(places: DataFrame, networks: DataFrame) -> DataFrame:
+    """``(version, hi, lo, threat_lists)`` of distinct places: the lists of all networks around each, none if there is none.
+
+    A place is cut to every prefix length in use, so this is for places as few as the networks.
+    """
+    used: dict[int, list[int]] = {4: [], 6: []}
+    for row in networks.select("version", "prefix_len").distinct().collect():  # at most 33 + 129
+        used[row["version"]].append(row["prefix_len"])
+
+    def lengths(version: int) -> Column:
+        return F.array(*[F.lit(n) for n in sorted(used[version])]).cast("array<int>")
+
     length = F.col("prefix_len")
-    return df.join(F.broadcast(lengths), "version").select(
-        *kept, "version", "prefix_len", mask_hi(F.col("hi"), length).alias("hi"), mask_lo(F.col("lo"), length).alias("lo")
-    )
+    own = [F.col(c).alias(f"own_{c}") for c in _PLACE]
+    cut = places.select(*_PLACE, F.explode(F.when(F.col("version") == 4, lengths(4)).otherwise(lengths(6))).alias("prefix_len"))
+    cut = cut.select(*own, "version", "prefix_len", mask_hi(F.col("hi"), length).alias("hi"), mask_lo(F.col("lo"), length).alias("lo"))
+    found = cut.join(networks, _NETWORK).groupBy(*[F.col(f"own_{c}").alias(c) for c in _PLACE]).agg(F.flatten(F.collect_list("lists")).alias("lists"))
+    nothing = F.array().cast("array<string>")
+    return places.join(found, _PLACE, "left").select(*_PLACE, F.coalesce(F.array_sort(F.array_distinct("lists")), nothing).alias("threat_lists"))
 
 
-def merged_networks(netset: DataFrame) -> DataFrame:
-    """One row per network with the names of all lists that cover it, itself or by a wider network."""
-    networks = materialize(
-        parse_networks(netset).groupBy(*_NETWORK).agg(F.collect_set("list_name").alias("lists")), "networks"
-    )
-    own = [F.col(c).alias(f"own_{c}") for c in _NETWORK]
-    wider = _masked(
-        networks.select(*own, "version", "hi", "lo"), networks.select("version", "prefix_len").distinct(),
-        *[f"own_{c}" for c in _NETWORK],
-    ).filter(F.col("prefix_len") <= F.col("own_prefix_len"))
-    covered = join_keyed(wider, networks, _NETWORK, "inner", stored=True)
-    return (
-        covered.groupBy(*[F.col(f"own_{c}").alias(c) for c in _NETWORK])
-        .agg(F.flatten(F.collect_list("lists")).alias("lists"))
-        .select(*_NETWORK, F.array_sort(F.array_distinct("lists")).alias("threat_lists"))
-    )
+def _biased(column: str) -> Column:
+    """Half of an address as a long whose order is that of the unsigned number."""
+    return F.col(column).bitwiseXOR(F.lit(_LOWEST))
+
+
+def _plus_power(value: Column, exponent: Column) -> Column:
+    """``value + 2**exponent`` (exponent 0 to 63) of a biased long; NULL beyond the largest."""
+    half = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(exponent - 1, F.lit(0)).cast("int"))
+    return F.when(exponent == 0, F.try_add(value, F.lit(1).cast("long"))).otherwise(F.try_add(F.try_add(value, half), half))
+
+
+def _behind(networks: DataFrame) -> DataFrame:
+    """The first place behind each network, in biased halves; networks at the end of the address space have none."""
+    length = F.col("prefix_len")
+    high = F.when(length > 0, _plus_power(F.col("hi"), F.lit(64) - F.least(length, F.lit(64))))
+    low = _plus_power(F.col("lo"), F.lit(128) - F.greatest(F.least(length, F.lit(128)), F.lit(65)))
+    carried = F.try_add("hi", F.lit(1).cast("long"))
+    lowest = F.lit(_LOWEST).cast("long")
+    in_low = length > 64
+    return networks.select(
+        "version", F.when(~in_low, high).when(low.isNull(), carried).otherwise(F.col("hi")).alias("hi"),
+        F.when(in_low & low.isNotNull(), low).otherwise(lowest).alias("lo")).filter(F.col("hi").isNotNull())
+
+
+def address_ranges(netset: DataFrame) -> DataFrame:
+    """Stored ``(version, hi, lo, threat_lists)``: where a range of addresses with other lists begins, up to the next row.
+
+    ``hi`` and ``lo`` are the unsigned halves of the first address less 2**63, so they sort as they are. Both versions begin with a
+    row of their own; ``threat_lists`` is empty between networks.
+    """
+    networks = materialize(parse_networks(netset).groupBy(*_NETWORK).agg(F.collect_set("list_name").alias("lists")), "networks")
+    starts = networks.select("version", _biased("hi").alias("hi"), _biased("lo").alias("lo"), "prefix_len")
+    lowest = F.lit(_LOWEST).cast("long")
+    first = netset.sparkSession.createDataFrame([(4,), (6,)], "version int").select("version", lowest.alias("hi"), lowest.alias("lo"))
+    places = starts.select(*_PLACE).unionByName(_behind(starts)).unionByName(first).distinct()
+    plain = places.select("version", _biased("hi").alias("hi"), _biased("lo").alias("lo"))
+    ranges = _covering(plain, networks)
+    return materialize(ranges.select("version", _biased("hi").alias("hi"), _biased("lo").alias("lo"), "threat_lists"), "ranges")
 
 
 def match_ips(ips: DataFrame, netset: DataFrame, column: str = "ip") -> DataFrame:
     """``(column, threat_lists)`` for every distinct address inside at least one network.
 
-    Containment becomes an equality join: an address is masked to each prefix length
-    that occurs in the lists (at most 33 + 129 of them, so that table is broadcast)
-    and looked up among the networks. Networks already carry the lists of the wider
-    ones around them, so the longest match decides, and it is found with a plain
-    maximum per address. With the networks broadcast too, the rows of an address
-    never leave the task its ``distinct`` put them in.
+    Range starts and distinct addresses are dealt out together by ranges of the address space and sorted; the last start before an address has its
+    lists. What is open at the end of one share is put in front of the next one, one row per share.
     """
-    networks = materialize(merged_networks(netset), "networks")
-    lengths = networks.select("version", "prefix_len").distinct()
-    parsed = computed_once(
-        ips.select(column).distinct(), parse_address(F.col(column)).alias("address"), keep=[column]
-    )
-    addresses = parsed.filter(F.col("address").isNotNull()).select(
-        column, "address.*", F.col("address.hi").alias("full_hi"), F.col("address.lo").alias("full_lo")
-    )
-    candidates = _masked(addresses, lengths, column, "full_hi", "full_lo")
-    matched = join_keyed(candidates, networks.select(*_NETWORK), _NETWORK, "left_semi", stored=True)
-    longest = matched.groupBy(column, "version", "full_hi", "full_lo").agg(F.max("prefix_len").alias("prefix_len"))
-    cut = longest.select(
-        column, "version", "prefix_len",
-        mask_hi(F.col("full_hi"), F.col("prefix_len")).alias("hi"),
-        mask_lo(F.col("full_lo"), F.col("prefix_len")).alias("lo"),
-    )
-    return join_keyed(cut, networks, _NETWORK, "inner", stored=True).select(column, "threat_lists")
+    parsed = computed_once(ips.select(column).distinct(), parse_address(F.col(column)).alias("address"), keep=[column])
+    addresses = parsed.filter(F.col("address").isNotNull()).select(F.col(column).alias("_asked"), "address.*")
+    none = F.lit(None).cast("array<string>")
+    rows = address_ranges(netset).withColumn("_asked", F.lit(None).cast("string")).unionByName(
+        addresses.select("version", _biased("hi").alias("hi"), _biased("lo").alias("lo"), none.alias("threat_lists"), "_asked"))
+    order = [*_PLACE, F.col("_asked").isNotNull()]
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("_share", F.spark_partition_id()), "shares")
+    start = F.when(F.col("_asked").isNull(), F.struct(*_PLACE, "threat_lists"))
+    earlier = Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per share.
+    carried = dealt.groupBy("_share").agg(F.max(start).alias("last")).withColumn("last", F.last("last", ignorenulls=True).over(earlier))
+    front = carried.filter("last is not null").select(
+        F.lit(0).alias("version"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), "last.threat_lists", F.lit(None).cast("string").alias("_asked"), "_share")
+    before = Window.partitionBy("_share").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.unionByName(front).withColumn("threat_lists", F.last("threat_lists", ignorenulls=True).over(before))
+    return found.filter(F.col("_asked").isNotNull() & (F.size("threat_lists") > 0)).select(F.col("_asked").alias(column), "threat_lists")
 
 
 def attach_lists(indicators: DataFrame, netset: DataFrame) -> DataFrame:

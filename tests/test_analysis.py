@@ -267,3 +267,57 @@ def test_plans_hold_at_scale(spark, events, tmp_path):
     assert "TakeOrderedAndProject" in top and "partial_count" in top and "ReadSchema: struct<source_ip:string>" in top
     assert "PushedFilters: [IsNotNull(status_code), GreaterThanOrEqual(status_code,400)]" in plan(T.error_spikes(stored))
     assert plan(T.ranked_events(stored)).count("WindowGroupLimit") == 4
+
+
+def covering_lists(ip: str, nets: dict) -> list:
+    """Lists of all networks around an address, by cutting it to every length."""
+    address = ipaddress.ip_address(ip)
+    found = set()
+    for length in range(address.max_prefixlen + 1):
+        found |= nets.get((address.version, length, int(address) >> (address.max_prefixlen - length) if length else 0), set())
+    return sorted(found)
+
+
+def network_table(nets: list[tuple]) -> dict:
+    table = {}
+    for name, cidr in nets:
+        net = ipaddress.ip_network(cidr)
+        table.setdefault((net.version, net.prefixlen, int(net.network_address) >> (net.max_prefixlen - net.prefixlen) if net.prefixlen else 0), set()).add(name)
+    return table
+
+
+def check_matches(spark, nets, ips):
+    table = network_table(nets)
+    got = {r.ip: r.threat_lists for r in netmatch.match_ips(
+        spark.createDataFrame([(i,) for i in ips], "ip string"), spark.createDataFrame(nets, "list_name string, cidr string")).collect()}
+    assert got == {ip: lists for ip in ips if (lists := covering_lists(ip, table))}
+
+
+def test_networks_at_the_ends_of_the_address_space(spark):
+    nets = [("all4", "0.0.0.0/0"), ("low", "0.0.0.0/1"), ("last", "255.255.255.255/32"), ("first", "0.0.0.0/32"), ("high", "128.0.0.0/2"),
+            ("six", "8000::/1"), ("mid", "2001:db8::/64"), ("fine", "2001:db8::8000:0:0:0/65"), ("host", "2001:db8::ffff:ffff:ffff:ffff/128"), ("end", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff/128")]
+    ips = ["0.0.0.0", "0.0.0.1", "127.255.255.255", "128.0.0.0", "191.255.255.255", "192.0.0.0", "255.255.255.254", "255.255.255.255", "::", "::1", "7fff::1", "8000::", "2001:db8::",
+           "2001:db8::7fff:ffff:ffff:ffff", "2001:db8::8000:0:0:0", "2001:db8::ffff:ffff:ffff:ffff", "2001:db8:0:1::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "fe80::1"]
+    check_matches(spark, nets, ips)
+    check_matches(spark, nets[1:5], ips)
+    check_matches(spark, nets[:1], ips)
+    assert netmatch.match_ips(spark.createDataFrame([], "ip string"), spark.createDataFrame(nets, "list_name string, cidr string")).count() == 0
+    assert netmatch.match_ips(spark.createDataFrame([("1.1.1.1",)], "ip string"), spark.createDataFrame([], "list_name string, cidr string")).count() == 0
+
+
+def test_a_hundred_thousand_nested_networks(spark):
+    rng = random.Random(9)
+    nets, ips = [], set()
+    for i in range(100_000):
+        length = rng.randrange(4, 33)
+        value = rng.getrandbits(32) if i % 3 else 0x0A000000 | rng.getrandbits(12) << 8
+        nets.append((f"l{i % 50}", str(ipaddress.ip_network((value >> (32 - length) << (32 - length), length)))))
+        if i % 100 == 0:
+            ips |= {str(ipaddress.ip_address(value)), str(ipaddress.ip_address(rng.getrandbits(32)))}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check_matches(spark, nets, sorted(ips))
+        plan = netmatch.match_ips(spark.createDataFrame([(i,) for i in ips], "ip string"), spark.createDataFrame(nets[:1000], "list_name string, cidr string"))
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
