@@ -23,8 +23,8 @@ def all_aliases(aliases: Aliases = FIELD_ALIASES) -> set[str]:
     return {t.lower() for t in aliases} | {a.lower() for names in aliases.values() for a in names}
 
 
-def is_analyzable(columns: Sequence[str]) -> bool:
-    known = all_aliases()
+def is_analyzable(columns: Sequence[str], aliases: Aliases = FIELD_ALIASES) -> bool:
+    known = all_aliases(aliases)
     return any(c.lower() in known for c in columns)
 
 
@@ -52,6 +52,11 @@ def normalize(df: DataFrame, aliases: Aliases = FIELD_ALIASES) -> tuple[DataFram
     The timestamp uses the first matching column only; every other target takes the
     first non-NULL of all matching columns. Absent targets are typed NULLs.
     """
+    selected, mapping = _selected(df, aliases)
+    return df.select(*selected), mapping
+
+
+def _selected(df: DataFrame, aliases: Aliases) -> tuple[list[Column], dict[str, str | None]]:
     selected, mapping = [], {}
     for target, dtype in EVENT_TYPES.items():
         matches = find_matches(df.columns, target, aliases)
@@ -65,13 +70,13 @@ def normalize(df: DataFrame, aliases: Aliases = FIELD_ALIASES) -> tuple[DataFram
         else:
             value = F.coalesce(*[as_text(df, m) for m in matches])
         selected.append(value.alias(target))
-    return df.select(*selected), mapping
+    return selected, mapping
 
 
-def normalize_all(sources: Mapping[str, DataFrame], include_unstructured: bool = False) -> DataFrame:
+def normalize_all(sources: Mapping[str, DataFrame], include_unstructured: bool = False, aliases: Aliases = FIELD_ALIASES) -> DataFrame:
     """All sources in the unified schema, one UNION ALL, tagged with their name in ``source``."""
     parts = [
-        normalize(df)[0].withColumn("source", F.lit(name))
+        normalize(df, aliases)[0].withColumn("source", F.lit(name))
         for name, df in sources.items()
         if include_unstructured or not is_unstructured(df)
     ]
@@ -80,6 +85,19 @@ def normalize_all(sources: Mapping[str, DataFrame], include_unstructured: bool =
     return reduce(DataFrame.unionByName, parts)
 
 
+def normalize_layouts(layouts: Sequence[DataFrame], include_unstructured: bool = False, aliases: Aliases = FIELD_ALIASES) -> DataFrame | None:
+    """Tables of many sources each, named in ``source``, in the unified schema; None if none is structured.
+
+    Every table is one branch of the plan, however many sources it holds.
+    """
+    parts = []
+    for df in layouts:
+        raw = df.drop("source")
+        if include_unstructured or not is_unstructured(raw):
+            parts.append(df.select(*_selected(raw, aliases)[0], "source"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def alias_view(df: DataFrame, aliases: Aliases = FIELD_ALIASES) -> DataFrame:
     """A raw table seen through the unified schema at query time.
 

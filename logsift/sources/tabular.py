@@ -10,17 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from logsift.constants import PREVIEW_ROWS
 from logsift.session import materialize
-from logsift.sources.lines import read_lines
+from logsift.sources.lines import plain_path, read_lines
 
 _DELIMITERS = (",", ";", "\t", "|")
 
 
-def _first_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The first non-blank lines of the files below ``path``, and which files begin with each.
+def _first_lines(spark: SparkSession, path: str, skip: DataFrame | None = None, recursive: bool = False) -> dict[str, list[str]]:
+    """The first non-blank lines of the files below ``path``, and which files begin with each; without the files in ``skip``.
 
     File names reach the driver, as they do whenever a folder is listed.
     """
-    lines = read_lines(spark, path).filter(F.trim("line") != "")
+    lines = read_lines(spark, path, recursive).filter(F.trim("line") != "")
+    if skip is not None:
+        lines = lines.join(skip.select(F.col("source").alias("file")), "file", "left_anti")
     firsts = lines.groupBy("file").agg(F.min_by("line", F.struct("block", "pos")).alias("line"))
     found: dict[str, list[str]] = {}
     for row in firsts.sort("file").collect():
@@ -66,12 +68,14 @@ _UNFIT = "_unfit_record"
 _END = "\x01end"
 
 
-def _whole_rows(spark: SparkSession, files: str | list[str], schema: T.StructType, **options) -> DataFrame:
-    """The rows of CSV files with this schema; one with more fields than the schema fails the job."""
+def _whole_rows(spark: SparkSession, files: str | list[str], schema: T.StructType, named: bool = False, **options) -> DataFrame:
+    """The rows of CSV files with this schema, ``named`` with their file in ``source``; one with more fields than the schema fails the job."""
     # Without pruning the reader sees all fields of a row, and keeps the text of those that do not fit.
     read = spark.read.schema(T.StructType([*schema.fields, T.StructField(_UNFIT, T.StringType())])).option("columnPruning", False).csv(
         files, **options, mode="PERMISSIVE", columnNameOfCorruptRecord=_UNFIT
     )
+    if named:
+        read = read.select("*", plain_path().alias("source"))
     # A row with too few fields has room for one more; its missing ones stay NULL.
     line = F.concat(F.regexp_replace(_UNFIT, "[\r\n]+$", ""), F.lit(options["sep"] + _END))
     names = [f"f{i}" for i in range(len(schema))]
@@ -96,17 +100,35 @@ def read_csv(
     with more fields than its header fails the job.
     """
     headers = _first_lines(spark, path)
-    parts = []
-    for header, files in headers.items() if len(headers) > 1 else [(next(iter(headers), ""), path)]:
-        many = has_multi_line_fields(spark, files) if multi_line is None else multi_line
-        options = dict(header=True, sep=sep or sniff_delimiter(header), escape='"', multiLine=many)
-        df = spark.read.csv(files, **options, inferSchema=infer)
-        if df.columns:
-            df = _whole_rows(spark, files, df.schema, **options)
-        parts.append(_naive_times(df) if infer else df)
+    groups = headers.items() if len(headers) > 1 else [(next(iter(headers), ""), path)]
+    parts = [_read_alike(spark, files, header, sep, infer, multi_line) for header, files in groups]
     return parts[0] if len(parts) == 1 else _stacked(parts)
 
 
+def csv_layouts(spark: SparkSession, path: str, skip: DataFrame | None = None) -> list[tuple[list[str], DataFrame]]:
+    """The CSV files below ``path`` by layout: for each header line the files, and one table of all their rows with the file in ``source``.
+
+    Files named in ``skip`` (column ``source``) are left out. The plan has one branch per layout, however many files there are.
+    """
+    out = []
+    for header, files in _first_lines(spark, path, skip, recursive=True).items():
+        rows = _read_alike(spark, files, header, None, False, None, named=True)
+        out.append((files, rows))
+    return out
+
+
+def _read_alike(
+    spark: SparkSession, files: str | list[str], header: str, sep: str | None, infer: bool, multi_line: bool | None, named: bool = False
+) -> DataFrame:
+    """Files with one header line."""
+    many = has_multi_line_fields(spark, files) if multi_line is None else multi_line
+    options = dict(header=True, sep=sep or sniff_delimiter(header), escape='"', multiLine=many)
+    df = spark.read.csv(files, **options, inferSchema=infer)
+    if df.columns:
+        df = _whole_rows(spark, files, df.schema, named, **options)
+    return _naive_times(df) if infer else df
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """JSON lines, or files holding one array of objects, with an inferred nested schema.
 

@@ -1,9 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from logsift.constants import EVENT_COLUMNS
 from logsift.operators import normalize as N
 from logsift.plans.store import EventStore, describe_tables, raw_tables, replace_events
 from logsift.session import shared_dir
+from logsift.sources.tabular import csv_layouts
 from logsift.streaming.ingest import stream_table_files, stream_text_files
 
 
@@ -73,7 +75,7 @@ def test_batches_are_added_once_per_source(spark, tmp_path):
 def test_unfinished_source_is_hidden_and_replaced(spark, tmp_path):
     store = EventStore(spark, str(tmp_path / "store"))
     store.append({"a": source(spark, "1.1.1.1")})
-    store._write(N.normalize_all({"b": source(spark, "2.2.2.2")}))  # lost before it was registered
+    store._write(N.normalize_all({"b": source(spark, "2.2.2.2")}))  # lost before it was entered
     assert [r.source for r in store.events().collect()] == ["a"]
     store.append({"b": source(spark, "2.2.2.2")})
     assert sorted(r.source for r in store.events().collect()) == ["a", "b"]
@@ -100,6 +102,58 @@ def test_rebuild_and_replace(spark, tmp_path):
     assert mapping["source_ip"] == "client_ip" and [r.source_ip for r in events.collect()] == ["2.2.2.2"]
 
 
+def test_a_lost_rebuild_leaves_the_old_events(spark, tmp_path, monkeypatch):
+    store = EventStore(spark, str(tmp_path / "store"))
+    store.append({"a": source(spark, "1.1.1.1"), "b": source(spark, "2.2.2.2")})
+
+    def lost(entries):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="lost"):
+        patch.setattr(store, "_enter", lost)
+        store.rebuild({"a": source(spark, "3.3.3.3")})
+    assert sorted((r.source, r.source_ip) for r in store.events().collect()) == [("a", "1.1.1.1"), ("b", "2.2.2.2")]
+    broken = source(spark, "4.4.4.4").withColumn("method", F.raise_error(F.lit("broken input")).cast("string"))
+    with pytest.raises(Exception, match="broken input"):
+        store.rebuild({"a": broken})
+    assert store.events().count() == 2 and store.sources().count() == 2
+    store.rebuild({"a": source(spark, "3.3.3.3")})
+    assert [(r.source, r.source_ip) for r in store.events().collect()] == [("a", "3.3.3.3")]
+
+
+def test_own_aliases_reach_the_store(spark, tmp_path):
+    mine = {"source_ip": ["who"]}
+    store = EventStore(spark, str(tmp_path / "store"), aliases=mine)
+    store.append({"a": spark.sql("select '1.1.1.1' as who, '9.9.9.9' as client_ip")})
+    assert [r.source_ip for r in store.events().collect()] == ["1.1.1.1"]
+    assert replace_events(spark.sql("select 'x' as who"), str(tmp_path / "one"), mine)[0]["source_ip"] == "who"
+    assert N.is_analyzable(["who"], mine) and not N.is_analyzable(["who"])
+
+
+def test_folders_of_files_are_sources_by_layout(spark, tmp_path):
+    folder = tmp_path / "in" / "deep er"
+    folder.mkdir(parents=True)
+    for i in range(40):
+        (folder / f"a {i}.csv").write_text(f"client_ip,method\n1.1.1.{i},GET\n1.1.1.{i},GET\n")
+        (tmp_path / "in" / f"b{i}.csv").write_text(f"status;ip;who\n404;2.2.2.{i};x\n")
+    (tmp_path / "in" / "empty.csv").write_text("")
+    (tmp_path / "in" / "header.csv").write_text("client_ip,method\n")
+    store = EventStore(spark, str(tmp_path / "store"))
+    layouts = csv_layouts(spark, str(tmp_path / "in"), store.sources())
+    assert sorted(len(files) for files, _ in layouts) == [40, 41]
+    events = N.normalize_layouts([df for _, df in layouts])
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+    assert store.append_files(str(tmp_path / "in")) == 80 and store.append_files(str(tmp_path / "in")) == 0
+    (tmp_path / "in" / "c.csv").write_text("time,remote_addr\n2024-01-01,3.3.3.3\n")
+    assert store.append_files(str(tmp_path / "in")) == 1
+    got = store.events()
+    assert got.count() == 121 and got.filter("status_code = 404").count() == 40
+    assert got.filter(got.source.endswith("deep er/a 7.csv")).select("source_ip").distinct().collect() == [("1.1.1.7",)]
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x.csv").write_text("ip\n8.8.8.8\n")
+    assert store.rebuild_files(str(tmp_path / "other")) == 1 and [r.source_ip for r in store.events().collect()] == ["8.8.8.8"]
+
+
 def test_union_commutes_with_normalize(spark):
     a, b = source(spark, "1.1.1.1"), source(spark, "2.2.2.2", "1.1.1.1")
     apart = N.normalize_all({"a": a, "b": b}).drop("source")

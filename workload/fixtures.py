@@ -76,3 +76,14 @@ def relative(folder: str, files: DataFrame) -> DataFrame:
     inside = rf"[^ ]*/{folder.rsplit('/', 1)[-1]}/"
     texts = [c for c in ("path", "validation_error") if c in files.columns]
     return files.withColumns({c: F.regexp_replace(c, inside, "") for c in texts})
+
+
+def source_files(spark: SparkSession, sf: str, tables: dict[str, DataFrame], address: dict[str, str]) -> str:
+    """Raw tables as CSV files, one per table and last part of the address: some hundred sources of a few layouts."""
+
+    def write(folder: str) -> None:
+        for name, df in tables.items():
+            named = df.withColumn("file", F.concat(F.lit(f"{name}-"), F.substring_index(address[name], ".", -1)))
+            named.repartition("file").write.partitionBy("file").csv(f"{folder}/{name}", header=True, escape='"')
+
+    return _once(spark, sf, "sources", write)

@@ -574,6 +574,38 @@ def n4(spark: SparkSession, sf: str) -> DataFrame:
     return store.events()
 
 
+_BY_FILE = (
+    f"select *, 'raw_a-' || split_part(source_ip, '.', 4) as source from ({_SOURCE_A}) union all "
+    f"select *, 'raw_b-' || split_part(source_ip, '.', 4) as source from ({_SOURCE_B})"
+)
+
+
+def _source_files(spark: SparkSession, sf: str) -> str:
+    return fixtures.source_files(spark, sf, _two_sources(spark, sf), {"raw_a": "Client_IP", "raw_b": "remote_addr"})
+
+
+@query("n4_appended_files", _BY_FILE, ("web_fields", "web_events"))
+def n4_files(spark: SparkSession, sf: str) -> DataFrame:
+    store = EventStore(spark, scratch_path(spark, "store"))
+    for _ in range(2):
+        store.append_files(_source_files(spark, sf))
+    return store.events().withColumn("source", fixtures.log_name(F.col("source")))
+
+
+@query("n5_rebuilt_files", _BY_FILE, ("web_fields", "web_events"))
+def n5_files(spark: SparkSession, sf: str) -> DataFrame:
+    store = EventStore(spark, scratch_path(spark, "store"))
+    store.append({"raw_a": _two_sources(spark, sf)["raw_b"]})
+    store.rebuild_files(_source_files(spark, sf))
+    return store.events().withColumn("source", fixtures.log_name(F.col("source")))
+
+
+@query("x1_union_of_files", _BY_FILE, ("web_fields", "web_events"))
+def x1_files(spark: SparkSession, sf: str) -> DataFrame:
+    layouts = tabular.csv_layouts(spark, _source_files(spark, sf))
+    return normalize.normalize_layouts([df for _, df in layouts]).withColumn("source", fixtures.log_name(F.col("source")))
+
+
 @query("n4_appended_stream", f"{_SOURCE_A} union all {_SOURCE_A}", ("web_fields",))
 def n4_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "stream")
