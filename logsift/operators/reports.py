@@ -61,16 +61,20 @@ def report_context(
     input is read and grouped once, then the sections are joined per incident.
     """
     keys = list(keys)
+    def said(value: Column) -> Column:
+        """A missing part does not take its line with it."""
+        return F.coalesce(value.cast("string"), F.lit("None"))
+
     shown = F.concat(
-        F.lit("- ["), F.col("severity"), F.lit("] "), F.col("type"), F.lit(": "), F.col("description"),
-        F.lit("\n\n  Evidence: "), truncate_within(F.col("evidence"), C.EVIDENCE_CHARS),
+        F.lit("- ["), said(F.col("severity")), F.lit("] "), said(F.col("type")), F.lit(": "), said(F.col("description")),
+        F.lit("\n\n  Evidence: "), said(truncate_within(F.col("evidence"), C.EVIDENCE_CHARS)),
     )
     out = _joined(indicators, keys, shown, ["position"], "indicators")
     sections = [F.lit(text) for text in (*header, "Indicators:")] + [F.col("indicators")]
     if reputation is not None:
         line = F.concat(
-            F.lit("- "), F.col("ip"), F.lit(": abuse confidence "), F.col("abuse_confidence_score").cast("string"),
-            F.lit(", reports "), F.col("total_reports").cast("string"),
+            F.lit("- "), said(F.col("ip")), F.lit(": abuse confidence "), said(F.col("abuse_confidence_score")),
+            F.lit(", reports "), said(F.col("total_reports")),
         )
         out = out.join(_joined(reputation, keys, line, ["ip"], "reputation"), keys, "left")
         sections.append(F.concat(F.lit("Threat intelligence:\n\n"), F.col("reputation")))

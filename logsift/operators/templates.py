@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logsift.constants import BUCKET_WIDTH, ERROR_STATUS, NETWORK_EVENT, SEQUENCE_SEPARATOR
 from logsift.plans.shapes import head_per_group
+from logsift.session import materialize
 
 # Up to this many result keys are sent to every task as a filter.
 _MAX_BROADCAST_KEYS = 100_000
@@ -90,27 +91,35 @@ def connection_counts(events: DataFrame) -> DataFrame:
     )
 
 
+def _is_rare(max_rare_count: int) -> Column:
+    named = F.col("process_name").isNotNull() & F.col("destination_ip").isNotNull()
+    return named & (F.col("connection_count") <= max(max_rare_count, 1))
+
+
 def rare_pairs(events: DataFrame, max_rare_count: int = 2) -> DataFrame:
     """Rare process/destination pairs next to the total over all pairs, unnamed ones included.
 
-    The total of all pair counts is the number of connections: a scalar subquery that
-    reads one column and needs neither the pairs nor a join.
+    The pairs are counted once and written; the total is the sum of their counts, a scalar subquery.
     """
-    total = events.filter(F.col("event_type") == NETWORK_EVENT).agg(F.count(F.lit(1)))
-    return (
-        connection_counts(events)
-        .filter(F.col("connection_count") <= max(max_rare_count, 1))
-        .filter(F.col("process_name").isNotNull() & F.col("destination_ip").isNotNull())
-        .withColumn("total_connections", total.scalar())
-    )
+    counts = materialize(connection_counts(events), "pairs")
+    total = counts.agg(F.coalesce(F.sum("connection_count"), F.lit(0)))
+    return counts.filter(_is_rare(max_rare_count)).withColumn("total_connections", total.scalar())
 
 
 def long_tail_analysis(events: DataFrame, max_rare_count: int = 2, limit: int = 50) -> DataFrame:
-    return (
-        rare_pairs(events, max_rare_count)
-        .orderBy(F.asc("connection_count"), F.asc("process_name"), F.asc("destination_ip"))
-        .limit(limit)
-    )
+    """The rarest pairs next to the total, in one pass over the events.
+
+    Pairs and total are two grouping sets of one aggregate; the total sorts before all pairs, so the rows of the report carry it.
+    """
+    keys = ["process_name", "destination_ip"]
+    order = [F.asc("connection_count"), F.asc("process_name"), F.asc("destination_ip")]
+    network = events.filter(F.col("event_type") == NETWORK_EVENT).select(*keys)
+    counts = network.groupingSets([keys, []], *keys).agg(F.count(F.lit(1)).alias("connection_count"), (F.grouping_id() > 0).alias("_total"))
+    top = counts.filter(F.col("_total") | _is_rare(max_rare_count)).orderBy(F.desc("_total"), *order).limit(limit + 1)
+    # At most one row more than the report has.
+    everything = Window.partitionBy(F.lit(1))
+    total = F.max(F.when(F.col("_total"), F.col("connection_count"))).over(everything)
+    return top.withColumn("total_connections", total).filter(~F.col("_total")).drop("_total").orderBy(*order)
 
 
 def event_order() -> list[Column]:

@@ -52,6 +52,14 @@ def preset_options(label: str, **others: object) -> TimelineOptions:
     return TimelineOptions(min_status=C.STATUS_PRESETS[label], **others)
 
 
+def preset_counts(events: DataFrame) -> DataFrame:
+    """``(preset, n)``: how many events each status preset keeps, from one pass over the events."""
+    counts = {
+        label: F.count(F.lit(1)) if low is None else F.count_if(F.col("status_code") >= low) for label, low in C.STATUS_PRESETS.items()}
+    row = events.agg(F.array(*[F.struct(F.lit(label).alias("preset"), n.alias("n")) for label, n in counts.items()]).alias("all"))
+    return row.select(F.inline("all"))
+
+
 def metrics(events: DataFrame) -> DataFrame:
     """One row: totals, time span, distinct addresses, errors and error rate.
 

@@ -12,7 +12,7 @@ from logsift.operators.indicators import all_indicators
 from logsift.operators.netmatch import attach_lists
 from logsift.operators.templates import run_templates
 from logsift.plans.shapes import join_keyed
-from logsift.session import materialize
+from logsift.session import is_stored, materialize
 
 
 def triage(
@@ -33,7 +33,7 @@ def triage(
     each template's limit: a dropped talker does not promote the next one.
     """
     events = events.select(*EVENT_COLUMNS)
-    if store_events:
+    if store_events and not is_stored(events):
         events = materialize(events, "events")
     by_source = events
     if allowlist is not None and allowlist_before_limit:

@@ -85,6 +85,17 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return stored
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether a table is read from files as it is, at most with columns left out."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        columns = plan.projectList()
+        if any(columns.apply(i).getClass().getSimpleName() != "AttributeReference" for i in range(columns.size())):
+            return False
+        plan = plan.child()
+    return plan.nodeName() in ("LogicalRelation", "Relation") and bool(df.inputFiles())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote; what was made of them must be written already."""
     for df in tables:

@@ -10,6 +10,7 @@ from logsift.operators import allowlist, indicators as I, netmatch, templates as
 from logsift.operators.normalize import alias_view
 from logsift.plans import shapes
 from logsift.plans.triage import triage
+from logsift.session import is_stored, materialize
 
 A, B = "1.2.3.4", "5.6.7.8"
 
@@ -321,3 +322,21 @@ def test_a_hundred_thousand_nested_networks(spark):
         assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_events_are_read_once(spark, events, tmp_path, monkeypatch):
+    network(spark, [("p", "8.8.8.8"), ("p", None)]).write.parquet(str(tmp_path / "n"))
+    events.write.parquet(str(tmp_path / "e"))
+    stored = spark.read.parquet(str(tmp_path / "n"))
+    assert plan(T.long_tail_analysis(stored)).count("FileScan") == 1
+    assert plan(timeline.preset_counts(stored)).count("FileScan") == 1
+    assert sorted(map(tuple, timeline.preset_counts(events).collect())) == [(">= 3xx", 2), (">= 4xx", 2), (">= 5xx", 1), ("All", 5)]
+    # Stored events are not copied, computed ones are.
+    written = []
+    monkeypatch.setattr("logsift.plans.triage.materialize", lambda df, label: written.append(label) or materialize(df, label))
+    stored_events = spark.read.parquet(str(tmp_path / "e"))
+    assert is_stored(stored_events) and is_stored(stored_events.select("source_ip")) and not is_stored(stored_events.filter("source_ip = 'x'")) and not is_stored(events)
+    triage(stored_events)
+    assert "events" not in written
+    triage(stored_events.withColumn("source_ip", F.lower("source_ip")))
+    assert written.count("events") == 1

@@ -253,3 +253,13 @@ def test_reputation(spark):
     assert {r.hash: (r.malicious, r.detection_ratio) for r in found.collect()} == {"h1": (3, 0.3), "h2": (0, 0.0)}
     hashes = spark.createDataFrame([("h1",), ("h3",)], "hash string")
     assert {r.hash: r.detection_ratio for r in enrich.lookup_hashes(hashes, found).collect()} == {"h1": 0.3, "h3": 0.0}
+
+
+def test_context_keeps_indicators_with_missing_parts(spark):
+    rows = spark.createDataFrame(
+        [("i", 1, None, "top_talkers", "many", "e"), ("i", 2, "High", None, None, None)],
+        "incident string, position int, severity string, type string, description string, evidence string")
+    reputation = spark.createDataFrame([("i", "1.1.1.1", None, 3), ("i", "2.2.2.2", 7, None)], "incident string, ip string, abuse_confidence_score int, total_reports int")
+    text = reports.report_context(rows, reputation).head()["context"]
+    for line in ("- [None] top_talkers: many", "- [High] None: None", "- 1.1.1.1: abuse confidence None, reports 3", "- 2.2.2.2: abuse confidence 7, reports None"):
+        assert line in text

@@ -485,11 +485,7 @@ def f2(spark: SparkSession, sf: str) -> DataFrame:
     for label, low in C.STATUS_PRESETS.items()
 ), U)
 def f4(spark: SparkSession, sf: str) -> DataFrame:
-    events = R.unified_events(spark, sf)
-    return reduce(DataFrame.unionByName, [
-        timeline.apply_filters(events, timeline.preset_options(label)).agg(F.lit(label).alias("preset"), F.count(F.lit(1)).alias("n"))
-        for label in C.STATUS_PRESETS
-    ])
+    return timeline.preset_counts(R.unified_events(spark, sf))
 
 
 @query("m1_timeline_metrics", _metrics_sql("all_events"), A)

@@ -179,7 +179,7 @@ DOCUMENT_PATH = _PATH.format(text="string")
 
 def document_ips(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").selectExpr(
-        "doc_id", r"regexp_extract(text, r'([0-9]{1,3}(?:\.[0-9]{1,3}){3})', 1) as source_ip"
+        "doc_id", r"explode(regexp_extract_all(text, r'([0-9]{1,3}(?:\.[0-9]{1,3}){3})', 1)) as source_ip"
     )
 
 
@@ -395,7 +395,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         "case when doc_id % 37 = 0 or coalesce(text, '') = '' and doc_id % 41 <> 0 then '' else (doc_id % 41 = 0) || sha256(coalesce(text, '')) end as content_key from documents"
     )),
     "document_ips": ((), (
-        "select doc_id, regexp_extract(text, '([0-9]{1,3}(?:\\.[0-9]{1,3}){3})', 1) as source_ip from documents"
+        "select doc_id, unnest(regexp_extract_all(text, '([0-9]{1,3}(?:\\.[0-9]{1,3}){3})', 1)) as source_ip from documents"
     )),
     "record_rows": (("web_events",), (
         "select strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' as timestamp, cast(4600 + event_id % 50 as varchar) as event, "
