@@ -114,27 +114,17 @@ def _by_format(line: Column) -> dict[str, Column]:
     return result
 
 
-def structured_lines(lines: DataFrame, max_lines: int = 0, structured: bool = True) -> DataFrame:
-    """Mixed text files as one table: ``file, format, structured, fields…, raw_message``.
+def settled_formats(lines: DataFrame, max_lines: int = 0) -> DataFrame:
+    """``(file, format)``: the detected format of every file, ``raw`` where it is unknown or no line yields a field.
 
-    A file of unknown format, or one in which no line yields a field, stays raw:
-    ``structured`` is false and its fields are NULL. Whether a file yields anything
-    is almost always settled by its head; only files where it is not are scanned.
+    Whether a file yields anything is almost always settled by its head; only files where it is not are scanned.
     """
-    capped = head_lines(lines, max_lines)
-    if not structured:
-        nothing = [F.lit(None).cast("string").alias(f) for f in FIELDS]
-        return capped.select(
-            "file", F.lit("raw").alias("format"), F.lit(False).alias("structured"), *nothing,
-            F.col("line").alias("raw_message"),
-        )
-
     formats = materialize(detect_formats(lines, max_lines), "formats")
     open_files = formats.filter((F.col("format") != "ambiguous") & ~F.col("head_hit")).drop("head_hit")
     if not open_files.isEmpty():
         fields = _by_format(F.col("line"))
         found = (
-            join_keyed(capped, open_files, ["file"], "inner")
+            join_keyed(head_lines(lines, max_lines), open_files, ["file"], "inner")
             .filter(_hit(fields))
             .groupBy("file")
             .agg(F.lit(True).alias("later_hit"))
@@ -142,9 +132,13 @@ def structured_lines(lines: DataFrame, max_lines: int = 0, structured: bool = Tr
         formats = formats.join(found, "file", "left").withColumn(
             "head_hit", F.col("head_hit") | F.coalesce("later_hit", F.lit(False))
         )
-    decided = formats.select("file", F.when(F.col("head_hit"), F.col("format")).otherwise("raw").alias("format"))
+    return formats.select("file", F.when(F.col("head_hit"), F.col("format")).otherwise("raw").alias("format"))
+
+
+def by_format(lines: DataFrame, formats: DataFrame, stored: bool = False) -> DataFrame:
+    """``file, format, structured, fields…, raw_message`` of lines whose files have these formats."""
     fields = _by_format(F.col("line"))
-    return join_keyed(capped, decided, ["file"], "left").select(
+    return join_keyed(lines, formats, ["file"], "left", stored=stored).select(
         "file",
         "format",
         (F.col("format") != "raw").alias("structured"),
@@ -153,6 +147,22 @@ def structured_lines(lines: DataFrame, max_lines: int = 0, structured: bool = Tr
     )
 
 
+def structured_lines(lines: DataFrame, max_lines: int = 0, structured: bool = True) -> DataFrame:
+    """Mixed text files as one table: ``file, format, structured, fields…, raw_message``.
+
+    A file of unknown format, or one in which no line yields a field, stays raw:
+    ``structured`` is false and its fields are NULL.
+    """
+    capped = head_lines(lines, max_lines)
+    if not structured:
+        nothing = [F.lit(None).cast("string").alias(f) for f in FIELDS]
+        return capped.select(
+            "file", F.lit("raw").alias("format"), F.lit(False).alias("structured"), *nothing,
+            F.col("line").alias("raw_message"),
+        )
+    return by_format(capped, settled_formats(lines, max_lines))
+
+
 def field_profile(lines: DataFrame, profile: str) -> DataFrame:
     """How many lines each loose pattern of ``profile`` finds a value in: one row."""
     patterns = C.PROFILE_FIELDS[profile]

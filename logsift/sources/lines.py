@@ -31,19 +31,23 @@ def plain_path() -> Column:
     return F.when(path.contains("%"), decoded).otherwise(path)
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, line_end: str | None = None) -> DataFrame:
-    """Every physical line, verbatim; a blank line is NULL."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if line_end:
-        reader = reader.option("lineSep", line_end)
+def line_columns() -> list[Column]:
+    """The columns of a text scan but for ``pos``; a blank line is NULL."""
     block, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
-    return reader.text(paths).select(
+    return [
         plain_path().alias("file"),
         block.alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
         F.nullif(F.col("value"), F.lit("")).alias("line"),
         (block + length < F.col("_metadata.file_size")).alias("more"),
-    )
+    ]
+
+
+def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False, line_end: str | None = None) -> DataFrame:
+    """Every physical line, verbatim; a blank line is NULL."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    if line_end:
+        reader = reader.option("lineSep", line_end)
+    return reader.text(paths).select(*line_columns(), F.monotonically_increasing_id().alias("pos"))
 
 
 def _goes_on(lines: DataFrame) -> Column:

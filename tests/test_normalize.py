@@ -6,7 +6,9 @@ from logsift.operators import normalize as N
 from logsift.plans.store import EventStore, describe_tables, raw_tables, replace_events
 from logsift.session import shared_dir
 from logsift.sources.tabular import csv_layouts
-from logsift.streaming.ingest import stream_table_files, stream_text_files
+from logsift.sources import adapters
+from logsift.streaming import ingest
+from logsift.streaming.ingest import stream_detected_text, stream_table_files, stream_text_files, streamed_events
 
 
 def test_csv_columns_are_mapped(spark):
@@ -185,3 +187,34 @@ def test_raw_tables_skip_system_names(spark):
 
 def test_shared_dir_follows_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_text_stream_detects_formats_and_repeats_nothing(spark, tmp_path, monkeypatch):
+    web = '10.0.0.1 - - [14/Nov/2023:12:00:00 +0000] "GET /x HTTP/1.1" 200 1'
+    raw, base = tmp_path / "raw", str(tmp_path)
+    (raw / "deep").mkdir(parents=True)
+    (raw / "a b.log").write_text(f"{web}\n\n{web}\n")
+    (raw / "deep" / "s.log").write_text("Jan 15 08:00:00 srv-01 sshd[1234]: Failed password for alice from 10.0.0.5 port 22 ssh2\n" * 3)
+    (raw / "n.log").write_text("nothing to see\n")
+
+    def run():
+        stream_detected_text(spark, str(raw), f"{base}/events", f"{base}/formats", f"{base}/cp").awaitTermination()
+
+    def lost(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch, pytest.raises(Exception, match="lost"):
+        patch.setattr(ingest, "normalize", lost)  # after the formats are stored
+        run()
+    run()
+    run()
+    # Another file for the second batch; the first one's events stay as they are.
+    (raw / "c.log").write_text('{"ts":"2024-01-01T00:00:00Z","component":"api","src_ip":"1.2.3.4","status":200}\n')
+    run()
+    events = streamed_events(spark, f"{base}/events")
+    assert events.count() == 3 + 3 + 1 and events.columns == list(EVENT_COLUMNS)
+    formats = {r.file.rsplit("/", 1)[-1]: r.format for r in spark.read.parquet(f"{base}/formats").collect()}
+    assert formats == {"a b.log": "web", "s.log": "syslog", "n.log": "raw", "c.log": "jsonline"}
+    for name in ("a b.log", "deep", "c.log"):
+        batch = N.normalize(adapters.read_text_log(spark, str(raw / name)))[0]
+        assert batch.exceptAll(events).isEmpty()

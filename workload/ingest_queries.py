@@ -14,7 +14,7 @@ from logsift.plans.hybrid import correlation_view_name, has_correlation, load_hy
 from logsift.plans.store import EventStore, describe_tables, replace_events, write_raw
 from logsift.session import materialize, scratch_path
 from logsift.sources import adapters, files, lines, netsets, tabular
-from logsift.streaming.ingest import stream_table_files
+from logsift.streaming.ingest import stream_detected_text, stream_table_files, streamed_events
 from workload import fixtures
 from workload import relations as R
 from workload.registry import query
@@ -618,6 +618,21 @@ def n4_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/events")
 
 
+@query("n4_detected_text_stream", (
+    f"select {R.duck_time('event_timestamp')} as event_timestamp, source_ip, event_type, try_cast(status_code as integer) as status_code, raw_message, "
+    "cast(null as varchar) as process_name, cast(null as varchar) as destination_ip from structured_lines where structured"
+), ("structured_lines",))
+def n4_text_stream(spark: SparkSession, sf: str) -> DataFrame:
+    base = scratch_path(spark, "stream")
+    rows = R.mixed_lines(spark, sf).withColumn("early", F.col("file").rlike("^(web|sys)"))
+    for arrival in (F.col("early"), ~F.col("early")):
+        some = rows.filter(arrival).repartition("file").sortWithinPartitions("file", "block", "pos")
+        some.select("file", "line").write.mode("append").partitionBy("file").text(f"{base}/raw")
+        for _ in range(2):
+            stream_detected_text(spark, f"{base}/raw", f"{base}/events", f"{base}/formats", f"{base}/checkpoint").awaitTermination()
+    return streamed_events(spark, f"{base}/events")
+
+
 @query("n5_rebuilt_events", _BOTH, ("web_fields", "web_events"))
 def n5(spark: SparkSession, sf: str) -> DataFrame:
     store = EventStore(spark, scratch_path(spark, "store"))
