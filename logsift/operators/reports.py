@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logsift import constants as C
 from logsift.functions.text import date_label, truncate_within
 from logsift.plans.shapes import computed_once, head_per_group
+from logsift.session import materialize
 
 CONTEXT_HEADER = (
     "Analyze the suspicious indicators below and produce a structured incident report.",
@@ -218,25 +220,43 @@ def mitre_table(reports: DataFrame) -> DataFrame:
 
 
 def new_reports(reports: DataFrame, now: Column, source_table: str | None = None) -> DataFrame:
-    """Store rows for report JSON texts; the id is a digest of payload and scope."""
+    """Store rows for report JSON texts; the id is a digest of payload, scope and time of saving.
+
+    The same payload saved later is another report; saved again at the same time, as by a repeated job, it is the same one.
+    """
     scope = F.lit(source_table).cast("string")
     if source_table is None and "source_table" in reports.columns:
         scope = F.col("source_table")
     return reports.select(
-        F.sha2(F.concat_ws("|", F.coalesce(scope, F.lit("")), F.col("report_json")), 256).alias("report_id"),
+        F.sha2(F.concat_ws("|", F.coalesce(scope, F.lit("")), now.cast("timestamp_ntz").cast("string"), F.col("report_json")), 256).alias("report_id"),
         now.cast("timestamp_ntz").alias("created_at"),
         "report_json",
         scope.alias("source_table"),
     )
 
 
+def save_reports(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Add the reports that the table at ``path`` does not hold, one row per id; returns the whole table.
+
+    Repeated saving adds nothing. One writer at a time.
+    """
+    once = new.groupBy("report_id").agg(F.min(F.struct(*[c for c in new.columns if c != "report_id"])).alias("row")).select("report_id", "row.*")
+    rows = once.select(*new.columns)
+    try:
+        rows = rows.join(spark.read.schema(new.schema).parquet(path).select("report_id"), "report_id", "left_anti").select(*new.columns)
+    except AnalysisException:
+        pass  # nothing saved yet
+    materialize(rows, "reports").write.mode("append").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
+
+
 def get_report(store: DataFrame, report_id: str) -> DataFrame:
     """The one report with this id, normalized; fails if there is none."""
     found = normalize_reports(store.filter(F.col("report_id") == report_id)).select("report_id", "report")
     missing = F.raise_error(F.lit(f"Report not found: {report_id}"))
-    return found.agg(F.count(F.lit(1)).alias("n"), F.first("report").alias("report")).select(
-        F.when(F.col("n") == 0, missing.cast("string")).otherwise(F.lit(report_id)).alias("report_id"), "report"
-    )
+    # A filter fails whichever columns are read.
+    one = found.agg(F.count(F.lit(1)).alias("n"), F.first("report").alias("report"))
+    return one.filter(F.when(F.col("n") == 0, missing.cast("boolean")).otherwise(True)).select(F.lit(report_id).alias("report_id"), "report")
 
 
 def stored_reports(store: DataFrame, source_table: str | None = None) -> DataFrame:
@@ -292,9 +312,17 @@ def rule_exports(reports: DataFrame, rule_format: str) -> DataFrame:
 
 
 def write_rules(exports: DataFrame, path: str) -> None:
-    """Rule texts under ``path/extension=…/report_id=…``."""
+    """Rule texts under ``path/extension=…/report_id=…``; rules of other reports stay."""
     rules = exports.filter(F.col("error").isNull()).select("extension", "report_id", F.col("content").alias("value"))
-    rules.write.partitionBy("extension", "report_id").mode("overwrite").text(path)
+    rules.write.partitionBy("extension", "report_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+
+
+def export_rule(store: DataFrame, report_id: str, rule_format: str, path: str) -> None:
+    """The rule of one report as a text file in the new folder ``path``; fails if there is no such report or its rule has another format."""
+    row = rule_exports(get_report(store, report_id), rule_format).select("content", "error").first()  # one report's rule
+    if row["content"] is None:
+        raise ValueError(row["error"] or f"Report {report_id} has no rule")
+    store.sparkSession.createDataFrame([(row["content"],)], "value string").coalesce(1).write.text(path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

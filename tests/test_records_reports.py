@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logsift import constants as C
 from logsift.operators import enrich, records, reports
-from logsift.plans.hybrid import correlation_view_name, has_correlation, load_hybrid
+from logsift.plans.hybrid import ingest_records, correlation_view_name, has_correlation, load_hybrid
 from logsift.sources import adapters
 
 EVENT = {"Event": {
@@ -263,3 +263,43 @@ def test_context_keeps_indicators_with_missing_parts(spark):
     text = reports.report_context(rows, reputation).head()["context"]
     for line in ("- [None] top_talkers: many", "- [High] None: None", "- 1.1.1.1: abuse confidence None, reports 3", "- 2.2.2.2: abuse confidence 7, reports None"):
         assert line in text
+
+
+def test_saving_reports_again(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    texts = spark.createDataFrame([('{"title": "a"}',), ('{"title": "a"}',), ('{"title": "b"}',)], "report_json string")
+    first = reports.new_reports(texts, F.lit("2024-02-02 00:00:00"), "t")
+    assert reports.save_reports(spark, path, first).count() == 2
+    assert reports.save_reports(spark, path, first).count() == 2
+    later = reports.new_reports(texts, F.lit("2024-02-03 00:00:00"), "t")
+    table = reports.save_reports(spark, path, later)
+    assert table.count() == 4 and table.select("report_id").distinct().count() == 4
+    assert reports.save_reports(spark, path, reports.new_reports(texts, F.lit("2024-02-02 00:00:00"))).count() == 6
+
+
+def test_exporting_one_rule(spark, tmp_path):
+    df = store(spark)
+    reports.export_rule(df, "r1", "SIGMA", str(tmp_path / "rule"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "rule")).collect()] == ["rule"]
+    with pytest.raises(Exception, match="does not match report mitigation format 'Sigma'"):
+        reports.export_rule(df, "r1", "yara", str(tmp_path / "other"))
+    with pytest.raises(Exception, match="Report not found: nope"):
+        reports.export_rule(df, "nope", "sigma", str(tmp_path / "none"))
+
+
+def test_alerts_that_fail_do_not_stop_the_load(spark, tmp_path):
+    (tmp_path / "records.json").write_text(json.dumps({"event_record_id": 1, "timestamp": "t", "data": json.dumps(EVENT)}) + "\n")
+    alert = {"Timestamp": "2024-01-01T00:00:00Z", "Computer": "HOST.example.com", "Channel": "Security", "RecordID": 1, "AlertName": "Logon"}
+    (tmp_path / "alerts.json").write_text(json.dumps(alert) + "\n")
+    records_path, alerts_path = str(tmp_path / "records.json"), str(tmp_path / "alerts.json")
+    tables = ingest_records(spark, "case 20", records_path, "hybrid", alerts_path)
+    assert tables.correlated.head()["raw_source_ip"] == "1.2.3.4" and tables.error is None
+    raising = adapters.read_source(spark, alerts_path, "evtx", "alerts-json").withColumn("AlertName", F.raise_error(F.lit("no alerts today")).cast("string"))
+    tables = load_hybrid("case 21", adapters.read_source(spark, records_path, "evtx"), raising)
+    assert tables.raw.count() == 1 and tables.alerts is None and tables.correlated is None and tables.error
+    tables = ingest_records(spark, "case 22", records_path, "hybrid", str(tmp_path / "missing.json"))
+    assert tables.raw.count() == 1 and tables.correlated is None and "missing.json" in tables.error
+    assert ingest_records(spark, "case 23", records_path).alerts is None
+    assert ingest_records(spark, "case 24", alerts_path, "alerts-json").raw.head()["AlertName"] == "Logon"
+    with pytest.raises(ValueError):
+        ingest_records(spark, "case 25", records_path, "other")
