@@ -1,8 +1,9 @@
 """Token ids in wavelet-matrix shards (operator 2).
 
-A shard is one compressed binary value that holds some million ids of consecutive documents: the sorted ids in use, one bit
-plane per bit of an id's index among them, ranks every 512 bits, and the documents' ids and lengths. Any position, any count of an
-id before a position and the place of its n-th occurrence are found from the planes alone. Shards are rows of a Parquet table, so that
+A shard is one binary value that holds some million ids of consecutive documents: the sorted ids in use, one bit
+plane per bit of an id's index among them, for every plane the number of ones before each 512 bits, and, compressed apart, the documents' ids and
+lengths. Planes and counts lie in the value as they are used: a shard is opened without unpacking or counting anything, and any position, any count of an
+id before a position and the place of its n-th occurrence are found from a few words of each plane. Shards are rows of a Parquet table, so that
 any file system serves and a task that runs twice leaves one result.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -23,22 +25,40 @@ from .tokens import encode_all
 
 SHARD_TOKENS = 1 << 20
 _BLOCK = 512
-_MAGIC = b"WVM1"
+_MAGIC = b"WAVELET2"
 SHARD_SCHEMA = "part int, shard int, first long, n_tokens long, n_docs long, data binary"
 
 
 class WaveletShard:
     """The ids of consecutive documents as bit planes with rank and select."""
 
-    def __init__(self, alphabet: np.ndarray, n: int, planes: list[np.ndarray], doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray):
-        self.alphabet, self.n, self.planes = alphabet, n, planes
-        self.doc_ids, self.known, self.lengths = doc_ids, known, lengths
-        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        words = -(-n // _BLOCK) * (_BLOCK // 64)
-        self.words = [np.frombuffer(p.tobytes() + bytes(words * 8 - len(p)), "<u8") for p in planes]
-        ones = [np.bitwise_count(w).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.int64) for w in self.words]
-        self.blocks = [np.concatenate([[0], np.cumsum(x)]) for x in ones]
-        self.zeros = [n - int(b[-1]) for b in self.blocks]
+    def __init__(self, alphabet: np.ndarray, n: int, words: list[np.ndarray], blocks: list[np.ndarray], documents: bytes):
+        self.alphabet, self.n, self.words, self.blocks, self._documents = alphabet, n, words, blocks, documents
+        self.zeros = [n - int(b[-1]) for b in blocks]
+
+    @cached_property
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the documents, whether they are known, and numbers of tokens; unpacked when first asked for."""
+        raw = zstandard.ZstdDecompressor().decompress(self._documents)
+        docs = int(np.frombuffer(raw, "<i8", 1)[0])
+        known = np.unpackbits(np.frombuffer(raw, np.uint8, -(-docs // 8), 8 + 16 * docs), count=docs).astype(bool)
+        return np.frombuffer(raw, "<i8", docs, 8), known, np.frombuffer(raw, "<i8", docs, 8 + 8 * docs)
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._table[0]
+
+    @property
+    def known(self) -> np.ndarray:
+        return self._table[1]
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._table[2]
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
 
     @classmethod
     def build(cls, ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray) -> WaveletShard:
@@ -47,37 +67,39 @@ class WaveletShard:
         alphabet = np.flatnonzero(used).astype("<u4")
         code = np.zeros(len(used), np.uint32)
         code[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-        now, planes = code[ids], []
+        now, words, blocks = code[ids], [], []
+        size = -(-len(ids) // _BLOCK) * (_BLOCK // 8)
         for bit in range(max(1, int(len(alphabet) - 1).bit_length()) - 1, -1, -1):
             one = (now >> np.uint32(bit)) & np.uint32(1) != 0
-            planes.append(np.packbits(one, bitorder="little"))
+            plane = np.packbits(one, bitorder="little").tobytes()
+            words.append(np.frombuffer(plane + bytes(size - len(plane)), "<u8"))
+            ones = np.bitwise_count(words[-1]).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.int64)
+            blocks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4"))
             now = np.concatenate([now[~one], now[one]])
-        return cls(alphabet, len(ids), planes, doc_ids, known, lengths)
+        table = np.array([len(lengths)], "<i8").tobytes() + doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + np.packbits(known).tobytes()
+        return cls(alphabet, len(ids), words, blocks, zstandard.ZstdCompressor(level=1).compress(table))
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.n, len(self.alphabet), len(self.planes), len(self.lengths)], "<i8").tobytes()
-        body = [self.alphabet.astype("<u4").tobytes(), *(p.tobytes() for p in self.planes), self.doc_ids.astype("<i8").tobytes(),
-                np.packbits(self.known).tobytes(), self.lengths.astype("<i8").tobytes()]
-        return _MAGIC + zstandard.ZstdCompressor(level=1).compress(head + b"".join(body))
+        head = np.array([self.n, len(self.alphabet), len(self.words), len(self._documents)], "<i8").tobytes()
+        planes = [part.tobytes() for pair in zip(self.words, self.blocks) for part in pair]
+        return b"".join([_MAGIC, head, *planes, self.alphabet.astype("<u4").tobytes(), self._documents])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletShard:
-        if data[:4] != _MAGIC:
+        """Open a stored shard; its planes and counts stay where they are."""
+        if data[:8] != _MAGIC:
             raise ValueError("not a wavelet shard")
-        raw = zstandard.ZstdDecompressor().decompress(data[4:])
-        n, used, depth, docs = np.frombuffer(raw, "<i8", 4).tolist()
-        at = 32
-        alphabet = np.frombuffer(raw, "<u4", used, at)
-        at += 4 * used
-        width, planes = -(-n // 8), []
+        n, used, depth, size = np.frombuffer(data, "<i8", 4, 8).tolist()
+        n_blocks = -(-n // _BLOCK)
+        at, words, blocks = 40, [], []
         for _ in range(depth):
-            planes.append(np.frombuffer(raw, np.uint8, width, at))
-            at += width
-        doc_ids = np.frombuffer(raw, "<i8", docs, at)
-        at += 8 * docs
-        known = np.unpackbits(np.frombuffer(raw, np.uint8, -(-docs // 8), at), count=docs).astype(bool)
-        at += -(-docs // 8)
-        return cls(alphabet, n, planes, doc_ids, known, np.frombuffer(raw, "<i8", docs, at))
+            words.append(np.frombuffer(data, "<u8", n_blocks * (_BLOCK // 64), at))
+            at += n_blocks * (_BLOCK // 8)
+            blocks.append(np.frombuffer(data, "<u4", n_blocks + 1, at))
+            at += 4 * (n_blocks + 1)
+        alphabet = np.frombuffer(data, "<u4", used, at)
+        at += 4 * used
+        return cls(alphabet, n, words, blocks, data[at : at + size])
 
     def _bit(self, level: int, i: int) -> int:
         return int(self.words[level][i >> 6]) >> (i & 63) & 1
@@ -106,7 +128,7 @@ class WaveletShard:
         if not 0 <= i < self.n:
             raise IndexError(i)
         code = 0
-        for level in range(len(self.planes)):
+        for level in range(len(self.words)):
             bit, ones = self._bit(level, i), self._ones(level, i)
             code = code * 2 + bit
             i = self.zeros[level] + ones if bit else i - ones
@@ -122,9 +144,9 @@ class WaveletShard:
         if code < 0:
             return 0
         low, high = 0, min(i, self.n)
-        for level in range(len(self.planes)):
+        for level in range(len(self.words)):
             a, b = self._ones(level, low), self._ones(level, high)
-            low, high = (self.zeros[level] + a, self.zeros[level] + b) if code >> (len(self.planes) - 1 - level) & 1 else (low - a, high - b)
+            low, high = (self.zeros[level] + a, self.zeros[level] + b) if code >> (len(self.words) - 1 - level) & 1 else (low - a, high - b)
         return high - low
 
     def count(self, token: int) -> int:
@@ -136,20 +158,20 @@ class WaveletShard:
         if code < 0 or not 0 <= k < self.count(token):
             return -1
         low, path = 0, []
-        for level in range(len(self.planes)):
-            bit, ones = code >> (len(self.planes) - 1 - level) & 1, self._ones(level, low)
+        for level in range(len(self.words)):
+            bit, ones = code >> (len(self.words) - 1 - level) & 1, self._ones(level, low)
             path.append(bit)
             low = self.zeros[level] + ones if bit else low - ones
         at = low + k
-        for level in range(len(self.planes) - 1, -1, -1):
+        for level in range(len(self.words) - 1, -1, -1):
             at = self._select(level, path[level], at - self.zeros[level] if path[level] else at)
         return at
 
     def all_ids(self) -> np.ndarray:
         """Every id, from the lowest plane upwards."""
         code = np.zeros(self.n, np.uint32)
-        for depth, plane in enumerate(reversed(self.planes)):
-            one = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
+        for depth, words in enumerate(reversed(self.words)):
+            one = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").astype(bool)
             zeros, before = self.n - int(one.sum()), np.empty_like(code)
             before[~one], before[one] = code[:zeros], code[zeros:] | np.uint32(1 << depth)
             code = before

@@ -152,6 +152,33 @@ def test_wavelet_rank_and_select():
     assert shard.count(5) == 0 and shard.locate(5, 0) == -1
 
 
+def test_stored_shards_are_read_in_place(spark, docs, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    shards = wavelet.write_shards(docs, path, 2, wavelet.shard_path(spark), shard_tokens=500)
+    coder = Tokenizer.from_file(path)
+    want = np.concatenate([np.array(coder.encode(r[1] or "", add_special_tokens=False).ids + [2], np.uint32) for r in odd_rows()])
+    stored = sorted(shards.collect(), key=lambda r: (r["part"], r["shard"]))
+    at = 0
+
+    def refuse(*_, **__):
+        raise AssertionError("unpacked or counted")
+
+    # Access, counts and places come from the stored planes and counts alone.
+    monkeypatch.setattr(wavelet.zstandard, "ZstdDecompressor", refuse)
+    monkeypatch.setattr(wavelet.np, "bitwise_count", refuse)
+    monkeypatch.setattr(wavelet.WaveletShard, "all_ids", refuse)
+    for row in stored:
+        shard = wavelet.WaveletShard.from_bytes(bytes(row["data"]))
+        ids = want[at : at + row["n_tokens"]]
+        at += row["n_tokens"]
+        for i in range(0, len(ids), 37):
+            token = int(ids[i])
+            places = np.flatnonzero(ids == token)
+            assert shard.access(i) == token and shard.rank(token, i) == int((places < i).sum())
+            assert shard.locate(token, len(places) - 1) == places[-1] and shard.count(token) == len(places)
+    assert at == len(want) and len(stored) > 3
+
+
 def test_mixing(spark, with_repeats):
     rows = mixing.mix(with_repeats, keep=("doc_id", "source", "size"), range_rows=5).collect()
     assert len(rows) == with_repeats.count()
