@@ -147,3 +147,9 @@ SCAN_CATEGORIES = (
     "malicious", "suspicious", "undetected", "harmless",
     "confirmed-timeout", "failure", "timeout", "type-unsupported",
 )
+
+# Fixed values of the data contract: messages.
+FILE_NOT_FOUND = "Log file not found: "
+FILE_EMPTY = "Log file is empty: "
+FILE_BINARY = "Unsupported binary file format for "
+RULE_FORMAT_MISMATCH = "Requested format '{wanted}' does not match report mitigation format '"

@@ -300,7 +300,7 @@ def rule_exports(reports: DataFrame, rule_format: str) -> DataFrame:
         extension = F.when(found == name, ext).otherwise(extension)
     matches = found == rule_format.lower()
     error = F.concat(
-        F.lit(f"Requested format '{rule_format}' does not match report mitigation format '"),
+        F.lit(C.RULE_FORMAT_MISMATCH.format(wanted=rule_format)),
         F.col("report.mitigation.format"), F.lit("'"),
     )
     return reports.select(

@@ -87,9 +87,9 @@ def classify_files(files: DataFrame, override: str | None = None) -> DataFrame:
     sniffed = F.col("sniffed") if "sniffed" in files.columns else sniffed_format(F.col("head"))
     detected = F.coalesce(_by_suffix(F.col("path")), sniffed)
     error = (
-        F.when(F.col("length").isNull(), F.concat(F.lit("Log file not found: "), F.col("path")))
-        .when(F.col("length") == 0, F.concat(F.lit("Log file is empty: "), F.col("path")))
-        .when(F.col("detected").isNull(), F.concat(F.lit("Unsupported binary file format for "), F.col("path")))
+        F.when(F.col("length").isNull(), F.concat(F.lit(C.FILE_NOT_FOUND), F.col("path")))
+        .when(F.col("length") == 0, F.concat(F.lit(C.FILE_EMPTY), F.col("path")))
+        .when(F.col("detected").isNull(), F.concat(F.lit(C.FILE_BINARY), F.col("path")))
     )
     chosen = F.col("detected") if override is None else F.lit(override.lower())
     return (
