@@ -4,8 +4,11 @@ Suffixes are indexed at content-defined places: in every window of ``length`` by
 anchor, so two equal windows have the same anchor at the same place. A batch's suffix array holds its anchors, sorted
 by the hash of their first k bytes, then by the hash of all bytes that a window around the anchor can reach, then by place. A new batch
 is merge-scanned against the sorted levels of the index: an anchor whose reach occurred before is covered as a whole; anchors
-that share k bytes but not their reach are compared window by window by 64-bit hashes of the windows. Levels of equal rank merge into the
-next, so there are logarithmically many. Of equal contexts a level keeps the earliest.
+that share k bytes but not their reach are compared window by window by 64-bit hashes of the windows. A level's rank is the logarithm of the
+batch it holds; levels of equal rank merge into the next, so there are logarithmically many. Of equal contexts a level keeps the earliest.
+
+Batches are of 1, 1, 1, 4, 8, 16, ... units, each from the fourth on about as large as all before it: the first two make a level of two units, the third and every
+later batch a level of its own rank. So levels are scanned in proportion to the input, at most twice in all, however many batches there are.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ K = 32
 ENTRY = "kh long, ch long, doc_id long, pos int"
 # Entries of one k-byte string that a task compares by itself; those of longer runs meet window by window.
 RUN = 1 << 15
+# Documents in the smallest batch of a large table, and how many such units a table is cut into.
+UNIT_ROWS = 1 << 13
+LEAST_UNITS, MOST_UNITS = 8, 1 << 8
 _BASE = 0xC2B2AE3D27D4EB4F
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -152,10 +158,10 @@ class SuffixLevels:
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
 
-    def add(self, entries: DataFrame, more_follow: bool = True) -> DataFrame:
+    def add(self, entries: DataFrame, more_follow: bool = True, units: int = 1) -> DataFrame:
         """Scan a batch's suffix array with the levels; the stored COVERED and COMPARE entries.
 
-        Batches must come in ascending order of doc_id. The batch becomes a level unless nothing follows it.
+        Batches must come in ascending order of doc_id. The batch becomes a level unless nothing follows it; its rank is the logarithm of ``units``.
         """
         both = entries.withColumn("old", F.lit(False))
         for _, level in self.levels:
@@ -164,7 +170,7 @@ class SuffixLevels:
         wanted = scanned.where(f"state = {COMPARE} or (state = {COVERED} and not old)" + (" or not old" if more_follow else ""))
         found = materialize(wanted, "suffixes")
         if more_follow:
-            self._insert(found.where(f"state <> {COVERED} and not old").select("kh", "ch", "doc_id", "pos"))
+            self._insert(found.where(f"state <> {COVERED} and not old").select("kh", "ch", "doc_id", "pos"), units.bit_length() - 1)
         return found.where(f"state <> {NEW}")
 
     def _insert(self, level: DataFrame, rank: int = 0) -> None:
@@ -324,7 +330,18 @@ def _cut(length: int, k: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def batch_units(rows: int) -> list[int]:
+    """Sizes of the batches of a table, in units."""
+    left, out = min(max(-(-rows // UNIT_ROWS), LEAST_UNITS), MOST_UNITS), []
+    while left:
+        size = 1 if len(out) < 3 else 1 << len(out) - 1
+        # What would be left behind a batch and is smaller goes with it.
+        out.append(left if left < 2 * size else size)
+        left -= out[-1]
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row.
 
     A byte is removed if it lies in a string of ``length`` bytes that also starts earlier: in a document with a smaller id, or before
@@ -335,8 +352,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: i
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.where("doc_id is not null")
-    cuts = known.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02) if batches > 1 else []
-    limits = [None, *sorted({int(c) for c in cuts}), None]
+    sizes = [1] * batches if batches else batch_units(known.count())
+    ends = np.cumsum(sizes)[:-1]
+    cuts = known.approxQuantile("doc_id", [float(e) / sum(sizes) for e in ends], min(0.02, 0.25 / sum(sizes))) if len(ends) else []
+    # Ids can be so few that batches have equal limits; such a batch is empty.
+    units = {int(c): size for c, size in zip(cuts, sizes)}
+    limits = [None, *sorted(units), None]
     index, found = SuffixLevels(), None
     for i, (low, high) in enumerate(zip(limits, limits[1:])):
         part = known
@@ -345,7 +366,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: i
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         entries = part.mapInPandas(_entries(length, k), ENTRY)
-        new = index.add(entries, more_follow=i + 2 < len(limits))
+        new = index.add(entries, more_follow=i + 2 < len(limits), units=units.get(high, 1))
         found = new if found is None else found.unionByName(new)
     # Entries to compare, each once, with their bytes.
     compared = found.where(f"state = {COMPARE}")

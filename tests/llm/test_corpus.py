@@ -305,6 +305,28 @@ def test_repeats(spark, docs, with_repeats):
     assert suffix_levels.remove_repeats(empty(spark)).count() == 0
 
 
+def test_levels_merge_at_any_size(spark, monkeypatch):
+    assert suffix_levels.batch_units(0) == [1, 1, 1, 5] and suffix_levels.batch_units(1 << 18) == [1, 1, 1, 4, 8, 17]
+    assert len(suffix_levels.batch_units(1 << 30)) == 9
+    seen, add = [], suffix_levels.SuffixLevels.add
+
+    def watched(self, entries, *args, **options):
+        seen.append(sorted(rank for rank, _ in self.levels))
+        return add(self, entries, *args, **options)
+
+    rng = random.Random(88)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150))
+    noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200))
+    table = spark.createDataFrame([(i, noise() + line + noise()) for i in range(64)], "doc_id long, text string")
+    want = [tuple(r) for r in suffix_levels.remove_repeats(table, batches=1).orderBy("doc_id").collect()]
+    monkeypatch.setattr(suffix_levels.SuffixLevels, "add", watched)
+    monkeypatch.setattr(suffix_levels, "UNIT_ROWS", 4, raising=False)
+    assert [tuple(r) for r in suffix_levels.remove_repeats(table).orderBy("doc_id").collect()] == want
+    assert want[0][2] == 0 and all(r[2] >= 150 for r in want[1:])
+    # The second batch merges with the first, the third stays beside it, the fourth has a rank of its own.
+    assert seen == [[], [0], [1], [0, 1], [0, 1, 2]]
+
+
 def test_repeats_of_long_runs(spark, monkeypatch):
     monkeypatch.setattr(suffix_levels, "RUN", 20, raising=False)
     compare = suffix_levels._compare
