@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logsift import constants as C
 from logsift.operators import enrich, records, reports
 from logsift.plans.hybrid import ingest_records, correlation_view_name, has_correlation, load_hybrid
+from logsift.plans.shapes import fill_cores
 from logsift.sources import adapters
 
 EVENT = {"Event": {
@@ -303,3 +304,31 @@ def test_alerts_that_fail_do_not_stop_the_load(spark, tmp_path):
     assert ingest_records(spark, "case 24", alerts_path, "alerts-json").raw.head()["AlertName"] == "Logon"
     with pytest.raises(ValueError):
         ingest_records(spark, "case 25", records_path, "other")
+
+
+def test_rows_of_few_splits_are_spread(spark):
+    lone = spark.range(0, 160000, 1, 40).filter("id < 4000")
+    assert lone.rdd.getNumPartitions() == 40
+    spread = fill_cores(lone, 100)
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 40 and max(sizes) <= 200
+    even = spark.range(0, 4000, 1, 40)
+    assert fill_cores(even, 100).rdd.getNumPartitions() == 40
+
+
+def test_records_are_judged_once(spark):
+    rows = [("1", '{"Event": {"System": {"EventID": 1}}}'), ("2", '{"Event"'), ("3", None), ("4", '{"x": "\\ud800"}'), ("5", '{"Event": {"\\ud800": 1}}')]
+    good, broken = records.split_records(spark.createDataFrame(rows, "event_record_id string, data string"))
+    assert sorted(r.event_record_id for r in good.collect()) == ["1", "5"] and sorted(r.event_record_id for r in broken.collect()) == ["2", "4"]
+    for half in (good, broken):
+        assert "ArrowEvalPython" not in half._jdf.queryExecution().toString()
+
+
+def test_leaves_of_escapes_and_odd_numbers(spark):
+    text = '{"Event": {"a\\ud83d": "x\\udc00", "b": [1, 2.50, true, null], "c": 1e400, "d": "\\u00e9", "e": -0.0, "f": false, "g": 12345678901234567890, "h": {}}}'
+    row = spark.createDataFrame([(text,), ("[]",), (None,)], "data string").select(records.flattened(F.col("data"), "Event").alias("f")).select("f.*").collect()
+    assert dict(zip(row[0]["keys"], zip(row[0].texts, row[0].jsons))) == {
+        "a?": ("x?", '"x?"'), "b": ("[1, 2.5, true, null]", "[1, 2.5, true, null]"), "c": ("Infinity", "Infinity"), "d": ("é", '"é"'),
+        "e": ("-0.0", "-0.0"), "f": ("false", "false"), "g": ("12345678901234567890", "12345678901234567890")}
+    assert row[0].message == '{"a?": "x?", "b": [1, 2.5, true, null], "c": Infinity, "d": "é", "e": -0.0, "f": false, "g": 12345678901234567890}'
+    assert all(r.message is None and r["keys"] is None for r in row[1:])
