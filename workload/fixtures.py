@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logsift.session import scratch_path
+from logsift.session import discard, scratch_path
 from workload import relations as R
 
+# Lines that one task sorts.
+PIECE_ROWS = 500_000
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
@@ -24,14 +27,53 @@ def _once(spark: SparkSession, sf: str, label: str, write: Callable[[str], None]
     return _WRITTEN[key]
 
 
-def log_files(spark: SparkSession, sf: str) -> str:
-    """The mixed lines as text files, one folder and file per name."""
+def _joiner(folder: str):
+    target = re.sub("^file:/+", "/", folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import shutil
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(target)
+        for batch in batches:
+            for name, pieces in zip(batch["name"], batch["pieces"]):
+                system.create_dir(f"{root}/{name}", recursive=True)
+                with system.open_output_stream(f"{root}/{name}/part-00000.txt") as stream:
+                    for piece in pieces:
+                        at, path = fs.FileSystem.from_uri(re.sub("^file:/+", "/", piece))
+                        with at.open_input_stream(path) as source:
+                            shutil.copyfileobj(source, stream, 1 << 20)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return run
 
-    def write(folder: str) -> None:
-        rows = R.mixed_lines(spark, sf).repartition("file").sortWithinPartitions("file", "block", "pos")
-        rows.select("file", "line").write.partitionBy("file").text(folder)
 
-    return _once(spark, sf, "logs", write)
+def write_log_files(rows: DataFrame, folder: str) -> None:
+    """Lines as text files, one folder and file per name, in the order of (block, pos).
+
+    A file is sorted in pieces of some ``PIECE_ROWS`` lines and its pieces are strung together as bytes, so no task sorts a whole file
+    and the tables' size does not tell what a task holds.
+    """
+    spark, order = rows.sparkSession, ("file", "block", "pos")
+    path = scratch_path(spark, "pieces")
+    n = max(spark.sparkContext.defaultParallelism, -(-rows.count() // PIECE_ROWS))
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("file", "line").write.partitionBy("file").text(path)
+    written = spark.read.text(path)
+    written._scratch_path = path
+    # Names of pieces; there are as many as sorting tasks and files.
+    of_name: dict[str, list[tuple[int, str]]] = {}
+    for piece in map(unquote, written.inputFiles()):
+        name, part = re.search(r"/([^/]*)/part-(\d+)[^/]*$", piece).groups()
+        of_name.setdefault(name, []).append((int(part), piece))
+    listed = spark.createDataFrame([(name, [piece for _, piece in sorted(pieces)]) for name, pieces in of_name.items()], "name string, pieces array<string>")
+    listed.repartition(max(len(of_name), 1)).mapInPandas(_joiner(folder), "n long").agg(F.sum("n")).collect()
+    discard(written)
+
+
+def log_files(spark: SparkSession, sf: str) -> str:
+    """The mixed lines as text files, one folder and file per name."""
+    return _once(spark, sf, "logs", lambda folder: write_log_files(R.mixed_lines(spark, sf), folder))
 
 
 def log_name(path: Column) -> Column:
