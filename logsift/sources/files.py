@@ -29,6 +29,11 @@ def _names(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(name)),) for name in df.inputFiles()], "path string")
 
 
+def _line_scan(spark: SparkSession, path: str) -> DataFrame:
+    """All files below ``path``, listed once for all that is made of the scan."""
+    return spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, modified)`` of every file below ``path``; no content is read, and empty files have no time."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -114,8 +119,8 @@ def _power(exponent: Column, root: int) -> Column:
     return out
 
 
-def split_digests(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file and split: line count, digest, and what its first lines say about the format.
+def split_digests(scan: DataFrame) -> DataFrame:
+    """Of a scan of lines, one row per file and split: line count, digest, and what its first lines say about the format.
 
     The digest is a sum over the lines, each weighted by a power that grows with its number in the task, so it needs neither
     a window nor a sort, and its parts add up on the map side; all aggregates are longs. What the first non-blank and
@@ -123,7 +128,7 @@ def split_digests(spark: SparkSession, path: str) -> DataFrame:
     """
     size, modified = F.col("_metadata.file_size"), F.col("_metadata.file_modification_time")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK))
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(
+    lines = scan.select(
         plain_path().alias("path"), size.alias("length"), modified.alias("modified"),
         F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("block_length"),
         place.alias("place"), F.col("value").alias("line"),
@@ -152,14 +157,14 @@ def split_digests(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
+def file_digests(spark: SparkSession, path: str, scan: DataFrame | None = None) -> DataFrame:
     """``(path, length, modified, content_key, sniffed, unsettled)`` of every file that is not empty, from one scan.
 
     Digests of splits combine in the order of the splits like the concatenation of their lines, so the key does not depend on where
     a file is split; files with equal content have equal keys in any run and folder. ``unsettled`` marks
     files whose format hangs on where exactly the first 4 KiB end.
     """
-    splits = split_digests(spark, path)
+    splits = split_digests(_line_scan(spark, path) if scan is None else scan)
     back = pow(ROOT, PRIME - 2, PRIME)
     local = [(F.col(f"h{i}") % PRIME * _power(F.col("first"), back) % PRIME).alias(f"h{i}") for i in range(_PARTS)]
     # Splits of a file: its length by the split size.
@@ -199,8 +204,8 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def content_digests(spark: SparkSession, path: str) -> DataFrame:
     """``(path, content_key)`` of every file, empty ones included."""
-    names = _names(spark, spark.read.option("recursiveFileLookup", "true").text(path))
-    return names.join(file_digests(spark, path).select("path", "content_key"), "path", "left").withColumn(
+    scan = _line_scan(spark, path)
+    return _names(spark, scan).join(file_digests(spark, path, scan).select("path", "content_key"), "path", "left").withColumn(
         "content_key", F.coalesce("content_key", F.lit("0")))
 
 
@@ -209,15 +214,15 @@ def catalog(spark: SparkSession, path: str, override: str | None = None) -> Data
 
     The files are read once; only those whose format hangs on the exact end of their head are looked at again.
     """
-    found = materialize(file_digests(spark, path), "digests")
+    scan = _line_scan(spark, path)
+    found = materialize(file_digests(spark, path, scan), "digests")
     unsettled = found.filter("unsettled").select("path")
     if not unsettled.isEmpty():
         lines = read_lines(spark, path, recursive=True, line_end="\n").withColumnRenamed("file", "path")
         heads = file_heads(join_keyed(lines, unsettled, ["path"], "left_semi").withColumnRenamed("path", "file"))
         again = heads.select(F.col("file").alias("path"), sniffed_format(F.col("head")).alias("looked"))
         found = found.join(again, "path", "left").withColumn("sniffed", F.when(F.col("unsettled"), F.col("looked")).otherwise(F.col("sniffed"))).drop("looked")
-    names = _names(spark, spark.read.option("recursiveFileLookup", "true").text(path))
-    listed = names.join(found.drop("unsettled"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0))).withColumn(
+    listed = _names(spark, scan).join(found.drop("unsettled"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0))).withColumn(
         "content_key", F.coalesce("content_key", F.lit("0")))
     return mark_duplicates(materialize(classify_files(listed, override), "catalog"))
 

@@ -2,6 +2,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from logsift.sources import files
 from workload import fixtures
 
 
@@ -22,3 +23,11 @@ def test_log_files_are_strung_together_from_small_pieces(spark, tmp_path, monkey
         (only,) = Path(tmp_path / "logs" / f"file={name}").iterdir()
         want = [r.line or "" for r in rows.filter(F.col("file") == name).orderBy("block", "pos").collect()]
         assert only.read_text().split("\n") == [*want, ""]
+
+
+def test_catalog_lists_its_folder_once(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"a{i}.log").write_text("x\n" * i)
+    scan, made = files._line_scan, []
+    monkeypatch.setattr(files, "_line_scan", lambda *args: made.append(args) or scan(*args))
+    assert files.catalog(spark, str(tmp_path)).count() == 3 and len(made) == 1
