@@ -20,6 +20,7 @@ from logsift.llm import exact_dedup, hyperminhash, language, mixing, packing, pp
 from logsift.llm.bytestext import U
 from logsift.llm.shipping import ship
 from logsift.llm.tokens import encode_all
+from logsift.session import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, `rank` int, bucket string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +99,45 @@ def test_near_duplicates(spark, n):
     assert got == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
 
 
+def test_texts_beside_a_large_group_are_not_paired_with_all_of_it(spark, monkeypatch):
+    """Some are a little below the limit to all of the group, some linked to one member or to each other only."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+
+    def changed(words: list[str], n: int, deleted: int = 0) -> list[str]:
+        words = words[:]
+        for at in rng.sample(range(1, len(words) - 1), n):
+            words[at] = f"z{rng.randrange(10 ** 9)}"
+        for at in sorted(rng.sample(range(len(words)), deleted), reverse=True):
+            del words[at]
+        return words
+
+    members = [base] + [changed(base, rng.randrange(1, 5), rng.randrange(3)) for _ in range(150)]
+    beside = [changed(base, 9, rng.randrange(3)) for _ in range(60)]
+    linked = [changed(m, 7) for m in members[1:40]] + [changed(b, 5) for b in beside[:20]] + [changed(base, 0, 28) for _ in range(5)]
+    texts = [" ".join(words) for words in members + beside + linked]
+    rng.shuffle(texts)
+    sets = [shingles(t, 2) for t in texts]
+    root = list(range(len(texts)))
+    links = [(a, b) for a in root for b in root[:a] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while (now := [min([root[i], *[root[b if a == i else a] for a, b in links if i in (a, b)]]) for i in range(len(root))]) != root:
+        root = now
+    tables = collections.defaultdict(list)
+
+    def stored(df, label="table"):
+        tables[label].append((out := materialize(df, label)).count())
+        return out
+
+    monkeypatch.setattr(hyperminhash, "materialize", stored)
+    if late := getattr(hyperminhash, "_candidates", None):
+        monkeypatch.setattr(hyperminhash, "_candidates", lambda *args: stored(late(*args), "near"))
+    rows = [(i, t, "en", "s", 0, 0, 0, "") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 20
+    # Fewer than the pairs of texts beside the group with its members.
+    assert sum(tables["near"]) < 4000
+
+
 def test_near_duplicates_of_nothing(spark, with_repeats):
     assert hyperminhash.near_duplicates(empty(spark)).count() == 0
     assert hyperminhash.near_duplicates(with_repeats).count() == with_repeats.count()
