@@ -312,9 +312,16 @@ def rule_exports(reports: DataFrame, rule_format: str) -> DataFrame:
 
 
 def write_rules(exports: DataFrame, path: str) -> None:
-    """Rule texts under ``path/extension=…/report_id=…``; rules of other reports stay."""
+    """Rule texts under ``path/extension=…/report_id=…``; rules of other reports stay.
+
+    Making a file costs more than what is in it, so the reports are dealt to all tasks, however few bytes they have, and
+    the tasks move their files into the job's folder themselves. What others read appears when the job ends.
+    """
+    spark = exports.sparkSession
     rules = exports.filter(F.col("error").isNull()).select("extension", "report_id", F.col("content").alias("value"))
-    rules.write.partitionBy("extension", "report_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    writer = rules.repartition(n, "extension", "report_id").write.partitionBy("extension", "report_id").mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
 
 
 def export_rule(store: DataFrame, report_id: str, rule_format: str, path: str) -> None:

@@ -229,6 +229,18 @@ def test_exports(spark, tmp_path):
     assert len(exported) == 3 and exported[0]["mitigation"]["format"] == "Sigma"
 
 
+def test_rules_are_written_by_many_tasks(spark, tmp_path):
+    rows = [(f"r{i}", "yml", f"rule {i}", None) for i in range(40)] + [("other", "yar", None, "no match")]
+    exports = spark.createDataFrame(rows, "report_id string, extension string, content string, error string").coalesce(1)
+    path = tmp_path / "rules"
+    reports.write_rules(exports, str(path))
+    reports.write_rules(exports.filter("report_id = 'r3'").withColumn("content", F.lit("new")), str(path))
+    files = list(path.glob("extension=yml/report_id=*/part-*.txt"))
+    assert len(files) == 40 and len({f.name[:10] for f in files}) > 4
+    got = {r.report_id: r.value for r in spark.read.text(str(path)).collect()}
+    assert got == {f"r{i}": "new" if i == 3 else f"rule {i}" for i in range(40)}
+
+
 def test_report_context(spark):
     found = spark.createDataFrame([("i", 2, "Low", "b", "second", "{}"), ("i", 1, "High", "a", "first", "x" * 600)],
                                   "incident string, position int, severity string, type string, description string, evidence string")
