@@ -18,8 +18,8 @@ import numpy as np
 from .bytestext import CHUNK, U, groups, part_hashes
 
 # Parts kept per worker; the table starts anew beyond that.
-TABLE_PARTS = 1 << 21
-_SLOTS = 1 << 22
+TABLE_PARTS = 1 << 20
+_SLOTS = 1 << 21
 # White space that byte tests do not see, and the separator used between parts.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _SEPARATOR = "\x1f"

@@ -143,6 +143,11 @@ def test_near_duplicates_of_nothing(spark, with_repeats):
     assert hyperminhash.near_duplicates(with_repeats).count() == with_repeats.count()
 
 
+def test_token_table_leaves_room_for_other_workers():
+    coder = tokens.PartEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(getattr(coder, name).nbytes for name in ("keys", "slot", "start", "byte_at", "flat", "bytes")) < 50 << 20
+
+
 def test_tokens_equal_whole_encoding():
     rng = random.Random(5)
     bits = ["a", "B", " ", "  ", "\n", " \n", "é", "\xa0", "　", "<|endoftext|>", "'s", "1", "!!", "\x1f", "\t", " z", "ñ", "́", "Σ", "的", "'ll", "\r\n", ".", "word", "🙂"]
