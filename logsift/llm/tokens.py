@@ -4,7 +4,8 @@ A text is cut before single blanks and around single line ends between two chara
 are no white space, and between an ASCII letter and a sentence mark. At such a place both kinds
 of vocabulary (byte-level BPE with leading blanks, BPE with word ends) start a new pre-token
 whatever stands around it, so the ids of the parts are the ids of the text. Each worker keeps the ids of the parts it has met in a bounded table, which it
-searches by a hash; bytes are compared before ids are taken from it. Texts with other white space than blanks, tabs and line ends are encoded in one piece.
+searches by a hash; bytes are compared before ids are taken from it. A part's first 16 bytes are two numbers, so most parts are hashed and compared without
+looking at single bytes. Texts with other white space than blanks, tabs and line ends are encoded in one piece.
 """
 
 from __future__ import annotations
@@ -15,11 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .bytestext import CHUNK, U, groups, part_hashes
+from .bytestext import CHUNK, U, groups, mix, part_hashes
 
 # Parts kept per worker; the table starts anew beyond that.
-TABLE_PARTS = 1 << 20
-_SLOTS = 1 << 21
+TABLE_PARTS = 1 << 19
+_SLOTS = 1 << 20
+# Bytes of text that are worked on together; only memory and time depend on it.
+_GROUP = CHUNK >> 2
+# Parts in one call of the tokenizer.
+_CALL = 4000
+# Bytes of a part that its two numbers hold, and what they have of a part of 0 to 8 bytes.
+_SHORT = 16
+_HAS = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 # White space that byte tests do not see, and the separator used between parts.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _SEPARATOR = "\x1f"
@@ -31,6 +39,21 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b".,!?;:")] = True
 
 
+def _numbers(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of every part as two numbers, filled up with zeros."""
+    words = np.zeros(len(buf) // 8 + 4, "<u8")
+    words.view(np.uint8)[: len(buf)] = buf
+    at, shift, size = starts >> 3, (starts & 7).astype(U) * U(8), ends - starts
+    back = U(63) - shift
+    a, b, c = words[at], words[at + 1], words[at + 2]
+    first, second = a >> shift | b << back << U(1), b >> shift | c << back << U(1)
+    return first & _HAS[np.minimum(size, 8)], second & _HAS[np.clip(size - 8, 0, 8)]
+
+
+def _number_hashes(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(first + mix(second + size.astype(U) * U(0xD6E8FEB86659FD93)))
+
+
 class PartEncoder:
     """``encode_group`` gives the ids of a list of texts, equal to encoding each whole."""
 
@@ -49,12 +72,14 @@ class PartEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(_SLOTS, U)
         self.slot = np.full(_SLOTS, -1, np.int32)
+        # Of every part its hash, its first two numbers, its size, and where its ids and the bytes behind its numbers start.
+        self.keys, self.first, self.second = (np.zeros(TABLE_PARTS, U) for _ in range(3))
+        self.size = np.zeros(TABLE_PARTS, np.int64)
         self.start = np.zeros(TABLE_PARTS + 1, np.int64)
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.bytes = np.zeros(1 << 20, np.uint8)
         self.byte_at = np.zeros(TABLE_PARTS + 1, np.int64)
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.bytes = np.zeros(1 << 16, np.uint8)
         self.n = 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -92,47 +117,50 @@ class PartEncoder:
         at = (hashes >> U(20)) & U(_SLOTS - 1)
         while len(left):
             slot = self.slot[at]
-            hit = (slot >= 0) & (self.keys[at] == hashes[left])
+            hit = (slot >= 0) & (self.keys[slot] == hashes[left])
             out[left[hit]] = slot[hit]
             go = (slot >= 0) & ~hit
             left, at = left[go], (at[go] + U(1)) & U(_SLOTS - 1)
         return out
 
-    def _insert(self, hashes: np.ndarray, parts: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        raw = np.frombuffer(b"".join(parts), np.uint8)
-        ends = np.cumsum([len(p) for p in parts]) + self.byte_at[self.n]
+    def _insert(self, hashes: np.ndarray, first: np.ndarray, second: np.ndarray, parts: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        low, high = self.n, self.n + len(parts)
+        self.keys[low:high], self.first[low:high], self.second[low:high] = hashes, first, second
+        self.size[low:high] = [len(p) for p in parts]
+        rest = np.frombuffer(b"".join(p[_SHORT:] for p in parts), np.uint8)
+        ends = np.cumsum(np.maximum(self.size[low:high] - _SHORT, 0)) + self.byte_at[low]
         while ends[-1] > len(self.bytes):
             self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
-        self.bytes[self.byte_at[self.n] : ends[-1]] = raw
-        self.byte_at[self.n + 1 : self.n + 1 + len(parts)] = ends
-        new = np.cumsum(lengths) + self.start[self.n]
+        self.bytes[self.byte_at[low] : ends[-1]] = rest
+        self.byte_at[low + 1 : high + 1] = ends
+        new = np.cumsum(lengths) + self.start[low]
         while new[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.start[self.n] : new[-1]] = ids
-        self.start[self.n + 1 : self.n + 1 + len(lengths)] = new
-        index = np.arange(self.n, self.n + len(lengths), dtype=np.int32)
-        self.n += len(lengths)
+        self.flat[self.start[low] : new[-1]] = ids
+        self.start[low + 1 : high + 1] = new
+        index = np.arange(low, high, dtype=np.int32)
+        self.n = high
         at = (hashes >> U(20)) & U(_SLOTS - 1)
         while len(index):
             free = self.slot[at] < 0
             self.slot[at[free]] = index[free]
-            won = self.slot[at] == index
-            self.keys[at[won]] = hashes[won]
-            hashes, index, at = hashes[~won], index[~won], (at[~won] + U(1)) & U(_SLOTS - 1)
-
-    def _differ(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, index: np.ndarray) -> np.ndarray:
-        """Which parts have other bytes than the table's part of that index, looked at about a megabyte at a time."""
-        out = ends - starts != self.byte_at[index + 1] - self.byte_at[index]
-        same = np.flatnonzero(~out)
-        upto = np.cumsum((ends - starts)[same])
+            lost = self.slot[at] != index
+            index, at = index[lost], (at[lost] + U(1)) & U(_SLOTS - 1)
+
+    def _differ(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Which parts have other bytes than the table's part of that index; what is behind the numbers is looked at about a megabyte at a time."""
+        size = ends - starts
+        out = (size != self.size[index]) | (first != self.first[index]) | (second != self.second[index])
+        same = np.flatnonzero(~out & (size > _SHORT))
+        behind = size[same] - _SHORT
+        upto = np.cumsum(behind)
         at = 0
         while at < len(same):
             stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, side="right")))
-            some = same[at:stop]
-            n = (ends - starts)[some]
+            some, n = same[at:stop], behind[at:stop]
             begin = np.cumsum(n) - n
             flat = np.arange(int(begin[-1] + n[-1]))
-            unequal = buf[flat + np.repeat(starts[some] - begin, n)] != self.bytes[flat + np.repeat(self.byte_at[index[some]] - begin, n)]
+            unequal = buf[flat + np.repeat(starts[some] + _SHORT - begin, n)] != self.bytes[flat + np.repeat(self.byte_at[index[some]] - begin, n)]
             out[some] = np.logical_or.reduceat(unequal, begin)
             at = stop
         return out
@@ -170,9 +198,8 @@ class PartEncoder:
         cut[first] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(buf))
-        hashes = part_hashes(buf, starts, ends)
         # No stretch has more distinct parts than the table holds.
-        found = [self._stretch(raw, buf, starts[i : i + TABLE_PARTS], ends[i : i + TABLE_PARTS], hashes[i : i + TABLE_PARTS]) for i in range(0, len(starts), TABLE_PARTS)]
+        found = [self._stretch(raw, buf, starts[i : i + TABLE_PARTS], ends[i : i + TABLE_PARTS]) for i in range(0, len(starts), TABLE_PARTS)]
         ids = np.concatenate([x for x, _ in found])
         upto = np.concatenate([[0], np.cumsum(np.concatenate([x for _, x in found]))])
         limits = upto[np.append(np.searchsorted(starts, first), len(starts))]
@@ -180,8 +207,12 @@ class PartEncoder:
             out[row] = ids[a:b]
         return out
 
-    def _stretch(self, raw: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _stretch(self, raw: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of at most TABLE_PARTS consecutive parts and how many each has."""
+        first, second = _numbers(buf, starts, ends)
+        hashes = _number_hashes(first, second, ends - starts)
+        if len(long := np.flatnonzero(ends - starts > _SHORT)):
+            hashes[long] = part_hashes(buf, starts[long], ends[long])
         index = self._find(hashes)
         missing = np.flatnonzero(index < 0)
         if len(missing):
@@ -192,7 +223,7 @@ class PartEncoder:
                 _, one = np.unique(hashes, return_index=True)
                 missing = np.arange(len(hashes))
             new = missing[one]
-            for some in np.array_split(new, max(1, -(-len(new) // 20000))):
+            for some in np.array_split(new, max(1, -(-len(new) // _CALL))):
                 slices = [raw[s:e] for s, e in zip(starts[some].tolist(), ends[some].tolist())]
                 parts = [p.decode("utf-8", "surrogatepass") for p in slices]
                 # Parts are encoded together with others whose limits show in the same way.
@@ -201,13 +232,14 @@ class PartEncoder:
                 for kind in range(3):
                     if (chosen := kinds == kind).any():
                         picked = np.flatnonzero(chosen).tolist()
-                        self._insert(hashes[some][chosen], [slices[i] for i in picked], *self._parts_ids([parts[i] for i in picked]))
+                        at = some[chosen]
+                        self._insert(hashes[at], first[at], second[at], [slices[i] for i in picked], *self._parts_ids([parts[i] for i in picked]))
             index[missing] = self._find(hashes[missing])
         begin = self.start[index]
         count = self.start[index + 1] - begin
         upto = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
-        other = np.flatnonzero(self._differ(buf, starts, ends, index))
+        other = np.flatnonzero(self._differ(buf, starts, ends, first, second, index))
         if len(other):  # parts that share their hash with another one
             each = np.split(ids, upto[1:-1])
             for i in other.tolist():
@@ -230,6 +262,6 @@ def encoder(path: str) -> PartEncoder:
 def encode_all(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
     """Ids of every text, worked on in groups of bounded size."""
     coder, at = encoder(path), 0
-    for part in groups([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
+    for part in groups([(t or "").encode("utf-8", "surrogatepass") for t in texts], _GROUP):
         yield from coder.encode_group(texts[at : at + len(part)])
         at += len(part)

@@ -29,6 +29,11 @@ _MAGIC = b"WAVELET2"
 SHARD_SCHEMA = "part int, shard int, first long, n_tokens long, n_docs long, data binary"
 
 
+def _index_type(used: int) -> type:
+    """What holds the indexes of that many ids."""
+    return np.uint16 if used <= 1 << 16 else np.uint32
+
+
 class WaveletShard:
     """The ids of consecutive documents as bit planes with rank and select."""
 
@@ -67,15 +72,16 @@ class WaveletShard:
         alphabet = np.flatnonzero(used).astype("<u4")
         code = np.zeros(len(used), np.uint32)
         code[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
-        now, words, blocks = code[ids], [], []
+        # Two bytes hold an index in any shard of a usual vocabulary, and places are faster to take from than masks.
+        now, words, blocks = code[ids].astype(_index_type(len(alphabet))), [], []
         size = -(-len(ids) // _BLOCK) * (_BLOCK // 8)
         for bit in range(max(1, int(len(alphabet) - 1).bit_length()) - 1, -1, -1):
-            one = (now >> np.uint32(bit)) & np.uint32(1) != 0
+            one = (now >> now.dtype.type(bit) & now.dtype.type(1)).astype(bool)
             plane = np.packbits(one, bitorder="little").tobytes()
             words.append(np.frombuffer(plane + bytes(size - len(plane)), "<u8"))
             ones = np.bitwise_count(words[-1]).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.int64)
             blocks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4"))
-            now = np.concatenate([now[~one], now[one]])
+            now = np.concatenate([now[np.flatnonzero(~one)], now[np.flatnonzero(one)]])
         table = np.array([len(lengths)], "<i8").tobytes() + doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + np.packbits(known).tobytes()
         return cls(alphabet, len(ids), words, blocks, zstandard.ZstdCompressor(level=1).compress(table))
 
@@ -169,11 +175,12 @@ class WaveletShard:
 
     def all_ids(self) -> np.ndarray:
         """Every id, from the lowest plane upwards."""
-        code = np.zeros(self.n, np.uint32)
+        code = np.zeros(self.n, _index_type(len(self.alphabet)))
         for depth, words in enumerate(reversed(self.words)):
-            one = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").astype(bool)
-            zeros, before = self.n - int(one.sum()), np.empty_like(code)
-            before[~one], before[one] = code[:zeros], code[zeros:] | np.uint32(1 << depth)
+            one = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").view(bool)
+            ones, before = np.flatnonzero(one), np.empty_like(code)
+            zeros = self.n - len(ones)
+            before[np.flatnonzero(~one)], before[ones] = code[:zeros], code[zeros:] | code.dtype.type(1 << depth)
             code = before
         return self.alphabet[code] if self.n else np.zeros(0, "<u4")
 

@@ -143,3 +143,35 @@ def test_training_is_bounded_where_an_id_repeats(spark, monkeypatch):
     labels = spark.createDataFrame([(7, 1), (7, 1), *[(i, 0) for i in range(100, 160)]], "doc_id long, toxic int")
     toxicity.train(docs, labels, F.lit(True), rows_per_label=100)
     assert seen == [160, 160]
+
+
+def test_short_and_long_parts_with_equal_hashes(monkeypatch):
+    # Numbers of a part collide as well; zero bytes and parts that share their first 16 bytes are told apart.
+    monkeypatch.setattr(tokens, "part_hashes", lambda buf, starts, ends: np.full(len(starts), 7, np.uint64))
+    monkeypatch.setattr(tokens, "_number_hashes", lambda first, second, size: np.full(len(size), 7, np.uint64))
+    stems = ["a" * n for n in (7, 8, 9, 15, 16, 17, 33)] + ["abcdefghijklmnop" + x for x in ("", "q", "r", "qr", "rq")] + ["x\0", "x", "x\0\0"]
+    texts = [" ".join(stems), "\n".join(reversed(stems)), *stems, "".join(stems)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        coder = tokens.PartEncoder(path)
+        want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+        for _ in range(2):
+            assert [x.tolist() for x in coder.encode_group(texts)] == [e.ids for e in want]
+
+
+def test_hashes_of_most_parts_look_at_no_single_byte(monkeypatch):
+    looked = []
+    monkeypatch.setattr(tokens, "part_hashes", lambda buf, starts, ends: looked.append(int((ends - starts).sum())) or bytestext.part_hashes(buf, starts, ends))
+    text = " ".join(f"word{i}" for i in range(3000)) + " " + "long" * 10
+    coder = tokens.PartEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(next(coder.encode_group([text]))) and sum(looked) < 50
+    tables = [x for x in vars(coder).values() if isinstance(x, np.ndarray)]
+    assert sum(x.nbytes for x in tables) < 40 << 20
+
+
+def test_planes_of_many_and_few_ids():
+    rng = np.random.default_rng(4)
+    for most in (1, 2, 300, 1 << 16, 1 << 18):
+        ids = np.concatenate([np.arange(most), rng.integers(0, most, 1000)]).astype(np.uint32)
+        shard = wavelet.WaveletShard.from_bytes(wavelet.WaveletShard.build(ids, np.array([1]), np.array([True]), np.array([len(ids)])).to_bytes())
+        assert (shard.all_ids() == ids).all() and [shard.access(i) for i in range(0, len(ids), 1 + len(ids) // 50)] == ids[:: 1 + len(ids) // 50].tolist()
