@@ -29,6 +29,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 # Bytes of text that one numpy pass works on; only memory depends on it, never a result.
 CHUNK = 1 << 20
+# Bytes of several texts that are worked on together. A pass has a dozen numbers a byte, and workers keep what they once took.
+GROUP = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -37,10 +39,10 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, CHUNK + 4096), U(base))
+        out = np.full(max(n, GROUP + 4096), U(base))
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if n <= 8 * CHUNK:
+        if n <= 8 * GROUP:
             _powers[base] = have
     return have[:n]
 
@@ -125,7 +127,7 @@ def word_limits(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(change == -1), np.flatnonzero(change == 1)
 
 
-def groups(texts: Iterable[bytes], size: int = CHUNK) -> Iterator[list[bytes]]:
+def groups(texts: Iterable[bytes], size: int = GROUP) -> Iterator[list[bytes]]:
     """Consecutive texts, about ``size`` bytes together; a longer text is a group by itself."""
     part: list[bytes] = []
     total = 0

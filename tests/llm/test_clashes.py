@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from logsift.llm import bytestext, hyperminhash, language, packing, ppm, tokens, toxicity, wavelet
+from logsift.llm import bytestext, hyperminhash, language, packing, ppm, suffix_levels, tokens, toxicity, wavelet
 from logsift.llm.shipping import ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -175,3 +177,18 @@ def test_planes_of_many_and_few_ids():
         ids = np.concatenate([np.arange(most), rng.integers(0, most, 1000)]).astype(np.uint32)
         shard = wavelet.WaveletShard.from_bytes(wavelet.WaveletShard.build(ids, np.array([1]), np.array([True]), np.array([len(ids)])).to_bytes())
         assert (shard.all_ids() == ids).all() and [shard.access(i) for i in range(0, len(ids), 1 + len(ids) // 50)] == ids[:: 1 + len(ids) // 50].tolist()
+
+
+def test_workers_take_little_memory():
+    # Executors run several workers, and each keeps what it once took.
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 123, 3000, np.uint8)).replace(b"e", b" ").decode() for _ in range(1400)]
+    batch = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    bytestext._powers.clear()
+    for work in (lambda: suffix_levels._entries(100, 32)(iter([batch])), lambda: (hyperminhash.shingle_sets(part, 5) for part in bytestext.groups(bytestext.utf8(texts)))):
+        tracemalloc.start()
+        for _ in work():
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 40 << 20
