@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize
-from .bytestext import U, distinct_sorted, groups, mix, utf8, word_hashes
+from .bytestext import U, distinct_sorted, groups, lean, mix, utf8, word_hashes
 from .components import components
 from .filters import may_contain
 
@@ -127,7 +127,7 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": np.array(n, np.int64), "s1": halves[:, 0], "s2": halves[:, 1], "signature": signature})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, signature binary"), "sketches")
+    return materialize(rows.mapInPandas(lean(run), "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, signature binary"), "sketches")
 
 
 def _bucket_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +171,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_
             yield pd.DataFrame({"rep": batch["rep"], "s1": digest[:, 0], "s2": digest[:, 1], "shingles": data})
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    rows = rows.where(may_contain(nodes, "rep", F.col("rep"))).mapInPandas(run, "rep long, s1 long, s2 long, shingles binary")
+    rows = rows.where(may_contain(nodes, "rep", F.col("rep"))).mapInPandas(lean(run), "rep long, s1 long, s2 long, shingles binary")
     return materialize(rows.dropDuplicates(["rep", "s1", "s2"]), "shingles")
 
 

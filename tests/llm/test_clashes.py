@@ -192,3 +192,9 @@ def test_workers_take_little_memory():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert most < 40 << 20
+
+
+def test_tasks_give_free_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(bytestext.ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": staticmethod(given.append)}))
+    assert list(bytestext.lean(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and given == [0]
