@@ -11,7 +11,8 @@ from logsift import constants as C
 from logsift.functions.text import is_large, size_text
 from logsift.plans.shapes import join_keyed
 from logsift.session import materialize
-from logsift.sources.lines import file_heads, plain_path, read_lines
+from logsift.sources import listing
+from logsift.sources.lines import file_heads, plain_path
 
 # Lines are weighted by powers of a primitive root of this prime.
 PRIME = (1 << 31) - 1
@@ -25,17 +26,28 @@ _LENGTH_BITS = 13
 
 
 def _names(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The files of a scan by the listing that the driver makes anyhow; empty ones are in no scan."""
+    """The files of a scan by the listing that Spark's readers keep on the driver; empty ones are in no scan."""
     return spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(name)),) for name in df.inputFiles()], "path string")
 
 
-def _line_scan(spark: SparkSession, path: str) -> DataFrame:
-    """All files below ``path``, listed once for all that is made of the scan."""
-    return spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+def _line_scan(spark: SparkSession, path: str, listed: DataFrame | None) -> DataFrame:
+    """``(path, length, modified, block, block_length, value)``: the lines of the listed files.
+
+    Without a list, in a store that only Spark's readers open, those of all files below ``path``; the driver lists them then.
+    """
+    if listed is not None:
+        return listing.read_lines(listed)
+    size, modified = F.col("_metadata.file_size"), F.col("_metadata.file_modification_time")
+    return spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(
+        plain_path().alias("path"), size.alias("length"), modified.alias("modified"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("block_length"), "value")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, modified)`` of every file below ``path``; no content is read, and empty files have no time."""
+    listed = listing.files_below(spark, path)
+    if listed is not None:
+        return listed.withColumn("modified", F.when(F.col("length") > 0, F.col("modified")))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     filled = found.select(plain_path().alias("path"), "length", F.col("modificationTime").alias("modified"))
     return _names(spark, found).join(filled, "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
@@ -43,15 +55,15 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def suffix_of(path: Column) -> Column:
     """Lower-case extension with its dot; empty if there is none."""
-    name = F.regexp_extract(path, r"([^/]*)/*$", 1)
-    return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
+    # No pattern: it would be matched from every place in a path, for every line of a file.
+    name = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
+    last = F.substring_index(name, ".", -1)
+    return F.when((last != "") & (F.length(name) > F.length(last) + 1), F.lower(F.concat(F.lit("."), last))).when(path.isNotNull(), "")
 
 
 def _by_suffix(path: Column) -> Column:
-    found, suffix = F.lit(None).cast("string"), suffix_of(path)
-    for known, name in C.FORMAT_BY_SUFFIX.items():
-        found = F.when(suffix == known, name).otherwise(found)
-    return found
+    known = F.create_map(*[F.lit(text) for pair in C.FORMAT_BY_SUFFIX.items() for text in pair])
+    return F.try_element_at(known, suffix_of(path))
 
 
 def _first_text(head: Column) -> Column:
@@ -126,18 +138,14 @@ def split_digests(scan: DataFrame) -> DataFrame:
     a window nor a sort, and its parts add up on the map side; all aggregates are longs. What the first non-blank and
     the first invalid line look like is the minimum of a number that starts with the line's place.
     """
-    size, modified = F.col("_metadata.file_size"), F.col("_metadata.file_modification_time")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK))
-    lines = scan.select(
-        plain_path().alias("path"), size.alias("length"), modified.alias("modified"),
-        F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("block_length"),
-        place.alias("place"), F.col("value").alias("line"),
-    )
     # Only heads of files whose name does not tell are looked at.
     asked = (F.col("block") == 0) & _by_suffix(F.col("path")).isNull()
-    head = F.substring("line", 1, C.SNIFF_BYTES)
-    first = _first_text(head)
-    blank = head.rlike(r"^\s*$")
+    lines = scan.select(
+        "path", "length", "modified", "block", "block_length", place.alias("place"), F.col("value").alias("line"),
+        F.when(asked, F.substring("value", 1, C.SNIFF_BYTES)).alias("head"),
+    ).withColumn("text", _first_text(F.col("head"))).withColumn("empty", F.col("head").rlike(r"^\s*$"))
+    head, first, blank = F.col("head"), F.col("text"), F.col("empty")
     kind = F.when(first == "", 0).when(_looks_json(first), 1).when(_looks_csv(first), 2).otherwise(3)
     most = (1 << _LENGTH_BITS) - 1
     told = F.shiftleft(F.shiftleft(F.col("place"), 2) + kind, _LENGTH_BITS) + F.least(F.octet_length("line"), F.lit(most))
@@ -146,9 +154,9 @@ def split_digests(scan: DataFrame) -> DataFrame:
     parts = [F.conv(F.substring("digest", 1 + 7 * i, 7), 16, 10).cast("long") for i in range(_PARTS)]
     rows = lines.select(
         "path", "length", "modified", "block", "block_length", "place", digest.alias("digest"), weight.alias("weight"),
-        F.when(asked & ~blank, told).alias("told"),
-        F.when(asked & blank, F.octet_length("line") + 1).alias("blank"),
-        F.when(asked & ~F.is_valid_utf8(head), F.col("place")).alias("broken"),
+        F.when(~blank, told).alias("told"),
+        F.when(blank, F.octet_length("line") + 1).alias("blank"),
+        F.when(~F.is_valid_utf8(head), F.col("place")).alias("broken"),
     )
     return rows.groupBy("path", "length", "modified", "block", "block_length").agg(
         F.count(F.lit(1)).alias("n"), F.min("place").alias("first"),
@@ -164,7 +172,7 @@ def file_digests(spark: SparkSession, path: str, scan: DataFrame | None = None)
     a file is split; files with equal content have equal keys in any run and folder. ``unsettled`` marks
     files whose format hangs on where exactly the first 4 KiB end.
     """
-    splits = split_digests(_line_scan(spark, path) if scan is None else scan)
+    splits = split_digests(_line_scan(spark, path, listing.files_below(spark, path)) if scan is None else scan)
     back = pow(ROOT, PRIME - 2, PRIME)
     local = [(F.col(f"h{i}") % PRIME * _power(F.col("first"), back) % PRIME).alias(f"h{i}") for i in range(_PARTS)]
     # Splits of a file: its length by the split size.
@@ -202,29 +210,44 @@ def file_digests(spark: SparkSession, path: str, scan: DataFrame | None = None)
     )
 
 
+def _all_names(spark: SparkSession, scan: DataFrame, listed: DataFrame | None) -> DataFrame:
+    """Every file, empty ones included, by the list or else by the scan."""
+    return _names(spark, scan) if listed is None else listed.select("path")
+
+
 def content_digests(spark: SparkSession, path: str) -> DataFrame:
     """``(path, content_key)`` of every file, empty ones included."""
-    scan = _line_scan(spark, path)
-    return _names(spark, scan).join(file_digests(spark, path, scan).select("path", "content_key"), "path", "left").withColumn(
+    listed = listing.files_below(spark, path)
+    scan = _line_scan(spark, path, listed)
+    return _all_names(spark, scan, listed).join(file_digests(spark, path, scan).select("path", "content_key"), "path", "left").withColumn(
         "content_key", F.coalesce("content_key", F.lit("0")))
 
 
+def _lines_of(spark: SparkSession, path: str, listed: DataFrame | None, wanted: DataFrame) -> DataFrame:
+    """The lines of the wanted files, as ``file_heads`` takes them; without a list, all files are read for them."""
+    scan = _line_scan(spark, path, listed if listed is None else materialize(listed.join(wanted, "path", "left_semi"), "wanted"))
+    lines = scan.select(
+        F.col("path").alias("file"), "block", F.nullif(F.col("value"), F.lit("")).alias("line"),
+        (F.col("block") + F.col("block_length") < F.col("length")).alias("more"), F.monotonically_increasing_id().alias("pos"))
+    return lines if listed is not None else join_keyed(lines, wanted.withColumnRenamed("path", "file"), ["file"], "left_semi")
+
+
 def catalog(spark: SparkSession, path: str, override: str | None = None) -> DataFrame:
     """Every file below ``path`` with format, size, status, error and whether an earlier one has the same content.
 
-    The files are read once; only those whose format hangs on the exact end of their head are looked at again.
+    The files are listed and read by tasks, once; only those whose format hangs on the exact end of their head are looked at again.
     """
-    scan = _line_scan(spark, path)
+    listed = listing.files_below(spark, path)
+    scan = _line_scan(spark, path, listed)
     found = materialize(file_digests(spark, path, scan), "digests")
     unsettled = found.filter("unsettled").select("path")
     if not unsettled.isEmpty():
-        lines = read_lines(spark, path, recursive=True, line_end="\n").withColumnRenamed("file", "path")
-        heads = file_heads(join_keyed(lines, unsettled, ["path"], "left_semi").withColumnRenamed("path", "file"))
+        heads = file_heads(_lines_of(spark, path, listed, unsettled))
         again = heads.select(F.col("file").alias("path"), sniffed_format(F.col("head")).alias("looked"))
         found = found.join(again, "path", "left").withColumn("sniffed", F.when(F.col("unsettled"), F.col("looked")).otherwise(F.col("sniffed"))).drop("looked")
-    listed = _names(spark, scan).join(found.drop("unsettled"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0))).withColumn(
+    named = _all_names(spark, scan, listed).join(found.drop("unsettled"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0))).withColumn(
         "content_key", F.coalesce("content_key", F.lit("0")))
-    return mark_duplicates(materialize(classify_files(listed, override), "catalog"))
+    return mark_duplicates(materialize(classify_files(named, override), "catalog"))
 
 
 def mark_duplicates(files: DataFrame) -> DataFrame:
