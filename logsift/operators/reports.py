@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from logsift import constants as C
 from logsift.functions.text import date_label, truncate_within
 from logsift.plans.shapes import computed_once, head_per_group
 from logsift.session import materialize
+from logsift.sources import listing
 
 CONTEXT_HEADER = (
     "Analyze the suspicious indicators below and produce a structured incident report.",
@@ -311,17 +313,112 @@ def rule_exports(reports: DataFrame, rule_format: str) -> DataFrame:
     )
 
 
+def _rule_stager(staged: str, job: str):
+    """Rules as files of their own, in a folder per task; where each belongs is passed on."""
+    find = listing.opener()
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        def named(value):
+            """The name of a partition as Spark writes it."""
+            odd = "\"#%'*/:=?\\{[]^\x7f"
+            return "".join(f"%{ord(c):02X}" if c in odd or 0 < ord(c) < 32 else c for c in value) if value else "__HIVE_DEFAULT_PARTITION__"
+
+        task = TaskContext.get().partitionId()
+        folder = f"{staged}/{task:05d}-{uuid.uuid4().hex}"
+        system, inside = find(folder)
+        system.create_dir(inside, recursive=True)
+        at, stream, n = None, None, 0
+        try:
+            for batch in batches:
+                targets = []
+                for extension, report_id, value in zip(*[c.to_pylist() for c in batch.columns]):
+                    if (extension, report_id) != at:  # rows of one report follow one another
+                        if stream:
+                            stream.close()
+                        at, n = (extension, report_id), n + 1
+                        stream = system.open_output_stream(f"{inside}/{n}.txt")
+                        targets.append((f"{folder}/{n}.txt", f"extension={named(extension)}/report_id={named(report_id)}", f"part-{task:05d}-{n}-{job}.txt"))
+                    stream.write((value or b"") + b"\n")
+                if targets:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*targets), (pa.string(),) * 3)]
+                    yield pa.RecordBatch.from_arrays(columns, ["staged", "folder", "name"])
+        finally:
+            if stream:
+                stream.close()
+
+    return run
+
+
+def _rule_publisher(root: str, job: str):
+    """Moves staged files to their folders, then takes away what the folders held before; a repeated task finds its files moved."""
+    find = listing.opener()
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for staged, folder, name in zip(*[c.to_pylist() for c in batch.columns]):
+                system, source = find(staged)
+                _, target = find(f"{root}/{folder}")
+                system.create_dir(target, recursive=True)
+                try:
+                    system.move(source, f"{target}/{name}")
+                except OSError:
+                    if not system.get_file_info(f"{target}/{name}").is_file:
+                        raise
+                for info in system.get_file_info(fs.FileSelector(target)):
+                    if job not in info.base_name:
+                        system.delete_dir(info.path) if info.type == fs.FileType.Directory else system.delete_file(info.path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return run
+
+
 def write_rules(exports: DataFrame, path: str) -> None:
-    """Rule texts under ``path/extension=…/report_id=…``; rules of other reports stay.
+    """Rule texts under ``path/extension=…/report_id=…``; rules of other reports stay. One writer at a time.
 
-    Making a file costs more than what is in it, so the reports are dealt to all tasks, however few bytes they have, and
-    the tasks move their files into the job's folder themselves. What others read appears when the job ends.
+    Making a file costs more than what is in it, so the reports are dealt to all tasks, however few bytes they have. Tasks write all
+    files to a hidden folder first, a flat one each, and only when all are written others move them to their places: the driver
+    touches no report's folder, and a job that fails while writing leaves the old rules as they were.
     """
     spark = exports.sparkSession
     rules = exports.filter(F.col("error").isNull()).select("extension", "report_id", F.col("content").alias("value"))
     n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    writer = rules.repartition(n, "extension", "report_id").write.partitionBy("extension", "report_id").mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    dealt, root = rules.repartition(n, "extension", "report_id"), listing.reach(spark, path)
+    if root is None:  # a store that only Spark's writers open; the driver renames each folder
+        writer = dealt.write.partitionBy("extension", "report_id").mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+    job = uuid.uuid4().hex
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(path, f".rules-{job}")
+    system = hidden.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hidden)
+    try:
+        in_order = dealt.sortWithinPartitions("extension", "report_id").withColumn("value", F.col("value").cast("binary"))
+        staged = materialize(in_order.mapInArrow(_rule_stager(f"{root}/{hidden.getName()}", job), "staged string, folder string, name string"), "staged")
+        staged.repartition(n, "folder").mapInArrow(_rule_publisher(root, job), "n long").agg(F.sum("n")).collect()
+    finally:
+        system.delete(hidden, True)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, extension, report_id)``: the rules that ``write_rules`` left under ``path``, each as one text; tasks list and read them."""
+    listed = listing.files_below(spark, path)
+    if listed is None:
+        return spark.read.schema("value string, extension string, report_id string").text(path, wholetext=True)
+
+    def part(name: str) -> Column:
+        value = F.regexp_extract("path", rf".*/{name}=([^/]*)/", 1)
+        plain = F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+        return F.when(value != "__HIVE_DEFAULT_PARTITION__", plain).alias(name)
+
+    return listing.read_texts(listed).select("value", part("extension"), part("report_id"))
 
 
 def export_rule(store: DataFrame, report_id: str, rule_format: str, path: str) -> None:

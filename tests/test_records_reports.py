@@ -241,6 +241,38 @@ def test_rules_are_written_by_many_tasks(spark, tmp_path):
     assert got == {f"r{i}": "new" if i == 3 else f"rule {i}" for i in range(40)}
 
 
+def test_rules_reach_their_folders_by_tasks(spark, tmp_path, monkeypatch):
+    odd = ["plain", "a b", "50%", "x/y:z=1", "é+", "q'\"#", "tab\there", "-"]
+    rows = [(name, "yml", f"rule {name}\nof two lines", None) for name in odd] + [("bare", "yar", None, None), (None, "yml", "of none", None), ("", "yml", "of nothing", None)]
+    exports = spark.createDataFrame(rows, "report_id string, extension string, content string, error string")
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    with monkeypatch.context() as patch:
+        patch.setattr(reports.listing, "reach", lambda *_: None)
+        reports.write_rules(exports, theirs)
+        want = sorted(map(tuple, reports.read_rules(spark, theirs).collect()), key=str)
+    # Neither Spark's committer, which renames each folder on the driver, nor its readers see a report.
+    for kind, name in ((type(exports.write), "text"), (type(spark.read), "text")):
+        real = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, path, *args, real=real, **more: real(self, path, *args, **more) if path != ours else pytest.fail("the driver takes part"))
+    reports.write_rules(exports, ours)
+    got = sorted(map(tuple, reports.read_rules(spark, ours).collect()), key=str)
+    # The two without a name share a folder, in one file or in two.
+    assert [r for r in got if r[2]] == [r for r in want if r[2]] and len([r for r in got if r[2]]) == 9
+    for found in (got, want):
+        assert sorted("".join(r[0] for r in found if not r[2]).split("\n")) == ["", "of none", "of nothing"]
+    folders = [sorted(str(f.relative_to(tmp_path / top)) for f in (tmp_path / top).glob("*/*")) for top in ("ours", "theirs")]
+    assert folders[0] == folders[1] and not list((tmp_path / "ours").glob(".*"))
+
+
+def test_rules_stay_when_writing_fails(spark, tmp_path):
+    exports = spark.createDataFrame([(f"r{i}", "yml", "old", None) for i in range(9)], "report_id string, extension string, content string, error string")
+    path = str(tmp_path / "rules")
+    reports.write_rules(exports, path)
+    with pytest.raises(Exception, match="broken rule"):
+        reports.write_rules(exports.withColumn("content", F.when(F.col("report_id") == "r5", F.raise_error(F.lit("broken rule")).cast("string")).otherwise("new")), path)
+    assert {r.value for r in reports.read_rules(spark, path).collect()} == {"old\n"} and not list((tmp_path / "rules").glob(".*"))
+
+
 def test_report_context(spark):
     found = spark.createDataFrame([("i", 2, "Low", "b", "second", "{}"), ("i", 1, "High", "a", "first", "x" * 600)],
                                   "incident string, position int, severity string, type string, description string, evidence string")
