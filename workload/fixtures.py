@@ -14,6 +14,8 @@ from workload import relations as R
 
 # Lines that one task sorts.
 PIECE_ROWS = 500_000
+# Documents that one task writes as files.
+FILE_ROWS = 100_000
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
@@ -105,10 +107,11 @@ def document_files(spark: SparkSession, sf: str) -> str:
     """Every document as a file: names with blanks, ``%`` and other letters, empty and binary ones, and exact copies."""
 
     def write(folder: str) -> None:
-        docs = R.table(spark, sf, "documents").selectExpr(f"{R.DOCUMENT_PATH} as path", (
+        # Texts are shuffled only where few splits hold them.
+        docs = R.wide_table(spark, sf, "documents", FILE_ROWS).selectExpr(f"{R.DOCUMENT_PATH} as path", (
             "case when doc_id % 37 = 0 then x'' when doc_id % 41 = 0 then concat(x'FFFE00', cast(coalesce(text, '') as binary)) "
             "else cast(coalesce(text, '') as binary) end as content"))
-        docs.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_file_writer(folder), "n long").agg(F.sum("n")).collect()
+        docs.mapInPandas(_file_writer(folder), "n long").agg(F.sum("n")).collect()
 
     return _once(spark, sf, "documents", write)
 
