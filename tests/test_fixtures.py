@@ -31,3 +31,16 @@ def test_catalog_lists_its_folder_once(spark, tmp_path, monkeypatch):
     scan, made = files._line_scan, []
     monkeypatch.setattr(files, "_line_scan", lambda *args: made.append(args) or scan(*args))
     assert files.catalog(spark, str(tmp_path)).count() == 3 and len(made) == 1
+
+
+def test_documents_of_many_splits_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def refused(*_):
+        raise AssertionError("texts are shuffled")
+
+    monkeypatch.setattr(type(docs), "repartition", refused)
+    folder = fixtures.document_files(spark, str(tmp_path))
+    written = [f for f in Path(folder.removeprefix("file:")).rglob("*") if f.is_file() and not f.name.startswith(".")]
+    assert len(written) == docs.count() and sum(f.stat().st_size == 0 for f in written) >= docs.filter("doc_id % 37 = 0").count()

@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from logsift.sources import files, listing
 
@@ -77,7 +77,10 @@ def test_catalog_keeps_no_name_on_the_driver(spark, folder, monkeypatch):
     def refused(*_):
         raise AssertionError("the driver asked for all names")
 
-    monkeypatch.setattr(DataFrame, "inputFiles", refused)
+    monkeypatch.setattr(type(spark.range(0)), "inputFiles", refused)
+    with monkeypatch.context() as patch, pytest.raises(AssertionError, match="all names"):
+        patch.setattr(listing, "reach", lambda *_: None)
+        files.catalog(spark, folder, "json")
     got = files.catalog(spark, folder, "json").collect()
     mark = {r.path.rsplit("/", 1)[-1]: r.length for r in got}["only mark"]
     assert len(got) == 13 and mark == 3
